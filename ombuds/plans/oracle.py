@@ -17,6 +17,7 @@ complaints AS (
     CASE WHEN o.o_orderstatus <> 'P' THEN c.c_mktsegment
          WHEN o.o_orderkey % 3 = 0 THEN 'OUTROS (DETALHAR)'
          WHEN o.o_orderkey % 3 = 1 THEN NULL ELSE '  ' END AS SUB_ASSUNTO,
+    'pedido ' || o.o_orderpriority || ' situacao ' || o.o_orderstatus AS DS_OBSERVACAO,
     CASE WHEN o.o_orderkey % 101 = 0 THEN NULL ELSE o.o_orderdate END AS DT_REGISTRO_ATENDIMENTO,
     n.n_name AS DS_FILIAL, r.r_name AS OPERADORA,
     o.o_orderdate AS _orderdate, c.c_mktsegment AS _segment
@@ -190,3 +191,68 @@ FROM complaints"""),
 SELECT count(*) AS total, count_if({needs_cat('DS_ASSUNTO')}) AS unclassified,
        count(DISTINCT DS_ASSUNTO) AS distinct_labels FROM complaints"""),
 }
+
+CANON = ("row_id, NU_REGISTRO, DS_ASSUNTO, CD_USUARIO, SUB_ASSUNTO, DS_OBSERVACAO, "
+         "DT_REGISTRO_ATENDIMENTO, DS_FILIAL")
+SOURCES_CTE = f"""
+src AS (
+  SELECT {CANON}, OPERADORA, 0 AS source_ord, 'source0' AS source_name
+  FROM complaints WHERE _orderdate < TIMESTAMP '2000-01-01'
+  UNION ALL
+  SELECT {CANON}, NULL AS OPERADORA, 1 AS source_ord, 'source1' AS source_name
+  FROM complaints WHERE _orderdate >= TIMESTAMP '1999-01-01')"""
+
+REQUIRED = ["NU_REGISTRO", "DS_ASSUNTO", "CD_USUARIO", "SUB_ASSUNTO", "DS_OBSERVACAO",
+            "DT_REGISTRO_ATENDIMENTO", "DS_FILIAL"]
+
+SQL.update({
+    "dedupe_keep_first": with_complaints("""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY NU_REGISTRO ORDER BY source_ord, row_id) AS rn FROM src)
+WHERE rn = 1""", SOURCES_CTE),
+    "ingest_stats": with_complaints("""
+SELECT 'rows' AS metric, 'source0' AS source_name, CAST(s0 AS BIGINT) AS n FROM tot
+UNION ALL SELECT 'rows', 'source1', CAST(s1 AS BIGINT) FROM tot
+UNION ALL SELECT 'total_before', NULL, CAST(before AS BIGINT) FROM tot
+UNION ALL SELECT 'duplicates_removed', NULL, CAST(before - after AS BIGINT) FROM tot
+UNION ALL SELECT 'total_after', NULL, CAST(after AS BIGINT) FROM tot""", SOURCES_CTE, """
+tot AS (
+  SELECT sum(copies) AS before, count(*) AS after, sum(s0) AS s0, sum(s1) AS s1
+  FROM (SELECT NU_REGISTRO, count(*) AS copies, count_if(source_ord = 0) AS s0,
+               count_if(source_ord = 1) AS s1 FROM src GROUP BY 1))"""),
+    "quality_issues": with_complaints(f"""
+SELECT 'error' AS severity, 'duplicate_key' AS rule, 'NU_REGISTRO' AS "column", n, sample
+FROM (SELECT (SELECT count(*) FROM dups) AS n,
+             (SELECT string_agg(NU_REGISTRO, ', ' ORDER BY NU_REGISTRO NULLS FIRST)
+              FROM (SELECT NU_REGISTRO FROM dups ORDER BY NU_REGISTRO NULLS FIRST LIMIT 10)) AS sample)
+WHERE n > 0
+UNION ALL
+SELECT 'error', 'null_values', "column", CAST(n AS BIGINT), NULL FROM (
+  UNPIVOT (SELECT {', '.join(f'count_if({c} IS NULL) AS {c}' for c in REQUIRED)} FROM src)
+  ON {', '.join(REQUIRED)} INTO NAME "column" VALUE n) WHERE n > 0
+UNION ALL
+SELECT 'warning', 'null_dates', 'DT_REGISTRO_ATENDIMENTO', n, NULL
+FROM (SELECT count_if(DT_REGISTRO_ATENDIMENTO IS NULL) AS n FROM src) WHERE n > 0""",
+        SOURCES_CTE,
+        "dups AS (SELECT NU_REGISTRO FROM src GROUP BY 1 HAVING count(*) > 1)"),
+    "training_profile": with_complaints("""
+SELECT metric, CAST(n AS BIGINT) AS n,
+       CASE WHEN metric = 'distinct_labels' THEN NULL ELSE round(n * 100.0 / total, 2) END AS pct
+FROM (
+  SELECT total, unnest(['valid', 'blank', 'outros', 'distinct_labels', 'cov_DS_OBSERVACAO']) AS metric,
+         unnest([total - blank - outros, blank, outros, distinct_labels, cov]) AS n
+  FROM (SELECT count(*) AS total, count_if(DS_ASSUNTO IS NULL) AS blank,
+               count_if(coalesce(upper(DS_ASSUNTO) IN ('OUTROS', 'OUTRO'), false)) AS outros,
+               count(DISTINCT DS_ASSUNTO) AS distinct_labels, count(DS_OBSERVACAO) AS cov
+        FROM complaints))"""),
+    "date_coercion": """
+SELECT NU_REGISTRO, raw,
+       coalesce(try_strptime(raw, '%d/%m/%Y %H:%M:%S'), try_strptime(raw, '%d/%m/%Y %H:%M'),
+                try_strptime(raw, '%d/%m/%Y'), try_strptime(raw, '%Y-%m-%d %H:%M:%S'),
+                try_strptime(raw, '%Y-%m-%dT%H:%M:%S'), try_strptime(raw, '%Y-%m-%d'))
+         AS DT_REGISTRO_ATENDIMENTO
+FROM (SELECT CAST(o_orderkey AS VARCHAR) AS NU_REGISTRO,
+             CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y')
+                                 WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'n/a' END AS raw
+      FROM orders)""",
+})

@@ -9,10 +9,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import kpi, ranking, temporal
+from .. import schema as S
+from ..functions import temporal as T
+from ..operators import kpi, quality, ranking, temporal
 from ..sources import fixtures as fx
+from ..sources import ingest
 from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +138,35 @@ def q_unclassified_counters(spark, sf):
 @register("classification_stats")
 def q_classification_stats(spark, sf):
     return kpi.classification_stats(fx.complaints(spark, sf))
+
+
+# ---- ingest and quality ------------------------------------------------------------
+def _sources(spark, sf):
+    return fx.complaint_sources(spark, sf)
+
+
+@register("dedupe_keep_first")
+def q_dedupe_keep_first(spark, sf):
+    return ingest.ingest(_sources(spark, sf))
+
+
+@register("ingest_stats")
+def q_ingest_stats(spark, sf):
+    return ingest.ingest_stats(_sources(spark, sf))
+
+
+@register("quality_issues")
+def q_quality_issues(spark, sf):
+    return quality.quality_issues(ingest.concat_sources(_sources(spark, sf)))
+
+
+@register("training_profile")
+def q_training_profile(spark, sf):
+    return quality.training_profile(fx.complaints(spark, sf))
+
+
+@register("date_coercion")
+def q_date_coercion(spark, sf):
+    d = fx.date_strings(spark, sf)
+    return d.select(S.KEY, F.col(S.REGISTERED_AT).alias("raw"),
+                    T.parse_timestamp(S.REGISTERED_AT).alias(S.REGISTERED_AT))

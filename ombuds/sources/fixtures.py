@@ -44,6 +44,8 @@ def complaint_columns(o: DataFrame, geo: DataFrame) -> DataFrame:
                      category.alias(S.CATEGORY),
                      F.col("o_custkey").cast("string").alias(S.USER),
                      sub.alias(S.SUBCATEGORY),
+                     F.concat(F.lit("pedido "), F.col("o_orderpriority"), F.lit(" situacao "),
+                              F.col("o_orderstatus")).alias(S.TEXT),
                      F.when(k % 101 == 0, F.lit(None).cast("timestamp_ntz"))
                       .otherwise(F.col("o_orderdate")).alias(S.REGISTERED_AT),
                      F.col("n_name").alias(S.BRANCH),
