@@ -256,3 +256,94 @@ FROM (SELECT CAST(o_orderkey AS VARCHAR) AS NU_REGISTRO,
                                  WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'n/a' END AS raw
       FROM orders)""",
 })
+
+# ---- vectors / kNN -----------------------------------------------------------------
+VECTORS_CTES = ["""
+sv AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label,
+         row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'))
+           <= ceil(count(*) OVER (PARTITION BY label) * CAST(0.2 AS DOUBLE)) AS is_test
+  FROM embeddings)""", """
+nv AS (SELECT *, sqrt(list_dot_product(e, e)) AS nrm FROM sv)"""]
+
+
+def knn_ctes(k: int = 5) -> list[str]:
+    return VECTORS_CTES + [f"""
+top AS (
+  SELECT * FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, ref_id) AS INTEGER) AS rank
+    FROM (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, r.label AS ref_label,
+                 CASE WHEN q.nrm = 0 OR r.nrm = 0 THEN 0.0
+                      ELSE list_dot_product(q.e, r.e) / (q.nrm * r.nrm) END AS similarity
+          FROM nv q JOIN nv r ON q.is_test AND NOT r.is_test))
+  WHERE rank <= {k})"""]
+
+
+def vote_cte(threshold: float) -> str:
+    return f"""
+vote AS (
+  SELECT query_id, ref_label AS predicted, score, votes, score / votes AS confidence,
+         score / votes >= {threshold} AS accepted,
+         CASE WHEN score / votes >= {threshold} THEN 'auto' ELSE 'manual_review' END AS method
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank) AS w
+        FROM (SELECT query_id, ref_label, sum(similarity) AS score, count(*) AS votes,
+                     min(rank) AS best_rank FROM top GROUP BY ALL))
+  WHERE w = 1)"""
+
+
+def with_ctes(body: str, ctes: list[str]) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+SWEEP = [0.26, 0.30, 0.33, 0.35, 0.38, 0.40, 0.45]
+FILL = 0.35
+PRED_CTE = """
+pred AS (SELECT s.vec_id AS query_id, s.label AS truth, v.predicted, v.confidence
+         FROM sv s LEFT JOIN vote v ON s.vec_id = v.query_id WHERE s.is_test)"""
+
+
+def _acc_sql() -> str:
+    rows = "\nUNION ALL\n".join(
+        f"SELECT CAST({t} AS DOUBLE) AS threshold, count(*) AS total, "
+        f"count_if(confidence >= {t} AND predicted IS NOT NULL) AS classified, "
+        f"count_if(confidence >= {t} AND CAST(predicted AS VARCHAR) = CAST(truth AS VARCHAR)) AS correct FROM pred"
+        for t in SWEEP)
+    return f"""
+acc AS (
+  SELECT threshold, total, classified, correct,
+         round(classified * 100.0 / total, 4) AS coverage_pct,
+         round(CASE WHEN classified > 0 THEN correct * 100.0 / classified ELSE 0.0 END, 4) AS accuracy_classified_pct,
+         round(correct * 100.0 / total, 4) AS accuracy_total_pct
+  FROM ({rows}))"""
+
+
+SQL.update({
+    "knn_topk": with_ctes("SELECT query_id, rank, ref_id, ref_label, round(similarity, 6) AS similarity FROM top",
+                          knn_ctes()),
+    "knn_vote": with_ctes("""
+SELECT query_id, predicted, round(score, 6) AS score, votes, round(confidence, 6) AS confidence,
+       accepted, method FROM vote""", knn_ctes() + [vote_cte(FILL)]),
+    "knn_fill": with_ctes("""
+SELECT s.vec_id,
+       CASE WHEN NOT s.is_test THEN s.label WHEN coalesce(v.accepted, false) THEN v.predicted END AS label,
+       CASE WHEN s.is_test THEN v.confidence END AS label_confidence,
+       CASE WHEN s.is_test THEN CASE WHEN coalesce(v.accepted, false) THEN 'auto' ELSE 'manual_review' END END
+         AS label_method,
+       CASE WHEN s.is_test THEN NOT coalesce(v.accepted, false) ELSE false END AS needs_review
+FROM sv s LEFT JOIN vote v ON s.vec_id = v.query_id""", knn_ctes() + [vote_cte(FILL)]),
+    "knn_nearest": with_ctes(f"""
+SELECT query_id, ref_label AS predicted, round(similarity, 6) AS confidence,
+       similarity >= {FILL} AS accepted FROM top""", knn_ctes(1)),
+    "knn_run_counts": with_ctes("SELECT method, count(*) AS n FROM vote GROUP BY 1",
+                                knn_ctes() + [vote_cte(FILL)]),
+    "threshold_accuracy": with_ctes("SELECT * FROM acc",
+                                    knn_ctes() + [vote_cte(FILL), PRED_CTE, _acc_sql()]),
+    "confusion_pairs": with_ctes(f"""
+SELECT CAST(truth AS VARCHAR) AS real, CAST(predicted AS VARCHAR) AS predicted, count(*) AS n
+FROM pred WHERE confidence >= {FILL} AND predicted IS NOT NULL
+  AND CAST(truth AS VARCHAR) <> CAST(predicted AS VARCHAR) GROUP BY ALL""",
+                                 knn_ctes() + [vote_cte(FILL), PRED_CTE]),
+    "best_threshold": with_ctes("SELECT * FROM acc ORDER BY accuracy_total_pct DESC, threshold LIMIT 1",
+                                knn_ctes() + [vote_cte(FILL), PRED_CTE, _acc_sql()]),
+    "split_80_20": with_ctes("SELECT vec_id, label, is_test FROM sv", VECTORS_CTES[:1]),
+})

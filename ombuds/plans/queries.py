@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..functions import temporal as T
-from ..operators import kpi, quality, ranking, temporal
+from ..operators import autolabel, evaluate, knn, kpi, quality, ranking, temporal
 from ..sources import fixtures as fx
 from ..sources import ingest
 from . import oracle
@@ -170,3 +170,80 @@ def q_date_coercion(spark, sf):
     d = fx.date_strings(spark, sf)
     return d.select(S.KEY, F.col(S.REGISTERED_AT).alias("raw"),
                     T.parse_timestamp(S.REGISTERED_AT).alias(S.REGISTERED_AT))
+
+
+# ---- nearest-neighbour labelling on vectors ------------------------------------------
+SWEEP = [0.26, 0.30, 0.33, 0.35, 0.38, 0.40, 0.45]
+FILL_THRESHOLD = 0.35
+
+
+def _knn(spark, sf, k=5):
+    v = fx.vectors(spark, sf)
+    q = v.where("is_test")
+    r = v.where("NOT is_test")
+    return v, knn.similarity_topk(q, r, k=k, query_id="vec_id", query_vec="embedding",
+                                  ref_id="vec_id", ref_vec="embedding", ref_label="label")
+
+
+def _predictions(spark, sf):
+    v, top = _knn(spark, sf)
+    votes = knn.vote(top, FILL_THRESHOLD)
+    truth = v.where("is_test").select(F.col("vec_id").alias("query_id"), F.col("label").alias("truth"))
+    return truth.join(votes, "query_id", "left")
+
+
+@register("knn_topk")
+def q_knn_topk(spark, sf):
+    _, top = _knn(spark, sf)
+    return top.withColumn("similarity", F.round("similarity", 6))
+
+
+@register("knn_vote")
+def q_knn_vote(spark, sf):
+    _, top = _knn(spark, sf)
+    return knn.vote(top, FILL_THRESHOLD).select(
+        "query_id", "predicted", F.round("score", 6).alias("score"), "votes",
+        F.round("confidence", 6).alias("confidence"), "accepted", "method")
+
+
+@register("knn_fill")
+def q_knn_fill(spark, sf):
+    v, top = _knn(spark, sf)
+    hidden = v.select("vec_id", F.when(F.col("is_test"), F.lit(None)).otherwise(F.col("label")).alias("label"),
+                      "is_test")
+    return autolabel.write_back(
+        hidden,
+        knn.vote(top, FILL_THRESHOLD).withColumnRenamed("query_id", "vec_id"),
+        key="vec_id", label="label", needs=F.col("is_test")).drop("is_test")
+
+
+@register("knn_nearest")
+def q_knn_nearest(spark, sf):
+    _, top = _knn(spark, sf, k=1)
+    return knn.nearest(top, FILL_THRESHOLD).withColumn("confidence", F.round("confidence", 6))
+
+
+@register("knn_run_counts")
+def q_knn_run_counts(spark, sf):
+    _, top = _knn(spark, sf)
+    return knn.run_counts(knn.vote(top, FILL_THRESHOLD))
+
+
+@register("threshold_accuracy")
+def q_threshold_accuracy(spark, sf):
+    return evaluate.threshold_accuracy(_predictions(spark, sf), SWEEP)
+
+
+@register("confusion_pairs")
+def q_confusion_pairs(spark, sf):
+    return evaluate.confusion_pairs(_predictions(spark, sf), FILL_THRESHOLD)
+
+
+@register("best_threshold")
+def q_best_threshold(spark, sf):
+    return evaluate.best_threshold(evaluate.threshold_accuracy(_predictions(spark, sf), SWEEP))
+
+
+@register("split_80_20")
+def q_split_80_20(spark, sf):
+    return fx.vectors(spark, sf).select("vec_id", "label", "is_test")

@@ -138,3 +138,11 @@ def date_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd"))
             .otherwise(F.lit("n/a")))
     return o.select(k.cast("string").alias(S.KEY), raw.alias(S.REGISTERED_AT))
+
+
+def vectors(spark: SparkSession, sf_dir: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """embeddings with a stratified 80/20 split (W10): ``is_test`` rows are the
+    queries (their label kept as truth), the others the reference set."""
+    from ..operators.sampling import stratified_split
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return stratified_split(e, "label", "vec_id", test_fraction, seed)
