@@ -21,14 +21,22 @@ def tokens(col) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), 0)
 
 
+def _joiner(n: int):
+    def join(x: Column) -> Column:
+        return F.concat_ws(" ", *[x[str(j)] for j in range(n)])
+    return join
+
+
 def ngrams(tok: Column, n_max: int = 3) -> Column:
     """1..n_max word n-grams joined by a space, in sklearn's order (all 1-grams,
-    then 2-grams, ...)."""
+    then 2-grams, ...). Built from shifted slices zipped together, so the token
+    array is referenced a fixed number of times (not once per position)."""
     parts = [tok]
     for n in range(2, n_max + 1):
-        parts.append(F.when(F.size(tok) >= n, F.transform(
-            F.sequence(F.lit(1), F.size(tok) - n + 1),
-            lambda i, n=n: F.array_join(F.slice(tok, i, n), " "))).otherwise(F.array()))
+        m = F.size(tok) - n + 1
+        shifted = [F.slice(tok, j + 1, F.greatest(m, F.lit(0))) for j in range(n)]
+        zipped = F.arrays_zip(*shifted)  # array<struct<0, 1, ...>>
+        parts.append(F.when(F.size(tok) >= n, F.transform(zipped, _joiner(n))).otherwise(F.array()))
     return F.concat(*parts)
 
 

@@ -347,3 +347,104 @@ FROM pred WHERE confidence >= {FILL} AND predicted IS NOT NULL
                                 knn_ctes() + [vote_cte(FILL), PRED_CTE, _acc_sql()]),
     "split_80_20": with_ctes("SELECT vec_id, label, is_test FROM sv", VECTORS_CTES[:1]),
 })
+
+PARTIAL_N = 40
+
+
+def _partial(order: str) -> str:
+    return with_ctes(f"""
+SELECT s.vec_id, coalesce(p.predicted, CASE WHEN s.is_test THEN NULL ELSE s.label END) AS label,
+       p.confidence AS relabel_confidence
+FROM sv s LEFT JOIN (
+  SELECT query_id, predicted, round(confidence, 6) AS confidence FROM vote
+  ORDER BY {order} LIMIT {PARTIAL_N}) p ON s.vec_id = p.query_id""", knn_ctes() + [vote_cte(FILL)])
+
+
+AFTER_CTE = """
+after AS (
+  SELECT NU_REGISTRO,
+         CASE WHEN coalesce(contains(upper(SUB_ASSUNTO), 'OUTRO'), false) AND row_id % 10 = 0 THEN SUB_ASSUNTO
+              WHEN coalesce(contains(upper(SUB_ASSUNTO), 'OUTRO'), false) AND row_id % 10 = 5 THEN 'NEW'
+              WHEN coalesce(contains(upper(SUB_ASSUNTO), 'OUTRO'), false) THEN _segment
+              ELSE SUB_ASSUNTO END AS SUB_ASSUNTO
+  FROM complaints)"""
+BA_CTE = f"""
+ba AS (
+  SELECT label, coalesce(b.before, 0) AS before, coalesce(a.after, 0) AS after,
+         coalesce(a.after, 0) - coalesce(b.before, 0) AS difference,
+         CASE WHEN coalesce(b.before, 0) > 0
+              THEN round((coalesce(a.after, 0) - coalesce(b.before, 0)) * 100.0 / b.before, 4) END AS growth_pct,
+         coalesce(b.before, 0) = 0 AS is_new
+  FROM (SELECT SUB_ASSUNTO AS label, count(*) AS before FROM complaints
+        WHERE NOT {has_outro('SUB_ASSUNTO')} AND SUB_ASSUNTO IS NOT NULL GROUP BY 1) b
+  FULL OUTER JOIN (SELECT SUB_ASSUNTO AS label, count(*) AS after FROM after
+                   WHERE SUB_ASSUNTO IS NOT NULL GROUP BY 1) a USING (label))"""
+
+COMPLAINT_TEXTS_CTE = """
+ct AS (
+  SELECT d.doc_id AS row_id, CAST(d.doc_id AS VARCHAR) AS NU_REGISTRO,
+         CASE l.toxic WHEN 1 THEN 'TOXIC' WHEN 0 THEN 'CLEAN' END AS DS_ASSUNTO,
+         CASE l.quality WHEN 1 THEN 'GOOD' WHEN 0 THEN 'POOR' ELSE 'OUTROS' END AS SUB_ASSUNTO,
+         d.text AS DS_OBSERVACAO, d.lang AS DS_MOTIVO, d.source AS DS_FILIAL
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def _strip_sql(x: str) -> str:
+    return _strip(x)
+
+
+NGRAMS = ("w || CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' ')) "
+          "ELSE [] END || CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), "
+          "lambda i: array_to_string(w[i:i+2], ' ')) ELSE [] END")
+
+SQL.update({
+    "partial_relabel_topn": _partial("confidence DESC, query_id"),
+    "partial_relabel_firstn": _partial("query_id"),
+    "before_after": with_complaints("SELECT * FROM ba", AFTER_CTE, BA_CTE),
+    "before_after_totals": with_complaints("""
+SELECT sum(before) AS total_before, sum(after) AS total_after, sum(after) - sum(before) AS reclassified,
+       count_if(difference > 0) AS labels_gaining,
+       arg_max(label, (after, label)) AS largest_after_label,
+       arg_max(label, (difference, label)) AS largest_gain_label, max(difference) AS largest_gain
+FROM ba""", AFTER_CTE, BA_CTE),
+    "reclassified_distribution": with_complaints(f"""
+SELECT a.SUB_ASSUNTO AS label, count(*) AS n,
+       round(count(*) * 100.0 / (SELECT count(*) FROM complaints WHERE {has_outro('SUB_ASSUNTO')}), 2) AS pct
+FROM complaints b JOIN after a ON b.NU_REGISTRO = a.NU_REGISTRO
+WHERE {has_outro('b.SUB_ASSUNTO')} AND a.SUB_ASSUNTO IS NOT NULL GROUP BY 1""", AFTER_CTE),
+    "remaining_outros": with_complaints(f"""
+SELECT 'before' AS snapshot, count(*) AS total, count_if({has_outro('SUB_ASSUNTO')}) AS remaining,
+       count(*) - count_if({has_outro('SUB_ASSUNTO')}) AS classified FROM complaints
+UNION ALL
+SELECT 'after', count(*), count_if({has_outro('SUB_ASSUNTO')}),
+       count(*) - count_if({has_outro('SUB_ASSUNTO')}) FROM after""", AFTER_CTE),
+    "outros_variants": with_complaints("""
+SELECT SUB_ASSUNTO AS variant, count(*) AS n FROM complaints
+WHERE coalesce(contains(upper(SUB_ASSUNTO), 'OUTRO'), false) GROUP BY 1"""),
+    "composite_text": with_ctes(f"""
+SELECT NU_REGISTRO, texto, coalesce(length({_strip('texto')}) >= 10, false) AS enough_text
+FROM (SELECT NU_REGISTRO,
+             substring(array_to_string(list_filter(
+               [{_strip('DS_OBSERVACAO')}, {_strip('DS_MOTIVO')}, {_strip('SUB_ASSUNTO')}],
+               lambda x: x IS NOT NULL AND length(x) > 5), ' '), 1, 2000) AS texto
+      FROM ct)""", [COMPLAINT_TEXTS_CTE]),
+    "label_normalised": with_complaints(f"""
+SELECT NU_REGISTRO, DS_ASSUNTO, {_strip("translate(upper(DS_ASSUNTO), 'ÉÍÓ', 'EIO')")} AS normalised
+FROM complaints"""),
+    "needs_flags": with_complaints(f"""
+SELECT NU_REGISTRO, DS_ASSUNTO, SUB_ASSUNTO, {needs_cat('DS_ASSUNTO')} AS needs_category,
+       {needs_sub('SUB_ASSUNTO')} AS needs_subcategory, {has_outro('SUB_ASSUNTO')} AS has_outro
+FROM complaints"""),
+    "tfidf_terms": with_ctes(f"""
+SELECT term, df, tf, round(ln((1.0 + n) / (1.0 + df)) + 1.0, 6) AS idf
+FROM (SELECT term, count(*) AS df, sum(c) AS tf FROM (
+        SELECT term, doc, count(*) AS c FROM (
+          SELECT doc, unnest({NGRAMS}) AS term FROM (
+            SELECT row_id AS doc, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM train))
+        GROUP BY ALL) GROUP BY term),
+     (SELECT CAST(count(*) AS DOUBLE) AS n FROM train)
+WHERE df >= 2 AND df <= 0.95 * n
+ORDER BY tf DESC, term LIMIT 5000""", [COMPLAINT_TEXTS_CTE, f"""
+train AS (SELECT row_id, concat_ws(' ', DS_ASSUNTO, DS_OBSERVACAO, DS_MOTIVO) AS t FROM ct
+          WHERE NOT {has_outro('SUB_ASSUNTO')} AND SUB_ASSUNTO IS NOT NULL)"""]),
+})

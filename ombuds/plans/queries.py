@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..functions import temporal as T
-from ..operators import autolabel, evaluate, knn, kpi, quality, ranking, temporal
+from ..functions import text as X
+from ..operators import autolabel, compare, evaluate, features, forest, knn, kpi, quality, ranking, temporal
+from ..sources.tables import table
 from ..sources import fixtures as fx
 from ..sources import ingest
 from . import oracle
@@ -175,6 +177,7 @@ def q_date_coercion(spark, sf):
 # ---- nearest-neighbour labelling on vectors ------------------------------------------
 SWEEP = [0.26, 0.30, 0.33, 0.35, 0.38, 0.40, 0.45]
 FILL_THRESHOLD = 0.35
+PARTIAL_N = 40
 
 
 def _knn(spark, sf, k=5):
@@ -247,3 +250,114 @@ def q_best_threshold(spark, sf):
 @register("split_80_20")
 def q_split_80_20(spark, sf):
     return fx.vectors(spark, sf).select("vec_id", "label", "is_test")
+
+
+@register("partial_relabel_topn")
+def q_partial_relabel_topn(spark, sf):
+    v, top = _knn(spark, sf)
+    hidden = v.select("vec_id", F.when(F.col("is_test"), F.lit(None)).otherwise(F.col("label")).alias("label"))
+    pred = knn.vote(top, FILL_THRESHOLD).select(F.col("query_id").alias("vec_id"), "predicted",
+                                                 F.round("confidence", 6).alias("confidence"))
+    return forest.relabel(hidden, pred, key="vec_id", label="label", top_n=PARTIAL_N)
+
+
+@register("partial_relabel_firstn")
+def q_partial_relabel_firstn(spark, sf):
+    v, top = _knn(spark, sf)
+    hidden = v.select("vec_id", F.when(F.col("is_test"), F.lit(None)).otherwise(F.col("label")).alias("label"))
+    pred = knn.vote(top, FILL_THRESHOLD).select(F.col("query_id").alias("vec_id"), "predicted",
+                                                 F.round("confidence", 6).alias("confidence"))
+    return forest.relabel(hidden, pred, key="vec_id", label="label", first_n=PARTIAL_N)
+
+
+# ---- before / after ----------------------------------------------------------------------
+def _snapshots(spark, sf):
+    return fx.complaints_before(spark, sf), fx.complaints_after(spark, sf)
+
+
+@register("before_after")
+def q_before_after(spark, sf):
+    b, a = _snapshots(spark, sf)
+    return compare.before_after(b, a)
+
+
+@register("before_after_totals")
+def q_before_after_totals(spark, sf):
+    b, a = _snapshots(spark, sf)
+    return compare.before_after_totals(compare.before_after(b, a))
+
+
+@register("reclassified_distribution")
+def q_reclassified_distribution(spark, sf):
+    b, a = _snapshots(spark, sf)
+    return compare.reclassified_distribution(b, a)
+
+
+@register("remaining_outros")
+def q_remaining_outros(spark, sf):
+    b, a = _snapshots(spark, sf)
+    return compare.remaining_outros({"before": b, "after": a})
+
+
+@register("outros_variants")
+def q_outros_variants(spark, sf):
+    return compare.outros_variants(fx.complaints_before(spark, sf))
+
+
+# ---- text ---------------------------------------------------------------------------------
+@register("composite_text")
+def q_composite_text(spark, sf):
+    t = fx.complaint_texts(spark, sf)
+    txt = X.composite_text(t.columns)
+    return t.select(S.KEY, txt.alias("texto"), X.enough_text(txt).alias("enough_text"))
+
+
+@register("label_normalised")
+def q_label_normalised(spark, sf):
+    c = fx.complaints(spark, sf)
+    return c.select(S.KEY, S.CATEGORY, X.normalize_label(S.CATEGORY).alias("normalised"))
+
+
+@register("needs_flags")
+def q_needs_flags(spark, sf):
+    return quality.needs_flags(fx.complaints(spark, sf))
+
+
+@register("tfidf_terms")
+def q_tfidf_terms(spark, sf):
+    t = fx.complaint_texts(spark, sf)
+    train, _ = forest.split_for_training(t, S.SUBCATEGORY)
+    docs = train.select("row_id", X.forest_text(t.columns).alias("_text"))
+    return features.tfidf_vocabulary(docs, "_text", "row_id").withColumn("idf", F.round("idf", 6))
+
+
+# ---- model-based (rows-only checks: hashing / forest are not SQL) ---------------------------
+@register("hashed_embeddings")
+def q_hashed_embeddings(spark, sf):
+    t = fx.complaint_texts(spark, sf).withColumn("_text", X.composite_text(["DS_OBSERVACAO", "DS_MOTIVO"]))
+    model = features.fit_hashed_encoder(t, "_text")
+    return features.encode(model, t.select(S.KEY, "_text")).select(S.KEY, "vec")
+
+
+@register("autolabel_texts")
+def q_autolabel_texts(spark, sf):
+    return autolabel.autolabel(fx.complaint_texts(spark, sf), threshold=FILL_THRESHOLD)
+
+
+@register("probe_classify")
+def q_probe_classify(spark, sf):
+    refs = fx.complaint_texts(spark, sf).where(~X.needs_category(S.CATEGORY))
+    probes = table(spark, sf, "benchmark")
+    return autolabel.classify_probes(probes, refs, "text", "item_id", S.KEY, S.CATEGORY, S.TEXT,
+                                     threshold=FILL_THRESHOLD)
+
+
+@register("forest_relabel")
+def q_forest_relabel(spark, sf):
+    t = fx.complaint_texts(spark, sf)
+    return forest.relabel(t, forest.forest_predict(t)).select(S.KEY, S.SUBCATEGORY, "relabel_confidence")
+
+
+@register("forest_confidence")
+def q_forest_confidence(spark, sf):
+    return forest.confidence_summary(forest.forest_predict(fx.complaint_texts(spark, sf)))
