@@ -448,3 +448,60 @@ ORDER BY tf DESC, term LIMIT 5000""", [COMPLAINT_TEXTS_CTE, f"""
 train AS (SELECT row_id, concat_ws(' ', DS_ASSUNTO, DS_OBSERVACAO, DS_MOTIVO) AS t FROM ct
           WHERE NOT {has_outro('SUB_ASSUNTO')} AND SUB_ASSUNTO IS NOT NULL)"""]),
 })
+
+SAMPLE_TOTAL = 5000
+AUDIT_HOURS = 24
+
+
+def _strat(where: str, label: str, min_expr: str) -> str:
+    return with_complaints(f"""
+SELECT row_id, NU_REGISTRO, {label} FROM (
+  SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY md5(CAST(row_id AS VARCHAR) || ':42')) AS rn,
+         count(*) OVER (PARTITION BY {label}) AS c, count(*) OVER () AS n_all
+  FROM complaints WHERE {where} AND {label} IS NOT NULL)
+WHERE rn <= CASE WHEN n_all > {SAMPLE_TOTAL} THEN least(c, {min_expr}) ELSE c END""")
+
+
+QA_CTE = f"""
+qa AS (
+  SELECT event_type AS query_type, value AS response_time_ms, ts AS executed_at FROM events
+  WHERE ts > (SELECT max(ts) FROM events) - INTERVAL {AUDIT_HOURS} HOURS)"""
+
+SQL.update({
+    "stratified_sample": _strat(f"NOT {needs_cat('DS_ASSUNTO')}", "DS_ASSUNTO",
+                                f"greatest(floor(c * {SAMPLE_TOTAL} / n_all), 10)"),
+    "stratified_sample_b": _strat(f"NOT {needs_sub('SUB_ASSUNTO')}", "SUB_ASSUNTO",
+                                  f"greatest(1, floor({SAMPLE_TOTAL} * c / n_all))"),
+    "sample_200": with_complaints("""
+SELECT row_id, NU_REGISTRO, DS_ASSUNTO FROM complaints
+ORDER BY md5(CAST(row_id AS VARCHAR) || ':42') LIMIT 200"""),
+    "sample_coverage": with_complaints(f"""
+SELECT o.label, o.original, coalesce(s.sampled, 0) AS sampled,
+       round(coalesce(s.sampled, 0) * 100.0 / o.original, 2) AS sampled_pct
+FROM (SELECT DS_ASSUNTO AS label, count(*) AS original FROM complaints
+      WHERE NOT {needs_cat('DS_ASSUNTO')} GROUP BY 1) o
+LEFT JOIN (SELECT DS_ASSUNTO AS label, count(*) AS sampled FROM smp GROUP BY 1) s USING (label)""",
+        "smp AS (" + _strat(f"NOT {needs_cat('DS_ASSUNTO')}", "DS_ASSUNTO",
+                            f"greatest(floor(c * {SAMPLE_TOTAL} / n_all), 10)").split(COMPLAINTS_CTE, 1)[1]
+        .lstrip() + ")"),
+    "query_type_stats": with_ctes("""
+SELECT query_type, count(*) AS n, round(avg(response_time_ms), 6) AS avg_response_time_ms
+FROM qa GROUP BY 1""", [QA_CTE]),
+    "query_stats": with_ctes("""
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_queries,
+       round(coalesce(sum(CASE WHEN m IS NOT NULL AND m <> 0 THEN m ELSE 0.0 END) / count(*), 0.0), 6)
+         AS avg_response_time_ms,
+       count(*) AS n_types
+FROM (SELECT query_type, count(*) AS n, avg(response_time_ms) AS m FROM qa GROUP BY 1)""", [QA_CTE]),
+    "upload_history": """
+SELECT 'orders_' || strftime(d, '%Y%m%d') || '.csv' AS filename, num_records, 'loader' AS "user",
+       CAST(d + 1 AS TIMESTAMP) AS uploaded_at
+FROM (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS num_records FROM orders GROUP BY 1)
+ORDER BY uploaded_at DESC, filename LIMIT 10""",
+    "stream_weekly_counts": """
+SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, event_type, count(*) AS n
+FROM events GROUP BY ALL""",
+    "stream_dedupe": with_complaints("""
+SELECT NU_REGISTRO, DS_ASSUNTO, CD_USUARIO, SUB_ASSUNTO, DT_REGISTRO_ATENDIMENTO, DS_FILIAL
+FROM complaints"""),
+})

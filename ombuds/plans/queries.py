@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schema as S
 from ..functions import temporal as T
 from ..functions import text as X
+from ..operators import audit, sampling
+from ..streaming import ingest as sstream
 from ..operators import autolabel, compare, evaluate, features, forest, knn, kpi, quality, ranking, temporal
 from ..sources.tables import table
 from ..sources import fixtures as fx
@@ -178,6 +180,8 @@ def q_date_coercion(spark, sf):
 SWEEP = [0.26, 0.30, 0.33, 0.35, 0.38, 0.40, 0.45]
 FILL_THRESHOLD = 0.35
 PARTIAL_N = 40
+SAMPLE_TOTAL = 5000
+AUDIT_HOURS = 24
 
 
 def _knn(spark, sf, k=5):
@@ -361,3 +365,63 @@ def q_forest_relabel(spark, sf):
 @register("forest_confidence")
 def q_forest_confidence(spark, sf):
     return forest.confidence_summary(forest.forest_predict(fx.complaint_texts(spark, sf)))
+
+
+# ---- sampling ------------------------------------------------------------------------------
+@register("stratified_sample")
+def q_stratified_sample(spark, sf):
+    c = fx.complaints(spark, sf).where(~X.needs_category(S.CATEGORY))
+    return sampling.stratified_sample_a(c, S.CATEGORY, "row_id", total=SAMPLE_TOTAL) \
+        .select("row_id", S.KEY, S.CATEGORY)
+
+
+@register("stratified_sample_b")
+def q_stratified_sample_b(spark, sf):
+    c = fx.complaints(spark, sf).where(~X.needs_subcategory(S.SUBCATEGORY))
+    return sampling.stratified_sample_b(c, S.SUBCATEGORY, "row_id", total=SAMPLE_TOTAL) \
+        .select("row_id", S.KEY, S.SUBCATEGORY)
+
+
+@register("sample_200")
+def q_sample_200(spark, sf):
+    c = fx.complaints(spark, sf)
+    return sampling.simple_sample(c, "row_id", 200).select("row_id", S.KEY, S.CATEGORY)
+
+
+@register("sample_coverage")
+def q_sample_coverage(spark, sf):
+    c = fx.complaints(spark, sf).where(~X.needs_category(S.CATEGORY))
+    s = sampling.stratified_sample_a(c, S.CATEGORY, "row_id", total=SAMPLE_TOTAL)
+    return sampling.sample_coverage(c, s, S.CATEGORY)
+
+
+# ---- audit ----------------------------------------------------------------------------------
+@register("query_stats")
+def q_query_stats(spark, sf):
+    return audit.query_stats(fx.query_audit(spark, sf), hours=AUDIT_HOURS) \
+        .withColumn("avg_response_time_ms", F.round("avg_response_time_ms", 6))
+
+
+@register("query_type_stats")
+def q_query_type_stats(spark, sf):
+    return audit.query_type_stats(fx.query_audit(spark, sf), hours=AUDIT_HOURS) \
+        .withColumn("avg_response_time_ms", F.round("avg_response_time_ms", 6))
+
+
+@register("upload_history")
+def q_upload_history(spark, sf):
+    return audit.upload_history(fx.uploads(spark, sf), 10)
+
+
+# ---- streaming --------------------------------------------------------------------------------
+@register("stream_weekly_counts")
+def q_stream_weekly_counts(spark, sf):
+    stream = fx.table_stream(spark, sf, "events")
+    return sstream.stream_weekly_counts(spark, stream, "ts", "event_type")
+
+
+@register("stream_dedupe")
+def q_stream_dedupe(spark, sf):
+    srcs = [ingest.harmonise(s, i) for i, s in enumerate(fx.streaming_complaint_sources(spark, sf))]
+    out = sstream.stream_dedupe(spark, srcs)
+    return out.select(S.KEY, S.CATEGORY, S.USER, S.SUBCATEGORY, S.REGISTERED_AT, S.BRANCH)

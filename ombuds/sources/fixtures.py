@@ -146,3 +146,35 @@ def vectors(spark: SparkSession, sf_dir: str, test_fraction: float = 0.2, seed:
     from ..operators.sampling import stratified_split
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return stratified_split(e, "label", "vec_id", test_fraction, seed)
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upload audit derived from orders: one upload per order day, loaded the
+    next day, with that day's row count."""
+    o = table(spark, sf_dir, "orders").select("o_orderdate")
+    day = F.to_date("o_orderdate")
+    return (o.groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("num_records"))
+             .select(F.concat(F.lit("orders_"), F.date_format("d", "yyyyMMdd"), F.lit(".csv")).alias("filename"),
+                     "num_records", F.lit("loader").alias("user"),
+                     F.lit(None).cast("string").alias("metadata"),
+                     F.date_add("d", 1).cast("timestamp_ntz").alias("uploaded_at")))
+
+
+def streaming_complaint_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The two exports of ``complaint_sources`` as file streams over orders
+    (stream-static joins with the customer geography)."""
+    schema = table(spark, sf_dir, "orders").schema
+    o = (table_stream(spark, sf_dir, "orders", schema)
+              .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
+    geo = _geo(spark, sf_dir)
+    s0 = complaint_columns(o.filter(F.col("o_orderdate") < F.lit(SOURCE0_BEFORE).cast("timestamp_ntz")), geo)
+    s1 = complaint_columns(o.filter(F.col("o_orderdate") >= F.lit(SOURCE1_FROM).cast("timestamp_ntz")), geo)
+    return [s0, s1.drop(S.OPERATOR).withColumnsRenamed(SOURCE1_NAMES)]
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema=None) -> DataFrame:
+    """A file stream over one table of a folder (the file source watches folders;
+    ``pathGlobFilter`` keeps it to this table's files)."""
+    schema = schema or table(spark, sf_dir, name).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+                 .parquet(sf_dir.rstrip("/")))
