@@ -12,31 +12,52 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 SNIFF_ENCODINGS = ["utf-8", "latin1", "iso-8859-1", "cp1252"]
 SNIFF_SEPARATORS = [";", ",", "\t"]
 CORRUPT = "_corrupt_record"
+JAVA_CHARSETS = {"utf-8": "UTF-8", "latin1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1"}
 
 
-def sniff_header(spark: SparkSession, path: str) -> tuple[str, str]:
-    """Return (encoding, separator) for one file from its first line.
+def _invalid_utf8_files(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Files holding bytes that are not valid UTF-8 (the text source keeps raw bytes).
+    One distributed scan over all files; only one row per file reaches the driver."""
+    rows = (spark.read.text(paths).select(F.input_file_name().alias("f"), "value")
+                 .groupBy("f").agg(F.count_if(~F.is_valid_utf8("value")).alias("bad"))
+                 .where(F.col("bad") > 0).collect())
+    bad_uris = [r.f for r in rows]
+    return {p for p in paths if any(u.endswith(p) or u.endswith(p.replace(" ", "%20")) for u in bad_uris)}
+
 
-    A first line that is not valid UTF-8 decodes with replacement characters; the
-    first encoding of the list that holds is chosen (latin-1 accepts any byte)."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0] if first else ""
-    encoding = "utf-8" if "�" not in line else "latin1"
+def _separator(line: str) -> str:
     for sep in SNIFF_SEPARATORS:
         if len(line.split(sep)) > 1:
-            return encoding, sep
-    return encoding, ","
+            return sep
+    return ","
+
+
+def sniff_files(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, str]]:
+    """(encoding, separator) per file: UTF-8 unless some byte is not valid UTF-8
+    (then latin-1, which accepts every byte); separator = first of ; , tab that
+    splits the header line."""
+    latin = _invalid_utf8_files(spark, paths)
+    out = {}
+    for p in paths:
+        first = spark.read.text(p).limit(1).collect()
+        out[p] = ("latin1" if p in latin else "utf-8", _separator(first[0][0] if first else ""))
+    return out
+
+
+def sniff_header(spark: SparkSession, path: str) -> tuple[str, str]:
+    return sniff_files(spark, [path])[path]
 
 
 def read_sniffed(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
     """One all-STRING DataFrame per (encoding, separator) group of files,
     each tagged with its file name."""
     groups: dict[tuple[str, str], list[str]] = {}
-    for p in paths:
-        groups.setdefault(sniff_header(spark, p), []).append(p)
+    for p, dialect in sniff_files(spark, paths).items():
+        groups.setdefault(dialect, []).append(p)
     out = []
     for (enc, sep), files in groups.items():
-        df = (spark.read.option("header", True).option("sep", sep).option("encoding", enc)
+        df = (spark.read.option("header", True).option("sep", sep)
+              .option("encoding", JAVA_CHARSETS.get(enc, enc))
               .option("inferSchema", False).csv(files)
               .withColumn("_file", F.input_file_name()))
         out.append(df)
@@ -57,11 +78,16 @@ def read_fixed(spark: SparkSession, paths: list[str] | str, columns: list[str],
         reader = reader.option("escape", escape).option("quote", '"')
     df = reader.csv(paths)
     n_fields = F.size(F.split(F.col(CORRUPT), _regex_escape(sep)))
-    too_many = F.col(CORRUPT).isNotNull() & (n_fields > len(columns))
+    # The flag also reads the parsed columns: a scan that requires only the
+    # corrupt-record column is refused by Spark, and pruning would leave just that.
+    parsed = F.length(F.concat_ws("\u0001", *[F.col(c) for c in columns])) >= 0
+    too_many = F.col(CORRUPT).isNotNull() & (n_fields > len(columns)) & parsed
     # Spark needs the corrupt column materialised before filtering on it alone.
     df = df.withColumn("_too_many", F.coalesce(too_many, F.lit(False)))
     good = df.where(~F.col("_too_many")).drop(CORRUPT, "_too_many")
-    rejected = df.where(F.col("_too_many")).select(F.col(CORRUPT).alias("raw_line"))
+    # parsed columns are kept next to the raw line (Spark refuses plans that read
+    # the corrupt-record column alone)
+    rejected = df.where(F.col("_too_many")).select(F.col(CORRUPT).alias("raw_line"), *columns)
     return good, rejected
 
 
