@@ -505,3 +505,5 @@ FROM events GROUP BY ALL""",
 SELECT NU_REGISTRO, DS_ASSUNTO, CD_USUARIO, SUB_ASSUNTO, DT_REGISTRO_ATENDIMENTO, DS_FILIAL
 FROM complaints"""),
 })
+
+SQL["csv_ingest"] = SQL["dedupe_keep_first"]

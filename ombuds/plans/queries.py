@@ -425,3 +425,19 @@ def q_stream_dedupe(spark, sf):
     srcs = [ingest.harmonise(s, i) for i, s in enumerate(fx.streaming_complaint_sources(spark, sf))]
     out = sstream.stream_dedupe(spark, srcs)
     return out.select(S.KEY, S.CATEGORY, S.USER, S.SUBCATEGORY, S.REGISTERED_AT, S.BRANCH)
+
+
+@register("csv_ingest")
+def q_csv_ingest(spark, sf):
+    """K2/K1 then S1 + S4: the two exports written as CSV (';' ISO-8859-1 and ','
+    UTF-8) into the shared folder, sniffed, read back, mapped, parsed, de-duplicated."""
+    import uuid
+    from ..session import shared_dir
+    from ..sources import csv as C
+    s0, s1 = _sources(spark, sf)
+    base = shared_dir(spark, f"csv_ingest_{uuid.uuid4().hex}")
+    C.write_csv(s0, f"{base}/export0", sep=";", encoding="ISO-8859-1")
+    C.write_csv(s1, f"{base}/export1", sep=",", encoding="UTF-8")
+    parts = [p.drop("_file") for p in C.read_sniffed(spark, [f"{base}/export0", f"{base}/export1"])]
+    out = ingest.ingest(parts)
+    return out.withColumn("row_id", F.col("row_id").cast("bigint"))

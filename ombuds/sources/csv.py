@@ -22,7 +22,9 @@ def _invalid_utf8_files(spark: SparkSession, paths: list[str]) -> set[str]:
                  .groupBy("f").agg(F.count_if(~F.is_valid_utf8("value")).alias("bad"))
                  .where(F.col("bad") > 0).collect())
     bad_uris = [r.f for r in rows]
-    return {p for p in paths if any(u.endswith(p) or u.endswith(p.replace(" ", "%20")) for u in bad_uris)}
+    # a path may be a file or a folder of part files
+    return {p for p in paths
+            if any(p.rstrip("/") in u or p.rstrip("/").replace(" ", "%20") in u for u in bad_uris)}
 
 
 def _separator(line: str) -> str:
@@ -49,18 +51,17 @@ def sniff_header(spark: SparkSession, path: str) -> tuple[str, str]:
 
 
 def read_sniffed(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
-    """One all-STRING DataFrame per (encoding, separator) group of files,
-    each tagged with its file name."""
-    groups: dict[tuple[str, str], list[str]] = {}
-    for p, dialect in sniff_files(spark, paths).items():
-        groups.setdefault(dialect, []).append(p)
+    """One all-STRING DataFrame per input path (a file or a folder of parts), in
+    input order, each read with its sniffed encoding and separator and tagged with
+    its file name."""
+    dialects = sniff_files(spark, paths)
     out = []
-    for (enc, sep), files in groups.items():
-        df = (spark.read.option("header", True).option("sep", sep)
-              .option("encoding", JAVA_CHARSETS.get(enc, enc))
-              .option("inferSchema", False).csv(files)
-              .withColumn("_file", F.input_file_name()))
-        out.append(df)
+    for p in paths:
+        enc, sep = dialects[p]
+        out.append(spark.read.option("header", True).option("sep", sep)
+                   .option("encoding", JAVA_CHARSETS.get(enc, enc))
+                   .option("inferSchema", False).csv(p)
+                   .withColumn("_file", F.input_file_name()))
     return out
 
 
@@ -99,4 +100,7 @@ def write_csv(df: DataFrame, path: str, sep: str = ";", encoding: str = "UTF-8",
               mode: str = "overwrite") -> None:
     """K1/K2: header + separator + encoding. Spark writes no byte-order mark."""
     (df.write.mode(mode).option("header", True).option("sep", sep)
-       .option("encoding", encoding).csv(path))
+       .option("encoding", encoding)
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+       .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
