@@ -25,69 +25,60 @@ def order_hash(id_col: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
 
 
-def flag_first_n_per_group(df: DataFrame, group: str, n_per_group: DataFrame | Column | int,
+def flag_first_n_per_group(df: DataFrame, group: str, n_per_group,
                            id_col: str, seed: int = 42, flag: str = "selected") -> DataFrame:
     """All rows of ``df`` plus a boolean ``flag``: hash rank within ``group`` <= n.
 
-    ``n_per_group`` is an int, a Column over ``group_count`` (the group's row count)
-    or a DataFrame ``(group, n)``."""
-    x = df.withColumn("_h", order_hash(id_col, seed)).withColumn("_b", F.substring("_h", 1, 4))
-    counts = x.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cum = counts.select(group, "_b", "_cnt",
-                        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before"),
-                        F.sum("_cnt").over(Window.partitionBy(group)).alias("group_count"))
-    if isinstance(n_per_group, DataFrame):
-        cum = (cum.join(n_per_group.select(group, F.col("n").alias("_n")), group, "left")
-                  .withColumn("_n", F.coalesce("_n", F.lit(0))))
-    elif isinstance(n_per_group, Column):
-        cum = cum.withColumn("_n", n_per_group)
+    ``n_per_group`` is an int or a function ``(group_count, total_count) -> Column``
+    giving n from the group's row count and the table's row count.
+
+    Plan: one aggregation per (group, bucket); running sums over that aggregate;
+    one equi-join back on (group, bucket); a row_number partitioned by the same
+    (group, bucket) keys, so the window reuses the join's partitioning and each
+    window partition holds ~1/65,536 of a group. Null groups use their own key."""
+    x = (df.withColumn("_h", order_hash(id_col, seed))
+           .withColumn("_b", F.substring("_h", 1, 4))
+           .withColumn("_g", F.coalesce(F.concat(F.lit("v"), F.col(group).cast("string")), F.lit("n"))))
+    counts = x.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    group_count = F.sum("_cnt").over(Window.partitionBy("_g"))
+    if callable(n_per_group):
+        total = counts.select(F.sum("_cnt")).scalar()  # scalar subquery over the aggregate
+        n = n_per_group(group_count, total)
     else:
-        cum = cum.withColumn("_n", F.lit(int(n_per_group)))
-    # the bucket table has at most (#labels x 65,536) rows; null labels join via <=>
-    j = x.join(cum.select(group, "_b", "_cnt", "_before", "_n"),
-               (x[group].eqNullSafe(cum[group])) & (x["_b"] == cum["_b"])) \
-         .drop(cum[group]).drop(cum["_b"])
-    edge = (F.col("_before") < F.col("_n")) & (F.col("_before") + F.col("_cnt") > F.col("_n"))
-    settled = j.where(~edge).withColumn(flag, F.col("_before") + F.col("_cnt") <= F.col("_n"))
-    wb = Window.partitionBy(group, "_b").orderBy("_h")
-    ranked = j.where(edge).withColumn(
-        flag, F.col("_before") + F.row_number().over(wb) <= F.col("_n"))
-    return settled.unionByName(ranked).drop("_h", "_b", "_cnt", "_before", "_n")
-
-
-def first_n_per_group(df: DataFrame, group: str, n_per_group: DataFrame | Column | int,
+        n = F.lit(int(n_per_group))
+    cum = counts.select("_g", "_b", "_cnt",
+                        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before"),
+                        n.cast("bigint").alias("_n"))
+    j = x.join(cum, ["_g", "_b"])
+    rank = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h"))
+    return (j.withColumn(flag, F.col("_before") + rank <= F.col("_n"))
+             .drop("_h", "_b", "_g", "_cnt", "_before", "_n"))
+
+
+def first_n_per_group(df: DataFrame, group: str, n_per_group,
                       id_col: str, seed: int = 42) -> DataFrame:
     """Rows whose hash rank within ``group`` is <= n (see module doc)."""
     return (flag_first_n_per_group(df, group, n_per_group, id_col, seed, "_sel")
             .where(F.col("_sel")).drop("_sel"))
 
 
-def _sizes(valid: DataFrame, label: str, n_expr) -> DataFrame:
-    per_label = valid.groupBy(label).agg(F.count(F.lit(1)).alias("c"))
-    sized = per_label.select(label, "c", F.sum("c").over(Window.partitionBy()).alias("N"))
-    return sized.select(label, n_expr.cast("bigint").alias("n"))
-
-
 def stratified_sample_a(df: DataFrame, label: str, id_col: str, total: int = 5000,
                         min_per_label: int = 10, seed: int = 42) -> DataFrame:
     """W8 form A: per label n = min(count, max(floor(count * total / N), 10)) when the
-    table has more than ``total`` rows; otherwise everything. The size window runs
-    over one row per label."""
-    valid = df.where(F.col(label).isNotNull())
-    c, n_all = F.col("c"), F.col("N")
-    n = F.when(n_all > total, F.least(c, F.greatest(F.floor(c * total / n_all), F.lit(min_per_label)))) \
-         .otherwise(c)
-    return first_n_per_group(valid, label, _sizes(valid, label, n), id_col, seed)
+    table has more than ``total`` rows; otherwise everything."""
+    def n(c, n_all):
+        return F.when(n_all > total, F.least(c, F.greatest(F.floor(c * total / n_all),
+                                                           F.lit(min_per_label)))).otherwise(c)
+    return first_n_per_group(df.where(F.col(label).isNotNull()), label, n, id_col, seed)
 
 
 def stratified_sample_b(df: DataFrame, label: str, id_col: str, total: int = 5000,
                         seed: int = 42) -> DataFrame:
     """W8 form B: per label n = min(count, max(1, floor(total * count / N))) when N > total."""
-    valid = df.where(F.col(label).isNotNull())
-    c, n_all = F.col("c"), F.col("N")
-    n = F.when(n_all > total, F.least(c, F.greatest(F.lit(1), F.floor(c * total / n_all)))).otherwise(c)
-    return first_n_per_group(valid, label, _sizes(valid, label, n), id_col, seed)
+    def n(c, n_all):
+        return F.when(n_all > total, F.least(c, F.greatest(F.lit(1), F.floor(c * total / n_all)))).otherwise(c)
+    return first_n_per_group(df.where(F.col(label).isNotNull()), label, n, id_col, seed)
 
 
 def fixed_per_label(df: DataFrame, label: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
@@ -99,7 +90,7 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
                      seed: int = 42) -> DataFrame:
     """Adds ``is_test``: per label the first ceil(fraction * count) rows in hash
     order are the test part, the rest the training part."""
-    return flag_first_n_per_group(df, label, F.ceil(F.col("group_count") * test_fraction),
+    return flag_first_n_per_group(df, label, lambda c, _n: F.ceil(c * test_fraction),
                                   id_col, seed, "is_test")
 
 
