@@ -27,8 +27,15 @@ REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Register a query. The wrapper pins the session time zone to UTC: week and
+    month keys and elapsed days are defined on UTC wall-clock time."""
     def deco(fn: Query) -> Query:
-        REGISTRY[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        REGISTRY[name] = run
         return fn
     return deco
 
