@@ -46,16 +46,17 @@ def _local_topk(k: int, label_type: str):
         sim = np.divide(sim, denom, out=np.zeros_like(sim), where=denom > 0)  # zero vector -> 0
         kk = min(k, sim.shape[1])
         neg = -sim
-        # k-th best per row, then order (similarity desc, ref_id asc); exact with ties
-        kth = np.partition(neg, kk - 1, axis=1)[:, kk - 1][:, None]
-        rows, picks = [], []
-        for i in range(sim.shape[0]):
+        # k best per row in one vectorised pass, ordered (similarity desc, ref_id asc)
+        part = np.argpartition(neg, kk - 1, axis=1)[:, :kk]
+        vals = np.take_along_axis(neg, part, axis=1)
+        picks = np.take_along_axis(part, np.lexsort((part, vals), axis=1), axis=1)
+        # rows with a tie at the k-th place: choose among all tied refs exactly
+        kth = vals.max(axis=1)
+        for i in np.flatnonzero((neg <= kth[:, None]).sum(axis=1) > kk):
             cand = np.flatnonzero(neg[i] <= kth[i])
-            order = np.lexsort((cand, neg[i, cand]))[:kk]
-            picks.append(cand[order])
-            rows.append(np.full(kk, i))
-        ri = np.concatenate(rows)
-        ci = np.concatenate(picks)
+            picks[i] = cand[np.lexsort((cand, neg[i, cand]))[:kk]]
+        ri = np.repeat(np.arange(sim.shape[0]), kk)
+        ci = picks.reshape(-1)
         return pd.DataFrame({
             "query_id": q["query_id"].to_numpy()[ri],
             "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), sim.shape[0]),

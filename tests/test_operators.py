@@ -95,3 +95,11 @@ def test_top_k_per_week_uses_group_limit(spark):
 def test_scan_prunes_columns(spark):
     plan = temporal.monthly_counts(fx.complaints(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan
+
+
+def test_knn_ties_at_kth_place_go_to_smaller_ids(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vec array<double>")
+    refs = [(i, [1.0, 1.0], "T") for i in (9, 4, 7, 2)] + [(5, [1.0, 0.0], "E")]
+    r = spark.createDataFrame(refs, "ref_id long, vec array<double>, label string")
+    got = [(x.rank, x.ref_id) for x in knn.similarity_topk(q, r, k=3).orderBy("rank").collect()]
+    assert got == [(1, 5), (2, 2), (3, 4)]
