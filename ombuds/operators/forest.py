@@ -60,12 +60,20 @@ def forest_predict(df: DataFrame, key: str = S.KEY, label: str = S.SUBCATEGORY,
 
 
 def relabel(df: DataFrame, predictions: DataFrame, key: str = S.KEY, label: str = S.SUBCATEGORY,
-            top_n: int | None = None, first_n: int | None = None) -> DataFrame:
+            top_n: int | None = None, first_n: int | None = None, candidates=None) -> DataFrame:
     """M8 + J3: write predictions back onto every row.
 
     ``top_n`` (T2): only the ``n`` most confident predictions are written.
     ``first_n`` (T3): only the first ``n`` rows in key order are written.
-    Both are top-k selections (per-partition top-k, then merge)."""
+    Both are top-k selections (per-partition top-k, then merge).
+    ``candidates`` (a boolean Column): only rows that can have a prediction are
+    joined; the others are unioned back without a shuffle."""
+    if candidates is not None:
+        flagged = df.withColumn("_cand", candidates)
+        rest = flagged.where(~F.col("_cand")).drop("_cand").withColumn(
+            "relabel_confidence", F.lit(None).cast("double"))
+        todo = flagged.where(F.col("_cand")).drop("_cand")
+        return rest.unionByName(relabel(todo, predictions, key, label, top_n, first_n))
     p = predictions
     if top_n is not None:
         p = p.orderBy(F.col("confidence").desc(), F.col(key)).limit(top_n)

@@ -366,7 +366,8 @@ def q_probe_classify(spark, sf):
 @register("forest_relabel")
 def q_forest_relabel(spark, sf):
     t = fx.complaint_texts(spark, sf)
-    return forest.relabel(t, forest.forest_predict(t)).select(S.KEY, S.SUBCATEGORY, "relabel_confidence")
+    return forest.relabel(t, forest.forest_predict(t), candidates=X.has_outro(S.SUBCATEGORY)) \
+        .select(S.KEY, S.SUBCATEGORY, "relabel_confidence")
 
 
 @register("forest_confidence")
