@@ -507,3 +507,6 @@ FROM complaints"""),
 })
 
 SQL["csv_ingest"] = SQL["dedupe_keep_first"]
+
+SQL["distinct_categories"] = with_complaints(
+    "SELECT DISTINCT DS_ASSUNTO FROM complaints WHERE DS_ASSUNTO IS NOT NULL")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schema as S
 from ..functions import temporal as T
 from ..functions import text as X
-from ..operators import audit, sampling
+from ..operators import audit, dedupe, sampling
 from ..streaming import ingest as sstream
 from ..operators import autolabel, compare, evaluate, features, forest, knn, kpi, quality, ranking, temporal
 from ..sources.tables import table
@@ -449,3 +449,8 @@ def q_csv_ingest(spark, sf):
     parts = [p.drop("_file") for p in C.read_sniffed(spark, [f"{base}/export0", f"{base}/export1"])]
     out = ingest.ingest(parts)
     return out.withColumn("row_id", F.col("row_id").cast("bigint"))
+
+
+@register("distinct_categories")
+def q_distinct_categories(spark, sf):
+    return dedupe.distinct_values(fx.complaints(spark, sf), S.CATEGORY)
