@@ -76,9 +76,9 @@ def slices(col, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.nda
 class Words:
     """Spans of all words of a slice; the words of text d are ``first[d]:first[d + 1]``."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, separators: np.ndarray = _WS):
         n = len(raw)
-        ink = ~_WS[raw]
+        ink = ~separators[raw]
         edge = np.zeros(n + 1, bool)
         edge[off] = True  # a word never runs over the end of a text
         if n:

@@ -92,3 +92,18 @@ def test_level_is_the_least_sum_of_squares():
         can = [0] + [h for h in range(1, 65 - size) if p.count[h]]
         assert level in can and after(level) == min(map(after, can))
         p.place((i, 0, b"\0\0\0\0" * size, size), size)
+
+
+def test_word_ids_equal_the_tokenizer():
+    rng = np.random.default_rng(9)
+    t = Tokenizer.from_file(WORD)
+    t.encode_special_tokens = True
+    chars = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x250), 0x301, 0x3A3, 0x4E2D, 0x1F600, 0x1C, 0xFB01]]
+    words = ["".join(rng.choice(chars, int(rng.integers(1, 9)))) for _ in range(6000)]
+    words += ["don't", "we'LL", "İstanbul", "ﬁne", "STRASSE", "x'sy", "'s", "a1b22", "<|endoftext|>", "é", "é"]
+    memory = packing.WordIds(WORD)
+    keys = [w.encode() for w in words if len(w.encode().split()) == 1 and w.encode().split()[0] == w.encode()]
+    memory.learn(keys)
+    for k in keys:
+        want = t.encode(k.decode(), add_special_tokens=False).ids
+        assert np.frombuffer(memory[k], "<u4").tolist() == want, k
