@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from .words import utf8
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a Python process remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, "
           "offset long, ids binary")
@@ -44,20 +46,52 @@ def tokenizer(path: str):
     return t
 
 
+#: Words that are split here: printable ASCII and the Latin-1 letters, which are composed already
+#: and lower to one letter each. All other words take the tokenizer's own normalising path.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The tokenizer's split pattern over these characters, after lowering.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]"
+                    "|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: The byte-level alphabet: each UTF-8 byte as a printable character.
+_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: chr(b) for b in _BYTES} | {
+    b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_BYTES))}
+
+
 class WordIds(dict):
-    """Ids of words, as little-endian bytes. The tokenizer never joins over white space."""
+    """Ids of words, as little-endian bytes. The tokenizer never joins over white space.
+
+    Rare words cost most: the merges of a plain word's parts are run on the model itself,
+    without the normaliser's bookkeeping. Parts (str) are remembered beside words (bytes).
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.path = path
 
     def learn(self, words) -> None:
-        new = list(set(words).difference(self))
+        new = set(words).difference(self)
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
+            new = set(words)
+        other = []
+        merges = tokenizer(self.path).model.tokenize
+        for w in new:
+            text = w.decode()
+            if not _PLAIN.fullmatch(text):
+                other.append(w)
+                continue
+            ids = []
+            for part in _PARTS.findall(text.lower()):
+                got = self.get(part)
+                if got is None:
+                    letters = part if part.isascii() else part.encode().decode("latin-1").translate(_ALPHABET)
+                    found = [t.id for t in merges(letters)]
+                    got = self[part] = struct.pack(f"<{len(found)}I", *found)
+                ids.append(got)
+            self[w] = b"".join(ids)
+        for i in range(0, len(other), 20_000):
+            part = other[i:i + 20_000]
             got = tokenizer(self.path).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             for w, e in zip(part, got):
                 self[w] = np.array(e.ids, "<u4").tobytes()
