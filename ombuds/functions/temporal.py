@@ -6,9 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from .. import schema as S
 
-# Accepted date formats for text dates, day first, tried in order.
-DATE_FORMATS = ["dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy",
-                "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd"]
+# Accepted date formats for text dates, day first, tried in order (P3). Day, month and hour
+# may have one digit; seconds may have a fraction; ISO dates may have a zone (read as UTC).
+DATE_FORMATS = ["d/M/yyyy H:mm:ss[.SSSSSSSSS]", "d/M/yyyy H:mm", "d/M/yyyy",
+                "yyyy-M-d H:mm:ss[.SSSSSSSSS][XXX]", "yyyy-M-d'T'H:mm:ss[.SSSSSSSSS][XXX]",
+                "yyyy-M-d H:mm", "yyyy-M-d'T'H:mm", "yyyy-M-d"]
 
 
 def _c(col) -> Column:

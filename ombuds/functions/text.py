@@ -56,8 +56,9 @@ def keep_specific_subcategory(col) -> Column:
 
 def composite_text(available: Iterable[str], parts: list[str] | None = None,
                    min_part: int = S.COMPOSITE_MIN_PART,
-                   max_chars: int = S.COMPOSITE_MAX_CHARS) -> Column:
-    """Stripped parts longer than ``min_part`` joined by a space, cut at ``max_chars``.
+                   max_chars: int | None = S.COMPOSITE_MAX_CHARS) -> Column:
+    """Stripped parts longer than ``min_part`` joined by a space, cut at ``max_chars``
+    (None: whole).
 
     Columns absent from ``available`` are skipped, like the reference."""
     present = set(available)
@@ -65,7 +66,8 @@ def composite_text(available: Iterable[str], parts: list[str] | None = None,
     if not cols:
         return F.lit("")
     kept = F.filter(F.array(*cols), lambda x: x.isNotNull() & (F.length(x) > min_part))
-    return F.substring(F.array_join(kept, " "), 1, max_chars)
+    joined = F.array_join(kept, " ")
+    return joined if max_chars is None else F.substring(joined, 1, max_chars)
 
 
 def forest_text(available: Iterable[str], parts: list[str] | None = None) -> Column:

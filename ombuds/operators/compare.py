@@ -6,7 +6,7 @@ row order, so a stable key is required).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import schema as S
 from ..functions import text as X
@@ -48,12 +48,10 @@ def reclassified_distribution(before: DataFrame, after: DataFrame, key: str = S.
     such rows (rows whose new label is null count in the denominator)."""
     was = before.where(X.has_outro(label)).select(key)
     new = after.select(key, F.col(label).alias("new_label"))
-    j = was.join(new, key)
-    total = j.select(F.count(F.lit(1)).cast("double")).scalar()
-    return (j.where(F.col("new_label").isNotNull()).groupBy("new_label")
-              .agg(F.count(F.lit(1)).alias("n"))
-              .select(F.col("new_label").alias("label"), "n",
-                      F.round(F.col("n") * 100.0 / total, 2).alias("pct")))
+    counts = was.join(new, key).groupBy("new_label").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # over one row per label, the null label included
+    return (counts.select(F.col("new_label").alias("label"), "n", F.round(F.col("n") * 100.0 / total, 2).alias("pct"))
+                  .where(F.col("label").isNotNull()))
 
 
 def remaining_outros(snapshots: dict[str, DataFrame], label: str = S.SUBCATEGORY) -> DataFrame:
@@ -72,3 +70,11 @@ def outros_variants(df: DataFrame, label: str = S.SUBCATEGORY) -> DataFrame:
     """Spellings that contain OUTRO, with counts."""
     return (df.where(F.coalesce(F.upper(F.col(label)).contains(S.GENERIC_SUB_MARK), F.lit(False)))
               .groupBy(F.col(label).alias("variant")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def valid_label_counts(df: DataFrame, label: str = S.SUBCATEGORY) -> DataFrame:
+    """A23, second half: labels that are present, not blank and without OUTRO, with counts
+    and the number of distinct ones on each row."""
+    valid = df.where(X.keep_specific_subcategory(label)).groupBy(F.col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return valid.withColumn("distinct_labels", F.count(F.lit(1)).over(Window.partitionBy()))

@@ -8,10 +8,14 @@ regex engines agree).
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -40,40 +44,127 @@ def ngrams(tok: Column, n_max: int = 3) -> Column:
     return F.concat(*parts)
 
 
-# ---- M1 ----------------------------------------------------------------------------
-def fit_hashed_encoder(corpus: DataFrame, text_col: str, dims: int = 384) -> PipelineModel:
-    """Fit tokenizer -> HashingTF -> IDF -> L2 normaliser on a corpus (one
-    distributed aggregation for the document frequencies). No model download."""
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_PATTERN,
-                       gaps=False, toLowercase=True, minTokenLength=2),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dims),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_unit", p=2.0)])
-    return pipe.fit(corpus.select(text_col))
+# ---- M1: encoders ---------------------------------------------------------------------
+# An encoder has ``fit(df, text_col)`` -> fitted; a fitted one has ``name``, ``dims``,
+# ``encode(df, text_col, out_col)``, ``save(path)`` and ``state()`` (small, for the metadata).
+class HashedEncoder:
+    """Tokenizer -> HashingTF -> IDF -> L2 normaliser of MLlib. No model download."""
+
+    def __init__(self, dims: int = 384):
+        self.dims = dims
+
+    def fit(self, corpus: DataFrame, text_col: str) -> "FittedHashed":
+        pipe = Pipeline(stages=[
+            RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=TOKEN_PATTERN,
+                           gaps=False, toLowercase=True, minTokenLength=2),
+            HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=self.dims),
+            IDF(inputCol="_tf", outputCol="_idf"),
+            Normalizer(inputCol="_idf", outputCol="_unit", p=2.0)])
+        return FittedHashed(pipe.fit(corpus.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))), self.dims)
+
+
+class FittedHashed:
+    name = "hashing-tf-idf"
+
+    def __init__(self, model: PipelineModel, dims: int):
+        self.model, self.dims = model, dims
+
+    def encode(self, df: DataFrame, text_col: str, out_col: str = "vec") -> DataFrame:
+        """Unit vectors as ARRAY<DOUBLE> (``dims`` entries); null where the text is null."""
+        t = self.model.transform(df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))))
+        vec = F.when(F.col(text_col).isNotNull(), vector_to_array("_unit"))
+        return t.withColumn(out_col, vec).drop("_text", "_tok", "_tf", "_idf", "_unit")
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    def state(self) -> dict:
+        return {"kind": "hashed", "dims": self.dims}
+
+
+def md5_buckets(col, dims: int) -> Column:
+    """Bucket of each token: the first 8 hex digits of its md5, modulo ``dims``."""
+    return F.transform(tokens(col), lambda t: (
+        F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dims).cast("int"))
+
+
+class Md5Encoder:
+    """Token buckets by md5 (any SQL engine computes the same), IDF, L2 norm."""
+
+    def __init__(self, dims: int = 384):
+        self.dims = dims
+
+    def fit(self, corpus: DataFrame, text_col: str) -> "FittedMd5":
+        found = corpus.select(F.explode(F.array_distinct(md5_buckets(text_col, self.dims))).alias("b"))
+        df = {r.b: r.n for r in found.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most dims rows
+        n = corpus.count()
+        return FittedMd5(self.dims, [math.log((n + 1) / (df.get(b, 0) + 1)) for b in range(self.dims)])
+
+
+class FittedMd5:
+    name = "md5-tf-idf"
+
+    def __init__(self, dims: int, idf: list[float]):
+        self.dims, self.idf = dims, idf
+
+    def encode(self, df: DataFrame, text_col: str, out_col: str = "vec") -> DataFrame:
+        """Unit vectors as ARRAY<DOUBLE>; null where the text is null, zero without tokens."""
+        dims, idf = self.dims, np.array(self.idf)
+
+        @F.pandas_udf("array<double>")
+        def weigh(buckets: pd.Series) -> pd.Series:
+            def one(b):
+                if b is None:
+                    return None
+                v = np.bincount(b, minlength=dims) * idf
+                n = np.sqrt((v * v).sum())
+                return v / n if n > 0 else v
+            return buckets.map(one)
+
+        return df.withColumn(out_col, weigh(F.when(F.col(text_col).isNotNull(), md5_buckets(text_col, dims))))
+
+    def save(self, path: str) -> None:
+        """Nothing beside ``state``: the weights are a number per dimension."""
+
+    def state(self) -> dict:
+        return {"kind": "md5", "dims": self.dims, "idf": self.idf}
 
 
-def encode(model: PipelineModel, df: DataFrame, out_col: str = "vec") -> DataFrame:
-    """Unit vectors as ARRAY<DOUBLE> (dense, ``dims`` entries)."""
-    return (model.transform(df).withColumn(out_col, vector_to_array("_unit"))
-                 .drop("_tok", "_tf", "_idf", "_unit"))
+def load_encoder(spark: SparkSession, path: str, state: dict):
+    """A fitted encoder from what ``save`` and ``state`` left."""
+    if state["kind"] == "md5":
+        return FittedMd5(state["dims"], state["idf"])
+    return FittedHashed(PipelineModel.load(path), state["dims"])
 
 
 # ---- M6 ----------------------------------------------------------------------------
-def tfidf_vocabulary(docs: DataFrame, text_col: str, doc_id: str, max_features: int = 5000,
+def tfidf_vocabulary(docs: DataFrame, text_col: str, doc_id: str, max_features: int | None = 5000,
                      min_df: int = 2, max_df: float = 0.95, n_max: int = 3) -> DataFrame:
     """Vocabulary of a TF-IDF vectoriser with 1..3-grams: terms with document
     frequency >= ``min_df`` and <= ``max_df`` * #docs, the ``max_features`` most
     frequent across the corpus (ties by term), and smoothed idf
     ``ln((1 + n) / (1 + df)) + 1``.
 
-    One explode of the n-grams, a (term, doc) aggregation, then a (term)
-    aggregation; the final top-``max_features`` is a bounded top-k."""
-    grams = docs.select(F.col(doc_id).alias("doc"), F.explode(ngrams(tokens(text_col), n_max)).alias("term"))
-    per_doc = grams.groupBy("term", "doc").agg(F.count(F.lit(1)).alias("c"))
-    stats = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("tf"))
+    A document's n-grams are sorted in its row and the first of each run is marked, so one
+    aggregation gives both counts with a single shuffle on the term; ``max_features`` None
+    keeps every term."""
     n = docs.select(F.count(F.lit(1)).cast("double")).scalar()  # scalar subquery, stays in the plan
+    sorted_ = docs.select(F.sort_array(ngrams(tokens(text_col), n_max)).alias("g"))
+    marked = sorted_.select(F.explode(F.transform("g", lambda t, i: F.struct(
+        t.alias("term"), (~t.eqNullSafe(F.get("g", i - 1))).cast("int").alias("first")))).alias("x"))
+    stats = marked.groupBy("x.term").agg(F.sum("x.first").alias("df"), F.count(F.lit(1)).alias("tf"))
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
-    top = kept.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
-    return top.select("term", "df", "tf",
-                      (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+    if max_features is not None:
+        kept = kept.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
+    return kept.select("term", "df", "tf",
+                       (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+
+
+def tfidf_vectors(docs: DataFrame, text_col: str, doc_id: str, vocabulary: DataFrame, n_max: int = 3) -> DataFrame:
+    """M6: document vectors in long form ``(doc_id, term, weight)``: tf * idf over the
+    vocabulary's terms, at L2 length 1 per document."""
+    grams = docs.select(F.col(doc_id), F.explode(ngrams(tokens(text_col), n_max)).alias("term"))
+    tf = grams.join(vocabulary.select("term", "idf"), "term").groupBy(doc_id, "term").agg(
+        (F.count(F.lit(1)) * F.first("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
+    return tf.select(doc_id, "term", (F.col("w") / norm).alias("weight"))

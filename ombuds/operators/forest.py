@@ -9,18 +9,21 @@ the reference asks for 50).
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, IDF, IndexToString, Normalizer, NGram, RegexTokenizer, \
-    SQLTransformer, StringIndexer
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, IndexToString, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from .features import TOKEN_PATTERN
+from ..session import written
+from .features import ngrams, tokens
+from .sampling import stratified_sample_b
 
-FOREST_PARAMS = dict(numTrees=200, maxDepth=30, minInstancesPerNode=2, seed=42)
+FOREST_PARAMS = dict(numTrees=200, maxDepth=30, minInstancesPerNode=2, seed=42, maxMemoryInMB=1024)
+#: Training rows, drawn by W8: the trees live on the driver, so their size must not follow the data.
+MAX_TRAIN_ROWS = 5000
 
 
 def split_for_training(df: DataFrame, label: str = S.SUBCATEGORY) -> tuple[DataFrame, DataFrame]:
@@ -29,34 +32,51 @@ def split_for_training(df: DataFrame, label: str = S.SUBCATEGORY) -> tuple[DataF
     return df.where(~flag & F.col(label).isNotNull()), df.where(flag)
 
 
-def forest_pipeline(label: str, max_features: int = 5000, **forest) -> Pipeline:
-    params = {**FOREST_PARAMS, **forest}
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol="_text", outputCol="_w1", pattern=TOKEN_PATTERN, gaps=False,
-                       toLowercase=True, minTokenLength=2),
-        NGram(n=2, inputCol="_w1", outputCol="_w2"),
-        NGram(n=3, inputCol="_w1", outputCol="_w3"),
-        SQLTransformer(statement="SELECT *, concat(_w1, _w2, _w3) AS _grams FROM __THIS__"),
-        CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=max_features, minDF=2.0, maxDF=0.95),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_x", p=2.0),
-        StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc"),
-        RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_pred",
-                               probabilityCol="_prob", rawPredictionCol="_raw", **params)])
+def _grams(df: DataFrame, text) -> DataFrame:
+    """Token 1..3-grams of the forest text as ``_grams``."""
+    return df.withColumn("_grams", ngrams(tokens(text), 3))
 
 
-def forest_predict(df: DataFrame, key: str = S.KEY, label: str = S.SUBCATEGORY,
-                   **forest) -> DataFrame:
-    """M7: ``(key, predicted, confidence)`` for the 'outros' rows; confidence is the
-    largest class probability."""
+class Forest:
+    """Fitted vocabulary, weights (sklearn's idf, ``ln((1 + n) / (1 + df)) + 1``, L2 rows) and trees."""
+
+    def __init__(self, stages: list, labels: list[str]):
+        self.stages, self.labels = stages, labels
+
+    def predict(self, df: DataFrame, key: str = S.KEY) -> DataFrame:
+        """M7: ``(key, predicted, confidence)``; confidence is the largest class probability."""
+        t = _grams(df, X.forest_text(df.columns)).select(key, "_grams")
+        for stage in self.stages:
+            t = stage.transform(t)
+        t = IndexToString(inputCol="_pred", outputCol="predicted", labels=self.labels).transform(t)
+        return t.select(key, "predicted", F.array_max(vector_to_array("_prob")).alias("confidence"))
+
+
+def fit_forest(df: DataFrame, key: str = S.KEY, label: str = S.SUBCATEGORY, max_features: int = 5000,
+               max_train_rows: int = MAX_TRAIN_ROWS, **forest) -> Forest:
+    """M6 + M7: train on a stratified draw (W8) of the rows whose label is not 'outros'."""
     text = X.forest_text(df.columns)
-    base = df.withColumn("_text", text)
-    train, todo = split_for_training(base, label)
-    model = forest_pipeline(label, **forest).fit(train.select(key, label, "_text"))
-    indexer = model.stages[-2]
-    to_label = IndexToString(inputCol="_pred", outputCol="predicted", labels=indexer.labels)
-    scored = to_label.transform(model.transform(todo.select(key, "_text")))
-    return scored.select(key, "predicted", F.array_max(vector_to_array("_prob")).alias("confidence"))
+    train, _ = split_for_training(df, label)
+    drawn = stratified_sample_b(_grams(train, text).select(key, F.col(label).alias("_label"), "_grams"),
+                                "_label", key, max_train_rows)
+    drawn = written(df.sparkSession, drawn, "forest-rows")
+    counts = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=max_features, minDF=2.0, maxDF=0.95).fit(drawn)
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(drawn)).idf.toArray() + 1.0
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf")
+    norm = Normalizer(inputCol="_tfidf", outputCol="_x", p=2.0)
+    index = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(drawn)
+    rows = index.transform(norm.transform(scale.transform(counts.transform(drawn)))).select("_x", "_y")
+    rows = written(df.sparkSession, rows, "forest-features")
+    trees = RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_pred", probabilityCol="_prob",
+                                   rawPredictionCol="_raw", **{**FOREST_PARAMS, **forest}).fit(rows)
+    return Forest([counts, scale, norm, trees], index.labels)
+
+
+def forest_predict(df: DataFrame, key: str = S.KEY, label: str = S.SUBCATEGORY, model: Forest | None = None,
+                   **forest) -> DataFrame:
+    """M7: predictions for the 'outros' rows, by ``model`` or one fitted here."""
+    model = model or fit_forest(df, key, label, **forest)
+    return model.predict(split_for_training(df, label)[1], key)
 
 
 def relabel(df: DataFrame, predictions: DataFrame, key: str = S.KEY, label: str = S.SUBCATEGORY,
@@ -64,8 +84,9 @@ def relabel(df: DataFrame, predictions: DataFrame, key: str = S.KEY, label: str
     """M8 + J3: write predictions back onto every row.
 
     ``top_n`` (T2): only the ``n`` most confident predictions are written.
-    ``first_n`` (T3): only the first ``n`` rows in key order are written.
-    Both are top-k selections (per-partition top-k, then merge).
+    ``first_n`` (T3): only the first ``n`` rows in key order are considered.
+    Both are top-k selections (per-partition top-k, then merge). Predictions with an
+    ``accepted`` column are written only where it holds (T3; the forest, T2, has none).
     ``candidates`` (a boolean Column): only rows that can have a prediction are
     joined; the others are unioned back without a shuffle."""
     if candidates is not None:
@@ -79,9 +100,11 @@ def relabel(df: DataFrame, predictions: DataFrame, key: str = S.KEY, label: str
         p = p.orderBy(F.col("confidence").desc(), F.col(key)).limit(top_n)
     elif first_n is not None:
         p = p.orderBy(F.col(key)).limit(first_n)
+    if "accepted" in p.columns:
+        p = p.where(F.col("accepted"))
     p = p.select(F.col(key).alias("_k"), F.col("predicted").alias("_p"),
                  F.col("confidence").alias("_c"))
-    j = df.join(p, df[key] == p["_k"], "left")
+    j = df.join(p, df[key].eqNullSafe(p["_k"]), "left")
     return j.withColumn(label, F.coalesce(F.col("_p").cast(dict(df.dtypes)[label]), F.col(label))) \
             .withColumn("relabel_confidence", F.col("_c")).drop("_k", "_p", "_c")
 

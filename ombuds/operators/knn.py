@@ -1,22 +1,16 @@
 """Exact cosine top-k similarity join (J1, J2) and the neighbour vote.
 
-Strategy: a blocked nested-loop join expressed with Spark primitives.
-
-* queries are hashed into ``Q`` blocks, references into ``R`` blocks;
-* every query row is replicated to the ``R`` reference blocks and every
-  reference row to the ``Q`` query blocks (``explode(sequence)``), so each
-  ``(qb, rb)`` pair meets exactly once;
-* ``cogroup(...).applyInPandas`` computes one matrix product per pair with numpy
-  and emits only the local top-k per query -- never the pairs themselves;
-* with ``R > 1`` a per-query window keeps the best ``k`` of the ``R * k``
-  candidates.
-
-Block sizes bound the memory of every task (``query_block`` x ``ref_block``
-similarities), the work is spread over ``Q * R`` tasks, and the result is exact:
-no candidate is capped or sampled. Nothing passes through the driver except the
-two row counts used to size the blocks. When the reference side is small,
-``R == 1`` and the plan degenerates to "replicate the references to every query
-block", i.e. a broadcast done through the shuffle.
+Two plans:
+
+* ``topk_in_set``: a reference set of bounded, checked size (see ``reference``) is broadcast as
+  one normalised matrix. Queries stay where they are: ``mapInArrow`` multiplies each batch by
+  it, in tiles. No shuffle and no count.
+* ``similarity_topk``: references that grow with the data. Queries and references are hashed
+  into blocks; each pair of blocks meets once in a ``cogroup``, which emits the local top-k
+  per query, never the pairs. Blocks are bounded in rows, there are at least as many as
+  cores, and a task multiplies tiles of a block. With several reference blocks a
+  per-query window keeps the best ``k``. Only the two row counts that size the blocks reach
+  the driver. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -25,44 +19,85 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .. import schema as S
 
 TOPK_FIELDS = ["query_id", "rank", "ref_id", "ref_label", "similarity"]
+TILE = 256
 
 
-def _local_topk(k: int, label_type: str):
-    def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(r) == 0:
-            return pd.DataFrame({c: [] for c in TOPK_FIELDS})
-        r = r.sort_values("ref_id", kind="stable").reset_index(drop=True)
-        qm = np.stack(q["vec"].to_numpy()).astype(np.float64)
-        rm = np.stack(r["vec"].to_numpy()).astype(np.float64)
-        qn = np.linalg.norm(qm, axis=1)
-        rn = np.linalg.norm(rm, axis=1)
-        sim = qm @ rm.T
-        denom = np.outer(qn, rn)
-        sim = np.divide(sim, denom, out=np.zeros_like(sim), where=denom > 0)  # zero vector -> 0
-        kk = min(k, sim.shape[1])
-        neg = -sim
-        # k best per row in one vectorised pass, ordered (similarity desc, ref_id asc)
+def unit_rows(vectors) -> np.ndarray:
+    """Matrix of the vectors at length 1; a zero vector stays zero."""
+    m = np.stack(vectors).astype(np.float64)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def tile_topk(q: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, similarities) [rows of q, k] by similarity, ties to the smaller column."""
+    kk = min(k, len(r))
+    picks, values = np.empty((len(q), kk), np.int64), np.empty((len(q), kk))
+    for a in range(0, len(q), TILE):
+        neg = -(q[a:a + TILE] @ r.T)
         part = np.argpartition(neg, kk - 1, axis=1)[:, :kk]
         vals = np.take_along_axis(neg, part, axis=1)
-        picks = np.take_along_axis(part, np.lexsort((part, vals), axis=1), axis=1)
-        # rows with a tie at the k-th place: choose among all tied refs exactly
+        best = np.take_along_axis(part, np.lexsort((part, vals), axis=1), axis=1)
         kth = vals.max(axis=1)
-        for i in np.flatnonzero((neg <= kth[:, None]).sum(axis=1) > kk):
+        for i in np.flatnonzero((neg <= kth[:, None]).sum(axis=1) > kk):  # ties at the k-th place
             cand = np.flatnonzero(neg[i] <= kth[i])
-            picks[i] = cand[np.lexsort((cand, neg[i, cand]))[:kk]]
-        ri = np.repeat(np.arange(sim.shape[0]), kk)
-        ci = picks.reshape(-1)
+            best[i] = cand[np.lexsort((cand, neg[i, cand]))[:kk]]
+        picks[a:a + TILE] = best
+        values[a:a + TILE] = -np.take_along_axis(neg, best, axis=1)
+    return picks, values
+
+
+def _out_schema(query_type, ref_type, label_type) -> T.StructType:
+    return T.StructType([T.StructField("query_id", query_type), T.StructField("rank", T.IntegerType()),
+                         T.StructField("ref_id", ref_type), T.StructField("ref_label", label_type),
+                         T.StructField("similarity", T.DoubleType())])
+
+
+def topk_in_set(queries: DataFrame, reference, k: int = S.KNN_K, query_id: str = "query_id",
+                query_vec: str = "vec") -> DataFrame:
+    """J1 against a ``reference.ReferenceSet``: output as ``similarity_topk``, no shuffle."""
+    ids, labels, matrix = reference.arrays()
+    shared = queries.sparkSession.sparkContext.broadcast((ids, labels, matrix))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("vec"))
+    schema = _out_schema(q.schema["query_id"].dataType, reference.ref_type, T.StringType())
+
+    def run(batches):
+        ids, labels, matrix = shared.value
+        for b in batches:
+            for a in range(0, b.num_rows, 4096):
+                part = b.slice(a, 4096)
+                if not part.num_rows or not len(ids):
+                    continue
+                at, sim = tile_topk(unit_rows(part.column(1).to_numpy(zero_copy_only=False)), matrix, k)
+                row = np.repeat(np.arange(part.num_rows), at.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row)),
+                     pa.array(np.tile(np.arange(1, at.shape[1] + 1, dtype=np.int32), part.num_rows)),
+                     ids.take(pa.array(at.ravel())), labels.take(pa.array(at.ravel())), pa.array(sim.ravel())],
+                    names=TOPK_FIELDS)
+
+    return q.mapInArrow(run, schema)
+
+
+def _local_topk(k: int):
+    def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(r) == 0:
+            return pd.DataFrame({c: [] for c in TOPK_FIELDS})
+        r = r.sort_values("ref_id", kind="stable").reset_index(drop=True)
+        at, sim = tile_topk(unit_rows(q["vec"].to_numpy()), unit_rows(r["vec"].to_numpy()), k)
+        row = np.repeat(np.arange(len(q)), at.shape[1])
         return pd.DataFrame({
-            "query_id": q["query_id"].to_numpy()[ri],
-            "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), sim.shape[0]),
-            "ref_id": r["ref_id"].to_numpy()[ci],
-            "ref_label": r["ref_label"].to_numpy()[ci],
-            "similarity": sim[ri, ci],
+            "query_id": q["query_id"].to_numpy()[row],
+            "rank": np.tile(np.arange(1, at.shape[1] + 1, dtype=np.int32), len(q)),
+            "ref_id": r["ref_id"].to_numpy()[at.ravel()],
+            "ref_label": r["ref_label"].to_numpy()[at.ravel()],
+            "similarity": sim.ravel(),
         })
     return run
 
@@ -70,7 +105,7 @@ def _local_topk(k: int, label_type: str):
 def similarity_topk(queries: DataFrame, refs: DataFrame, k: int = S.KNN_K,
                     query_id: str = "query_id", query_vec: str = "vec",
                     ref_id: str = "ref_id", ref_vec: str = "vec", ref_label: str = "label",
-                    query_block: int = 4096, ref_block: int = 32768) -> DataFrame:
+                    query_block: int = 4096, ref_block: int = 16384) -> DataFrame:
     """For every query row, its ``k`` most cosine-similar reference rows.
 
     Output ``(query_id, rank, ref_id, ref_label, similarity)``; ties on similarity
@@ -78,28 +113,15 @@ def similarity_topk(queries: DataFrame, refs: DataFrame, k: int = S.KNN_K,
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
     r = refs.select(F.col(ref_id).alias("ref_id"), F.col(ref_vec).alias("vec"),
                     F.col(ref_label).alias("ref_label"))
-    n_q = q.count()
-    n_r = r.count()
-    label_type = r.schema["ref_label"].dataType
-    out_schema = T.StructType([
-        T.StructField("query_id", q.schema["query_id"].dataType),
-        T.StructField("rank", T.IntegerType()),
-        T.StructField("ref_id", r.schema["ref_id"].dataType),
-        T.StructField("ref_label", label_type),
-        T.StructField("similarity", T.DoubleType())])
-    if n_q == 0 or n_r == 0:
-        return q.sparkSession.createDataFrame([], out_schema)
-    nq_blocks = max(1, math.ceil(n_q / query_block))
-    nr_blocks = max(1, math.ceil(n_r / ref_block))
+    out_schema = _out_schema(q.schema["query_id"].dataType, r.schema["ref_id"].dataType, r.schema["ref_label"].dataType)
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    nq_blocks = max(cores, math.ceil(q.count() / query_block))
+    nr_blocks = max(1, math.ceil(r.count() / ref_block))
     qx = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq_blocks)).cast("int"))
            .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr_blocks - 1)))))
     rx = (r.withColumn("rb", F.pmod(F.xxhash64("ref_id"), F.lit(nr_blocks)).cast("int"))
            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq_blocks - 1)))))
-    local = (qx.groupBy("qb", "rb")
-               .cogroup(rx.groupBy("qb", "rb"))
-               .applyInPandas(_local_topk(k, label_type.simpleString()), out_schema))
-    if nr_blocks == 1:
-        return local
+    local = (qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb")).applyInPandas(_local_topk(k), out_schema))
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("ref_id"))
     return (local.drop("rank").withColumn("rank", F.row_number().over(w))
                  .where(F.col("rank") <= k).select(*TOPK_FIELDS))

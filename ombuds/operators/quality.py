@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schema as S
 from ..functions import text as X
+from ..session import written
 
 ISSUE_SCHEMA = T.StructType([
     T.StructField("severity", T.StringType()), T.StructField("rule", T.StringType()),
@@ -15,14 +16,18 @@ ISSUE_SCHEMA = T.StructType([
 
 
 def quality_issues(df: DataFrame, required: list[str] | None = None, key: str = S.KEY,
-                   date_col: str = S.REGISTERED_AT, sample_size: int = 10) -> DataFrame:
+                   date_col: str = S.REGISTERED_AT, sample_size: int = 10,
+                   raw_dates: str | None = None) -> DataFrame:
     """Issues ``(severity, rule, column, n, sample)``; valid = no 'error' rows.
 
     * missing required columns (early stop, like the reference);
     * duplicate keys: number of keys seen more than once, sample = first 10 keys
       in key order (a top-10, never a full collect);
-    * null count per required column (one aggregation, then ``stack``);
-    * null dates (what the reference's date check counts)."""
+    * null count per required column, null dates;
+    * with ``raw_dates`` (the column of the unparsed text): dates that could not be parsed.
+
+    The input is read once: one keyed aggregation carries copies and null counts, so a hot
+    key is one row per map task."""
     spark: SparkSession = df.sparkSession
     required = required or S.REQUIRED_COLUMNS
     missing = [c for c in required if c not in df.columns]
@@ -30,34 +35,24 @@ def quality_issues(df: DataFrame, required: list[str] | None = None, key: str =
         return spark.createDataFrame(
             [("error", "missing_columns", None, len(missing), ", ".join(missing))], ISSUE_SCHEMA)
 
-    dups = df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    # count and top-10 sample come from the same aggregate; combined by a union
-    # of two one-row results (no join)
-    dup_count = dups.agg(F.count(F.lit(1)).alias("n")).select(
-        "n", F.lit(None).cast("string").alias("sample"))
-    dup_sample = (dups.select(key).orderBy(F.col(key).asc_nulls_first()).limit(sample_size)
-                      .agg(F.array_join(F.collect_list(F.col(key)), ", ").alias("sample"))
-                      .select(F.lit(None).cast("bigint").alias("n"), "sample"))
-    dup_row = (dup_count.unionByName(dup_sample)
-                        .agg(F.max("n").alias("n"), F.max("sample").alias("sample"))
-                        .where(F.col("n") > 0)
-                        .select(F.lit("error").alias("severity"), F.lit("duplicate_key").alias("rule"),
-                                F.lit(key).alias("column"), F.col("n").cast("bigint").alias("n"),
-                                "sample"))
-
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required],
-                   F.count_if(F.col(date_col).isNull()).alias("_null_dates"))
-    parts = ", ".join(f"'{c}', `{c}`" for c in required)
-    null_rows = (nulls.selectExpr(f"stack({len(required)}, {parts}) AS (column, n)", "_null_dates")
-                 .where(F.col("n") > 0)
-                 .select(F.lit("error").alias("severity"), F.lit("null_values").alias("rule"),
-                         "column", F.col("n").cast("bigint").alias("n"),
-                         F.lit(None).cast("string").alias("sample")))
-    date_row = (nulls.where(F.col("_null_dates") > 0)
-                .select(F.lit("warning").alias("severity"), F.lit("null_dates").alias("rule"),
-                        F.lit(date_col).alias("column"), F.col("_null_dates").cast("bigint").alias("n"),
-                        F.lit(None).cast("string").alias("sample")))
-    return dup_row.unionByName(null_rows).unionByName(date_row)
+    counts = {c: F.count_if(F.col(c).isNull()) for c in required if c != key}
+    counts["_null_dates"] = F.count_if(F.col(date_col).isNull())
+    if raw_dates is not None:
+        counts["_unparseable"] = F.count_if(F.col(raw_dates).isNotNull() & F.col(date_col).isNull())
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"), *(v.alias(n) for n, v in counts.items()))
+    per_key = written(spark, per_key, "quality-keys")  # one row per key; read by the two branches below
+    a = per_key.agg(F.count_if(F.col("_c") > 1).alias("_dups"),
+                    F.sum(F.when(F.col(key).isNull(), F.col("_c")).otherwise(0)).alias(key),
+                    *(F.sum(n).alias(n) for n in counts))
+    sample = (per_key.where(F.col("_c") > 1).select(key).orderBy(F.col(key).asc_nulls_first()).limit(sample_size)
+              .agg(F.array_join(F.collect_list(F.col(key)), ", ").alias("s"))).select("s").scalar()
+    rows = [("error", "duplicate_key", key, "_dups")] + [("error", "null_values", c, c) for c in required]
+    rows.append(("warning", "null_dates", date_col, "_null_dates"))
+    if raw_dates is not None:
+        rows.append(("warning", "unparseable_dates", date_col, "_unparseable"))
+    parts = ", ".join(f"'{sev}', '{rule}', '{c}', CAST(`{v}` AS BIGINT)" for sev, rule, c, v in rows)
+    issues = a.selectExpr(f"stack({len(rows)}, {parts}) AS (severity, rule, column, n)").where(F.col("n") > 0)
+    return issues.select("*", F.when(F.col("rule") == "duplicate_key", sample).alias("sample"))
 
 
 def is_valid(issues: DataFrame) -> bool:

@@ -20,13 +20,12 @@ def ranking(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
                 .groupBy(F.col(col).alias("label"))
                 .agg(F.count(F.lit(1)).alias("n")))
     order = Window.orderBy(F.col("n").desc(), F.col("label"))
-    whole = Window.partitionBy()
-    out = counts.select(
-        F.row_number().over(order).alias("rank"), "label", "n",
-        F.round(F.col("n") * 100.0 / F.sum("n").over(whole), 2).alias("share_pct"))
-    if top is not None:  # T4: head(n) of the ranking
-        out = out.where(F.col("rank") <= top)
-    return out
+    total = F.sum("n").over(Window.partitionBy())
+    if top is not None:  # T4: head(n); only the top rows meet in the ranking window
+        total = counts.select(F.sum("n")).scalar()
+        counts = counts.orderBy(F.col("n").desc(), F.col("label")).limit(top)
+    return counts.select(F.row_number().over(order).alias("rank"), "label", "n",
+                         F.round(F.col("n") * 100.0 / total, 2).alias("share_pct"))
 
 
 def category_ranking(df: DataFrame, drop_generic: bool = False, top: int | None = None) -> DataFrame:

@@ -6,10 +6,12 @@ sorting a whole label in one task (one label may hold a third of all rows):
 
 1. rows are counted per (label, hash bucket) -- the bucket is the first four hex
    digits of the hash, so 65,536 ordered buckets per label;
-2. a running sum over those counts (a window over the *aggregate*) tells which
-   buckets are wholly in, wholly out, or the single boundary bucket per label;
-3. only rows of a boundary bucket are ranked, partitioned by (label, bucket),
-   i.e. about 1/65,536 of a label per window partition.
+2. a running sum over those counts (a window over the *aggregate*) finds the single
+   boundary bucket per label and how many rows are still wanted from it;
+3. only the hashes of a boundary bucket are ranked, about 1/65,536 of a label, and
+   every row is compared with the last hash that is in.
+
+Ids must be unique: rows of equal ids have equal hashes and are drawn together.
 
 The result equals ``row_number() OVER (PARTITION BY label ORDER BY hash) <= n``.
 """
@@ -32,13 +34,22 @@ def flag_first_n_per_group(df: DataFrame, group: str, n_per_group,
     ``n_per_group`` is an int or a function ``(group_count, total_count) -> Column``
     giving n from the group's row count and the table's row count.
 
-    Plan: one aggregation per (group, bucket); running sums over that aggregate;
-    one equi-join back on (group, bucket); a row_number partitioned by the same
-    (group, bucket) keys, so the window reuses the join's partitioning and each
-    window partition holds ~1/65,536 of a group. Null groups use their own key."""
+    Plan: one aggregation per (group, bucket); running sums over that aggregate leave one
+    row per group: its boundary bucket and the rows still wanted from it. Rows of lower buckets
+    are in, of higher ones out. Only the hashes of the boundary buckets are ranked, about
+    1/65,536 of a group, to find the last hash that is in; rows are then compared with it.
+    The one-row-per-group tables are joined (broadcast by AQE if small); raw rows are never
+    shuffled for a rank. Null groups use their own key."""
     x = (df.withColumn("_h", order_hash(id_col, seed))
            .withColumn("_b", F.substring("_h", 1, 4))
            .withColumn("_g", F.coalesce(F.concat(F.lit("v"), F.col(group).cast("string")), F.lit("n"))))
+    last = _last_hash(x, n_per_group)
+    return (x.join(last, "_g").withColumn(flag, F.coalesce(F.col("_h") <= F.col("_last"), F.lit(False)))
+             .select(*df.columns, flag))
+
+
+def _last_hash(x: DataFrame, n_per_group) -> DataFrame:
+    """(_g, _last): the hash of the n-th row of each group (null if none is wanted)."""
     counts = x.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     group_count = F.sum("_cnt").over(Window.partitionBy("_g"))
@@ -47,13 +58,14 @@ def flag_first_n_per_group(df: DataFrame, group: str, n_per_group,
         n = n_per_group(group_count, total)
     else:
         n = F.lit(int(n_per_group))
-    cum = counts.select("_g", "_b", "_cnt",
-                        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before"),
-                        n.cast("bigint").alias("_n"))
-    j = x.join(cum, ["_g", "_b"])
+    cum = counts.select("_g", "_b", "_cnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_before"),
+                        F.least(n.cast("bigint"), group_count).alias("_n"))
+    edge = cum.where((F.col("_before") < F.col("_n")) & (F.col("_n") <= F.col("_before") + F.col("_cnt")))
+    edge = edge.select("_g", "_b", (F.col("_n") - F.col("_before")).alias("_want"))
+    inner = x.select("_g", "_b", "_h").join(edge, ["_g", "_b"])
     rank = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h"))
-    return (j.withColumn(flag, F.col("_before") + rank <= F.col("_n"))
-             .drop("_h", "_b", "_g", "_cnt", "_before", "_n"))
+    cut = inner.withColumn("_r", rank).where(F.col("_r") == F.col("_want")).select("_g", F.col("_h").alias("_last"))
+    return counts.select("_g").distinct().join(cut, "_g", "left")
 
 
 def first_n_per_group(df: DataFrame, group: str, n_per_group,

@@ -110,15 +110,22 @@ def top5_monthly_steps(df: DataFrame, label: str = S.CATEGORY, ts: str = S.REGIS
 def period_top5_nested(df: DataFrame, label: str = S.CATEGORY, ts: str = S.REGISTERED_AT) -> DataFrame:
     """Weekly counts with their top-5 attached as one text ('label: n; ...').
 
-    The per-week list holds at most 5 entries (bounded collect)."""
-    top = top_labels_per_period(df, T.week_start(ts), "week_start", label, 5, ts)
-    nested = (top.groupBy("week_start")
-                 .agg(F.array_sort(F.collect_list(F.struct("rank", "label", "n"))).alias("t"))
-                 .select("week_start",
-                         F.array_join(F.transform("t", lambda x: F.concat(
-                             x["label"], F.lit(": "), x["n"].cast("string"))), "; ").alias("top5")))
-    return weekly_counts(df, ts).join(nested, "week_start", "left") \
-        .select("week_start", "week_label", "n", "top5")
+    Weekly totals are sums over the same (week, label) counts, rows without a label
+    included. The per-week list holds at most 5 entries (bounded collect)."""
+    counts = (df.where(F.col(ts).isNotNull())
+                .groupBy(T.week_start(ts).alias("week_start"), F.col(label).alias("label"))
+                .agg(F.count(F.lit(1)).alias("n")))
+    week = Window.partitionBy("week_start")
+    ranked = counts.select("week_start", "label", "n", F.sum("n").over(week).alias("total"),
+                           F.row_number().over(week.orderBy(F.col("label").isNull(), F.col("n").desc(), "label"))
+                            .alias("rank")).where(F.col("rank") <= 5)
+    item = F.when(F.col("label").isNotNull(), F.struct("rank", "label", "n"))
+    nested = ranked.groupBy("week_start").agg(F.first("total").alias("n"), F.array_sort(F.collect_list(item)).alias("t"))
+    return nested.select(
+        "week_start", F.concat(F.date_format("week_start", "dd/MM"), F.lit("-"),
+                               F.date_format(F.date_add("week_start", 6), "dd/MM")).alias("week_label"), "n",
+        F.when(F.size("t") > 0, F.array_join(F.transform("t", lambda x: F.concat(
+            x["label"], F.lit(": "), x["n"].cast("string"))), "; ")).alias("top5"))
 
 
 def peak_weeks(df: DataFrame, ts: str = S.REGISTERED_AT) -> DataFrame:

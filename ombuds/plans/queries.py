@@ -7,6 +7,7 @@ operators; the DuckDB twin of each lives in ``oracle.SQL`` under the same name.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,7 +17,10 @@ from ..functions import temporal as T
 from ..functions import text as X
 from ..operators import audit, dedupe, sampling
 from ..streaming import ingest as sstream
-from ..operators import autolabel, compare, evaluate, features, forest, knn, kpi, quality, ranking, temporal
+from ..operators import (autolabel, compare, evaluate, features, forest, knn, kpi, quality, ranking, reference,
+                         temporal)
+from ..session import shared_dir, written
+from ..sinks import report
 from ..sources.tables import table
 from ..sources import fixtures as fx
 from ..sources import ingest
@@ -274,10 +278,11 @@ def q_partial_relabel_topn(spark, sf):
 
 @register("partial_relabel_firstn")
 def q_partial_relabel_firstn(spark, sf):
-    v, top = _knn(spark, sf)
+    """k = 3; the reference's threshold is 0.50, which these vectors never reach."""
+    v, top = _knn(spark, sf, k=3)
     hidden = v.select("vec_id", F.when(F.col("is_test"), F.lit(None)).otherwise(F.col("label")).alias("label"))
     pred = knn.vote(top, FILL_THRESHOLD).select(F.col("query_id").alias("vec_id"), "predicted",
-                                                 F.round("confidence", 6).alias("confidence"))
+                                                 F.round("confidence", 6).alias("confidence"), "accepted")
     return forest.relabel(hidden, pred, key="vec_id", label="label", first_n=PARTIAL_N)
 
 
@@ -342,25 +347,71 @@ def q_tfidf_terms(spark, sf):
     return features.tfidf_vocabulary(docs, "_text", "row_id").withColumn("idf", F.round("idf", 6))
 
 
-# ---- model-based (rows-only checks: hashing / forest are not SQL) ---------------------------
+# ---- encoders, reference sets, labelling ----------------------------------------------------
+# The md5 encoder's buckets can be computed by the twin's engine as well.
+MD5_DIMS = 64
+LABEL_THRESHOLD = 0.5
+
+
+def _reference(spark, sf, sub=False, name="reference"):
+    t = fx.complaint_texts(spark, sf)
+    path = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    return reference.build_reference_set(t, S.SUBCATEGORY if sub else S.CATEGORY, path,
+                                         features.Md5Encoder(MD5_DIMS), sub=sub, max_rows=REFERENCE_ROWS)
+
+
+REFERENCE_ROWS = 300
+
+
+@register("tfidf_vectors")
+def q_tfidf_vectors(spark, sf):
+    t = fx.complaint_texts(spark, sf)
+    train, _ = forest.split_for_training(t, S.SUBCATEGORY)
+    docs = train.select("row_id", X.forest_text(t.columns).alias("_text"))
+    v = features.tfidf_vectors(docs, "_text", "row_id", features.tfidf_vocabulary(docs, "_text", "row_id"))
+    return v.withColumn("weight", F.round("weight", 6))
+
+
 @register("hashed_embeddings")
 def q_hashed_embeddings(spark, sf):
-    t = fx.complaint_texts(spark, sf).withColumn("_text", X.composite_text(["DS_OBSERVACAO", "DS_MOTIVO"]))
-    model = features.fit_hashed_encoder(t, "_text")
-    return features.encode(model, t.select(S.KEY, "_text")).select(S.KEY, "vec")
+    """M1 with the md5 encoder over whole texts, in long form."""
+    t = fx.complaint_texts(spark, sf)
+    t = t.select(S.KEY, X.composite_text(t.columns, max_chars=None).alias("_text"))
+    v = features.Md5Encoder(MD5_DIMS).fit(t, "_text").encode(t, "_text")
+    return v.select(S.KEY, F.posexplode("vec").alias("bucket", "weight")).where("weight <> 0") \
+        .withColumn("weight", F.round("weight", 6))
+
+
+@register("reference_set")
+def q_reference_set(spark, sf):
+    """K5 then S5: the stored category references, read back."""
+    ref = reference.load_reference_set(spark, _reference(spark, sf).path)
+    return ref.table.select("ref_id", "label", "texto", F.posexplode("embedding").alias("bucket", "weight")) \
+        .where("weight <> 0").withColumn("weight", F.round("weight", 6))
+
+
+@register("reference_metadata")
+def q_reference_metadata(spark, sf):
+    m = _reference(spark, sf).metadata
+    return m.select("label_column", "total_records", "original_dataset_size", "used_stratified_sample",
+                    "embedding_model", "embedding_dimension", F.explode("categories").alias("label", "n"))
 
 
 @register("autolabel_texts")
 def q_autolabel_texts(spark, sf):
-    return autolabel.autolabel(fx.complaint_texts(spark, sf), threshold=FILL_THRESHOLD)
+    out = autolabel.autolabel(fx.complaint_texts(spark, sf), encoder=features.Md5Encoder(MD5_DIMS),
+                              threshold=LABEL_THRESHOLD, max_rows=REFERENCE_ROWS)
+    return out.select(S.KEY, S.CATEGORY, F.round("category_confidence", 6).alias("category_confidence"),
+                      "category_method", "category_needs_review", S.SUBCATEGORY,
+                      F.round("subcategory_confidence", 6).alias("subcategory_confidence"),
+                      "subcategory_method", "subcategory_needs_review")
 
 
 @register("probe_classify")
 def q_probe_classify(spark, sf):
-    refs = fx.complaint_texts(spark, sf).where(~X.needs_category(S.CATEGORY))
     probes = table(spark, sf, "benchmark")
-    return autolabel.classify_probes(probes, refs, "text", "item_id", S.KEY, S.CATEGORY, S.TEXT,
-                                     threshold=FILL_THRESHOLD)
+    out = autolabel.classify_probes(probes, _reference(spark, sf), "text", "item_id", threshold=LABEL_THRESHOLD)
+    return out.withColumns({"confianca": F.round("confianca", 6), "top_similares": F.array_join("top_similares", "|")})
 
 
 @register("forest_relabel")
@@ -370,11 +421,47 @@ def q_forest_relabel(spark, sf):
         .select(S.KEY, S.SUBCATEGORY, "relabel_confidence")
 
 
+FOREST_N = 50
+
+
+@register("forest_invariants")
+def q_forest_invariants(spark, sf):
+    """M7, M8, A25 by what must hold of any forest: rows that were not 'outros' are unchanged, labels
+    are training labels, the confidence lies in [1 / classes, 1], the partial form writes n rows."""
+    t = fx.complaint_texts(spark, sf)
+    pred = written(spark, forest.forest_predict(t), "forest-predictions")
+    full = forest.relabel(t, pred, candidates=X.has_outro(S.SUBCATEGORY))
+    part = forest.relabel(t, pred, top_n=FOREST_N, candidates=X.has_outro(S.SUBCATEGORY))
+    before = t.select(F.col(S.KEY).alias("_k"), F.col(S.SUBCATEGORY).alias("_old"))
+    j = full.join(before, F.col(S.KEY) == F.col("_k"))
+    was = X.has_outro("_old")
+    a = j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(was).alias("n_outros"),
+              F.count_if(~was & ~F.col("_old").eqNullSafe(F.col(S.SUBCATEGORY))).alias("changed_others"),
+              F.count_if(was & ~F.col(S.SUBCATEGORY).isin("GOOD", "POOR")).alias("foreign_labels"),
+              F.count_if(was & F.col("relabel_confidence").between(0.5, 1.0)).alias("confident"))
+    s = forest.confidence_summary(pred).select(
+        F.col("n").alias("n_predicted"), (F.col("min_confidence") <= F.col("mean_confidence")).alias("min_below_mean"),
+        (F.col("mean_confidence") <= F.col("max_confidence")).alias("mean_below_max"))
+    p = part.agg(F.count_if(F.col("relabel_confidence").isNotNull()).alias("written_partial"))
+    return a.withColumns({c: s.select(c).scalar() for c in s.columns}).withColumn(
+        "written_partial", p.select("written_partial").scalar())
+
+
 @register("forest_confidence")
 def q_forest_confidence(spark, sf):
     return forest.confidence_summary(forest.forest_predict(fx.complaint_texts(spark, sf)))
 
 
+@register("label_distribution")
+def q_label_distribution(spark, sf):
+    return kpi.label_distribution(fx.complaints(spark, sf))
+
+
+@register("valid_label_counts")
+def q_valid_label_counts(spark, sf):
+    return compare.valid_label_counts(fx.complaints(spark, sf))
+
+
 # ---- sampling ------------------------------------------------------------------------------
 @register("stratified_sample")
 def q_stratified_sample(spark, sf):
@@ -390,6 +477,12 @@ def q_stratified_sample_b(spark, sf):
         .select("row_id", S.KEY, S.SUBCATEGORY)
 
 
+@register("sample_fixed_n")
+def q_sample_fixed_n(spark, sf):
+    c = fx.complaints(spark, sf)
+    return sampling.fixed_per_label(c, S.CATEGORY, "row_id", 25).select("row_id", S.KEY, S.CATEGORY)
+
+
 @register("sample_200")
 def q_sample_200(spark, sf):
     c = fx.complaints(spark, sf)
@@ -421,34 +514,92 @@ def q_upload_history(spark, sf):
     return audit.upload_history(fx.uploads(spark, sf), 10)
 
 
+@register("upload_log")
+def q_upload_log(spark, sf):
+    """K6 then T5: one log row per table with its size, appended and read back."""
+    path = shared_dir(spark, f"uploads-{uuid.uuid4().hex}")
+    for hour, name in enumerate(("orders", "customer", "documents")):
+        audit.log_upload(spark, path, name, table(spark, sf, name).count(), user="loader",
+                         at=dt.datetime(2024, 1, 1, hour))
+    return audit.upload_history(spark.read.parquet(path), 2)
+
+
+@register("query_log")
+def q_query_log(spark, sf):
+    """K7 then A26: log rows whose response time is the size of a table, appended and read back."""
+    path = shared_dir(spark, f"queries-{uuid.uuid4().hex}")
+    for hour, (name, kind) in enumerate((("orders", "scan"), ("customer", "scan"), ("documents", "search"))):
+        audit.log_query(spark, path, name, kind, table(spark, sf, name).count(), at=dt.datetime(2024, 1, 1, hour))
+    return audit.query_type_stats(spark.read.parquet(path), hours=24)
+
+
+# ---- sinks ------------------------------------------------------------------------------------
+@register("export_json")
+def q_export_json(spark, sf):
+    """K3: written as JSON lines, read back."""
+    c = fx.complaints(spark, sf).select(S.KEY, S.CATEGORY, S.REGISTERED_AT)
+    path = shared_dir(spark, f"json-{uuid.uuid4().hex}")
+    report.export_json(c, path)
+    return spark.read.schema(f"{S.KEY} string, {S.CATEGORY} string, {S.REGISTERED_AT} string").json(path)
+
+
+@register("report_export")
+def q_report_export(spark, sf):
+    """K4: the report sections written as CSV, the category summary read back."""
+    path = shared_dir(spark, f"report-{uuid.uuid4().hex}")
+    paths = report.export_report(fx.complaints(spark, sf), path, "csv")
+    return spark.read.option("header", True).schema("rank int, label string, n long, share_pct double") \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) \
+        .csv(paths["category_summary"])
+
+
 # ---- streaming --------------------------------------------------------------------------------
 @register("stream_weekly_counts")
 def q_stream_weekly_counts(spark, sf):
-    stream = fx.table_stream(spark, sf, "events")
+    """R2 over a landing folder of three files that arrive newest dates first."""
+    e = table(spark, sf, "events").select("ts", "event_type")
+    land = shared_dir(spark, f"landing-{uuid.uuid4().hex}")
+    day = F.dayofmonth("ts")
+    for part in (day > 20, (day > 10) & (day <= 20), day <= 10):
+        e.where(part).coalesce(1).write.mode("append").parquet(land)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(land)
     return sstream.stream_weekly_counts(spark, stream, "ts", "event_type")
 
 
 @register("stream_dedupe")
 def q_stream_dedupe(spark, sf):
-    srcs = [ingest.harmonise(s, i) for i, s in enumerate(fx.streaming_complaint_sources(spark, sf))]
-    out = sstream.stream_dedupe(spark, srcs)
+    """R1, run twice on one checkpoint: the second run finds no new files."""
+    run = uuid.uuid4().hex
+    for _ in range(2):
+        srcs = [ingest.harmonise(s, i) for i, s in enumerate(fx.streaming_complaint_sources(spark, sf))]
+        out = sstream.stream_dedupe(spark, srcs, run_id=run)
     return out.select(S.KEY, S.CATEGORY, S.USER, S.SUBCATEGORY, S.REGISTERED_AT, S.BRANCH)
 
 
+def _exports(spark, sf):
+    """The two sources as users' exports: no row identity, texts with separators, quotes and line
+    breaks, and in the first file repeated keys of which the later rows differ."""
+    s0, s1 = _sources(spark, sf)
+    note = F.concat(F.lit('obs "'), F.col("row_id").cast("string"), F.lit('"; a,b'),
+                    F.when(F.col("row_id") % 7 == 0, F.lit("\nsegunda linha")).otherwise(F.lit("")))
+    s0 = s0.withColumn(S.TEXT, note)
+    again = s0.where(F.col("row_id") % 5 == 0).withColumn(S.TEXT, F.lit("repetido"))
+    return s0, again, s1
+
+
 @register("csv_ingest")
 def q_csv_ingest(spark, sf):
-    """K2/K1 then S1 + S4: the two exports written as CSV (';' ISO-8859-1 and ','
-    UTF-8) into the shared folder, sniffed, read back, mapped, parsed, de-duplicated."""
-    import uuid
-    from ..session import shared_dir
+    """K2/K1 then S1 + S4: exports as CSV (';' ISO-8859-1 and ',' UTF-8), one path a prefix of the
+    other, sniffed, read back, mapped, parsed, de-duplicated by their place in the file."""
     from ..sources import csv as C
-    s0, s1 = _sources(spark, sf)
+    s0, again, s1 = _exports(spark, sf)
     base = shared_dir(spark, f"csv_ingest_{uuid.uuid4().hex}")
-    C.write_csv(s0, f"{base}/export0", sep=";", encoding="ISO-8859-1")
-    C.write_csv(s1, f"{base}/export1", sep=",", encoding="UTF-8")
-    parts = [p.drop("_file") for p in C.read_sniffed(spark, [f"{base}/export0", f"{base}/export1"])]
-    out = ingest.ingest(parts)
-    return out.withColumn("row_id", F.col("row_id").cast("bigint"))
+    a, b = f"{base}/export1", f"{base}/export10"
+    # one file, the repeated rows behind the others
+    C.write_csv(s0.unionByName(again).coalesce(1).drop("row_id"), a, sep=";", encoding="ISO-8859-1")
+    C.write_csv(s1.drop("row_id"), b, sep=",", encoding="UTF-8")
+    parts = [p.drop("_file") for p in C.read_sniffed(spark, [a, b])]
+    return ingest.ingest(parts).drop("row_id")
 
 
 @register("distinct_categories")

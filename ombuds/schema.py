@@ -7,8 +7,6 @@ text parts and the trend words.
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # ---- fixed values (must equal the reference) ---------------------------------
 KEY = "NU_REGISTRO"
 CATEGORY = "DS_ASSUNTO"
@@ -57,8 +55,6 @@ FOREST_TEXT_COLUMNS = ["DS_ASSUNTO", "DS_OBSERVACAO", "DS_TRATATIVA", "DS_RETORN
 
 # Trend words by sign of the change.
 TREND_UP, TREND_DOWN, TREND_FLAT = "AUMENTO", "REDUÇÃO", "ESTÁVEL"
-# Marker for a label that did not exist before a relabelling.
-NEW_LABEL_MARK = "NOVO"
 # Label normalisation: upper-case, then these accents replaced, then strip.
 ACCENTS_FROM, ACCENTS_TO = "ÉÍÓ", "EIO"
 
@@ -70,14 +66,3 @@ ACCURACY_THRESHOLDS = [0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60]
 # Snippets: first 100 characters of the three nearest texts, plus "...".
 SNIPPET_COUNT, SNIPPET_CHARS, SNIPPET_SUFFIX = 3, 100, "..."
 # ------------------------------------------------------------------------------
-
-COMPLAINT_SCHEMA = T.StructType([
-    T.StructField(KEY, T.StringType()),
-    T.StructField(CATEGORY, T.StringType()),
-    T.StructField(USER, T.StringType()),
-    T.StructField(SUBCATEGORY, T.StringType()),
-    T.StructField(TEXT, T.StringType()),
-    T.StructField(REGISTERED_AT, T.TimestampNTZType()),
-    T.StructField(BRANCH, T.StringType()),
-    T.StructField(OPERATOR, T.StringType()),
-])

@@ -6,6 +6,7 @@ is unset, so the same code runs in tests (``local[*]``) and on a cluster.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -81,8 +82,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and return a scan of it.
 
-    Cuts the lineage: a lost executor never replays what led to the table.
+    Cuts the lineage: a lost executor never replays what led to the table. Then the shuffle
+    files that led to it are of no use any more; ``release`` lets Spark remove them.
     """
     path = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver find unused shuffles now: Spark removes the files of those that its garbage
+    collector has found, which on an idle driver may take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,12 +1,14 @@
 """CSV scans (S1-S3): header sniffing, fixed dialect with bad-row handling.
 
-Only the first line of each file reaches the driver (to pick encoding and
-separator); the data itself is read by Spark's CSV source in parallel.
+One row per file reaches the driver (its encoding, separator and quoting); the data
+itself is read by Spark's CSV source in parallel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from urllib.parse import unquote, urlsplit
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Encodings tried in order (outer loop) and separators (inner loop).
 SNIFF_ENCODINGS = ["utf-8", "latin1", "iso-8859-1", "cp1252"]
@@ -15,16 +17,13 @@ CORRUPT = "_corrupt_record"
 JAVA_CHARSETS = {"utf-8": "UTF-8", "latin1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1"}
 
 
-def _invalid_utf8_files(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Files holding bytes that are not valid UTF-8 (the text source keeps raw bytes).
-    One distributed scan over all files; only one row per file reaches the driver."""
-    rows = (spark.read.text(paths).select(F.input_file_name().alias("f"), "value")
-                 .groupBy("f").agg(F.count_if(~F.is_valid_utf8("value")).alias("bad"))
-                 .where(F.col("bad") > 0).collect())
-    bad_uris = [r.f for r in rows]
-    # a path may be a file or a folder of part files
-    return {p for p in paths
-            if any(p.rstrip("/") in u or p.rstrip("/").replace(" ", "%20") in u for u in bad_uris)}
+POSITION = "row_id"
+
+
+def _plain(uri: str) -> str:
+    """A path without scheme, host, percent signs and trailing slash."""
+    parts = urlsplit(uri)
+    return unquote(parts.path if parts.scheme else uri).rstrip("/")
 
 
 def _separator(line: str) -> str:
@@ -34,34 +33,71 @@ def _separator(line: str) -> str:
     return ","
 
 
-def sniff_files(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, str]]:
-    """(encoding, separator) per file: UTF-8 unless some byte is not valid UTF-8
-    (then latin-1, which accepts every byte); separator = first of ; , tab that
-    splits the header line."""
-    latin = _invalid_utf8_files(spark, paths)
-    out = {}
-    for p in paths:
-        first = spark.read.text(p).limit(1).collect()
-        out[p] = ("latin1" if p in latin else "utf-8", _separator(first[0][0] if first else ""))
-    return out
+def sniff_files(spark: SparkSession, paths: list[str]) -> list[tuple]:
+    """(input number, file, encoding, separator, multi-line) of every data file below ``paths``.
+
+    One distributed scan over all paths; one row per file reaches the driver. A file is UTF-8
+    unless some byte is not valid UTF-8 (then latin-1, which accepts every byte). The separator is
+    the first of ; , tab that splits the header line. A line with an odd number of quotes is
+    part of a record that has a line break in quotes; only such files are read unsplit."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    line = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("f"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    rows = line.groupBy("f").agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("bad"), F.bool_or(quotes % 2 == 1).alias("open"),
+        F.min_by("value", "at").alias("header")).collect()
+    roots = [_plain(p) for p in paths]
+    out = []
+    for r in rows:
+        f = _plain(r.f)
+        mine = [i for i, root in enumerate(roots) if f == root or f.startswith(root + "/")]
+        of = max(mine, key=lambda i: len(roots[i])) if mine else 0
+        out.append((of, r.f, "latin1" if r.bad else "utf-8", _separator(r.header or ""), bool(r.open)))
+    return sorted(out)
 
 
 def sniff_header(spark: SparkSession, path: str) -> tuple[str, str]:
-    return sniff_files(spark, [path])[path]
+    return sniff_files(spark, [path])[0][2:4]
+
+
+def position(file_numbers: dict[str, int]) -> Column:
+    """Place of a row as decimal(33,0): file number, start of the block, place in the block.
+
+    Row order in a file without counting rows: blocks are ordered by their first byte, and
+    Spark numbers the rows of a task in order."""
+    number = F.element_at(F.create_map(*(F.lit(x) for kv in file_numbers.items() for x in kv)),
+                          F.col("_metadata.file_path"))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return (number.cast("decimal(8,0)") * F.lit("1" + "0" * 25).cast("decimal(26,0)")
+            + F.col("_metadata.file_block_start").cast("decimal(15,0)") * F.lit("1" + "0" * 10).cast("decimal(11,0)")
+            + row.cast("decimal(10,0)")).cast("decimal(33,0)")
 
 
 def read_sniffed(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
-    """One all-STRING DataFrame per input path (a file or a folder of parts), in
-    input order, each read with its sniffed encoding and separator and tagged with
-    its file name."""
-    dialects = sniff_files(spark, paths)
+    """One all-STRING DataFrame per input path (a file or a folder of parts), in input order,
+    with the file name (``_file``) and, unless the files have one, the row's place (``row_id``).
+
+    Files of one dialect are read by one scan. A quote in a quoted field is doubled. A file with
+    line breaks in quotes is read by one task, so such files should be of at most a few GB each."""
+    files = sniff_files(spark, paths)
     out = []
-    for p in paths:
-        enc, sep = dialects[p]
-        out.append(spark.read.option("header", True).option("sep", sep)
-                   .option("encoding", JAVA_CHARSETS.get(enc, enc))
-                   .option("inferSchema", False).csv(p)
-                   .withColumn("_file", F.input_file_name()))
+    for i in range(len(paths)):
+        mine = [f for f in files if f[0] == i]
+        numbers = {f[1]: n for n, f in enumerate(mine)}
+        part = None
+        for enc, sep, multi in sorted({f[2:] for f in mine}):
+            names = [f[1] for f in mine if f[2:] == (enc, sep, multi)]
+            df = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+                  .option("encoding", JAVA_CHARSETS.get(enc, enc)).option("multiLine", multi)
+                  .option("inferSchema", False).csv(names))
+            cols = [F.col(f"`{c}`") for c in df.columns]
+            if POSITION not in df.columns:
+                cols.append(position(numbers).alias(POSITION))
+            df = df.select(*cols, F.col("_metadata.file_path").alias("_file"))
+            part = df if part is None else part.unionByName(df, allowMissingColumns=True)
+        if part is not None:
+            out.append(part)
     return out
 
 
@@ -75,10 +111,12 @@ def read_fixed(spark: SparkSession, paths: list[str] | str, columns: list[str],
     reader = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
               .schema(schema))
-    if escape:
-        reader = reader.option("escape", escape).option("quote", '"')
+    reader = reader.option("escape", escape or '"').option("quote", '"')
     df = reader.csv(paths)
-    n_fields = F.size(F.split(F.col(CORRUPT), _regex_escape(sep)))
+    # fields are counted outside quotes: a quoted part may hold separators
+    quoted = '"([^"]|"")*"' if escape in (None, '"') else r'"(\\.|[^"\\])*"'
+    bare = F.regexp_replace(F.col(CORRUPT), quoted, "")
+    n_fields = F.size(F.split(bare, _regex_escape(sep)))
     # The flag also reads the parsed columns: a scan that requires only the
     # corrupt-record column is refused by Spark, and pruning would leave just that.
     parsed = F.length(F.concat_ws("\u0001", *[F.col(c) for c in columns])) >= 0
@@ -100,7 +138,7 @@ def write_csv(df: DataFrame, path: str, sep: str = ";", encoding: str = "UTF-8",
               mode: str = "overwrite") -> None:
     """K1/K2: header + separator + encoding. Spark writes no byte-order mark."""
     (df.write.mode(mode).option("header", True).option("sep", sep)
-       .option("encoding", encoding)
+       .option("encoding", encoding).option("quote", '"').option("escape", '"')
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))

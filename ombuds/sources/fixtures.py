@@ -11,16 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schema as S
 from .tables import table
 
-# Nation (25 rows) and region (5 rows) are fixed-size dimension tables by the
-# TPC-H definition, so broadcasting them has a proven bound. Customer grows with
-# the scale factor and is left to the planner / AQE (broadcast only when its
-# runtime size is below spark.sql.adaptive.autoBroadcastJoinThreshold).
-
 
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
-    r = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     return (c.join(n, c.c_nationkey == n.n_nationkey)
              .join(r, n.n_regionkey == r.r_regionkey)
              .select("c_custkey", "c_mktsegment", "n_name", "r_name"))

@@ -37,7 +37,16 @@ def concat_sources(sources: list[DataFrame], names: list[str] | None = None,
 
 def ingest(sources: list[DataFrame], names: list[str] | None = None, key: str = S.KEY,
            order: list[str] | None = None, parse_dates: bool = True) -> DataFrame:
-    """Concatenate, then keep the first row per key in (source order, row order)."""
+    """Concatenate, then keep the first row per key in (source order, row order).
+
+    The row order is ``row_id``, a number: files are read with their rows' places, and a
+    source without it takes the order of its scan."""
+    if not order:
+        sources = [s if "row_id" in s.columns else s.withColumn("row_id", F.monotonically_increasing_id())
+                   for s in sources]
+        text = [s for s in sources if s.schema["row_id"].dataType.typeName() == "string"]
+        sources = [s.withColumn("row_id", F.expr("try_cast(row_id AS decimal(33,0))")) if s in text else s
+                   for s in sources] if text else sources
     allrows = concat_sources(sources, names, parse_dates)
     if key not in allrows.columns:
         return allrows

@@ -3,7 +3,7 @@
 R1 -- incremental ingest of a landing folder with keep-first de-duplication by key.
 R2 -- running weekly counts: event-time tumbling windows of 7 days starting on
       Monday (``window(ts, '7 days', '7 days', '4 days')``: the epoch is a
-      Thursday), with a watermark so late rows are dropped and state is evicted.
+      Thursday), without a watermark: no row is too late.
 
 Both sinks are ``foreachBatch`` writes into the shared checkpoint folder: each
 micro-batch is written under its own ``batch_id`` partition (overwrite of that
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schema as S
 from ..session import shared_dir
@@ -33,43 +33,69 @@ def _use_rocksdb(spark: SparkSession) -> None:
         pass
 
 
-def _run_to_table(stream: DataFrame, out: str, ckpt: str, mode: str) -> None:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
-    q = (stream.writeStream.outputMode(mode).foreachBatch(write)
-               .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+def _folder(spark: SparkSession, path: str) -> None:
+    """Make a folder, so that an output without rows can be read."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+
+def _run(stream: DataFrame, batch, ckpt: str, mode: str) -> None:
+    (stream.writeStream.outputMode(mode).foreachBatch(batch)
+           .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
 
 
 def stream_dedupe(spark: SparkSession, sources: list[DataFrame], key: str = S.KEY,
                   run_id: str | None = None) -> DataFrame:
-    """Union of streaming sources, first arrival per key kept
-    (``dropDuplicates`` on the key; its state holds one entry per key)."""
-    _use_rocksdb(spark)
-    rid = run_id or uuid.uuid4().hex
-    base = shared_dir(spark, f"stream_dedupe_{rid}")
+    """Union of streaming sources, first arrival per key kept.
+
+    Each micro-batch is reduced to one row per key (a grouped minimum, reduced in each task, so
+    a hot or null key is no burden) and merged against the keys that earlier batches stored.
+    There is no streaming state to grow, and a second run on the same ``run_id`` skips the
+    files that the first has seen."""
+    base = shared_dir(spark, f"stream_dedupe_{run_id or uuid.uuid4().hex}")
+    out = f"{base}/out"
     u = sources[0]
     for s in sources[1:]:
         u = u.unionByName(s, allowMissingColumns=True)
-    _run_to_table(u.dropDuplicates([key]), f"{base}/out", f"{base}/ckpt", "append")
-    return spark.read.parquet(f"{base}/out").drop("batch_id")
+    schema = T.StructType([*u.schema, T.StructField("batch_id", T.LongType())])
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        rows = batch.select(F.col(key).alias("_k"), F.struct(*[F.col(f"`{c}`") for c in batch.columns]).alias("_r"),
+                            F.monotonically_increasing_id().alias("_m"))
+        first = rows.groupBy("_k").agg(F.min_by("_r", "_m").alias("_r"))
+        _folder(own, out)
+        known = own.read.schema(schema).parquet(out).where(F.col("batch_id") != batch_id).select(F.col(key).alias("_o"))
+        new = first.join(known, F.col("_k").eqNullSafe(F.col("_o")), "left_anti").select("_r.*")
+        (new.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
+
+    _run(u, merge, f"{base}/ckpt", "append")
+    _folder(spark, out)
+    return spark.read.schema(schema).parquet(out).drop("batch_id")
 
 
 def stream_weekly_counts(spark: SparkSession, events: DataFrame, ts: str, group: str,
-                         watermark: str = "1 day", run_id: str | None = None) -> DataFrame:
-    """R2: weekly counts per ``group`` from an event stream; update mode, so each
-    window's latest count is the one with the highest batch id."""
+                         run_id: str | None = None) -> DataFrame:
+    """R2: weekly counts per ``group`` from an event stream; update mode, so each window's
+    latest count is the one with the highest batch id.
+
+    There is no watermark: files arrive in any order and every row counts, however late. The
+    state is one number per week and group."""
     _use_rocksdb(spark)
-    rid = run_id or uuid.uuid4().hex
-    base = shared_dir(spark, f"stream_weekly_{rid}")
-    t = F.col(ts).cast("timestamp")
-    agg = (events.withColumn("_t", t).withWatermark("_t", watermark)
+    base = shared_dir(spark, f"stream_weekly_{run_id or uuid.uuid4().hex}")
+    out = f"{base}/out"
+    agg = (events.withColumn("_t", F.col(ts).cast("timestamp"))
                  .groupBy(F.window("_t", "7 days", "7 days", "4 days").alias("w"), F.col(group))
-                 .agg(F.count(F.lit(1)).alias("n")))
-    _run_to_table(agg.select(F.to_date(F.col("w.start")).alias("week_start"), group, "n"),
-                  f"{base}/out", f"{base}/ckpt", "update")
-    out = spark.read.parquet(f"{base}/out")
-    latest = Window.partitionBy("week_start", group).orderBy(F.col("batch_id").desc())
-    return (out.withColumn("_r", F.row_number().over(latest)).where("_r = 1")
-               .drop("_r", "batch_id"))
+                 .agg(F.count(F.lit(1)).alias("n"))
+                 .select(F.to_date(F.col("w.start")).alias("week_start"), group, "n"))
+    schema = T.StructType([*agg.schema, T.StructField("batch_id", T.LongType())])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
+
+    _run(agg, write, f"{base}/ckpt", "update")
+    _folder(spark, out)
+    latest = F.max_by("n", "batch_id").alias("n")
+    return spark.read.schema(schema).parquet(out).groupBy("week_start", group).agg(latest)
