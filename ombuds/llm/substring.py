@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import written
+from ..session import discard, written
 from .words import Words, grams, inside, slices, span_hashes
 
 WINDOW, GRAM = 20, 5
@@ -172,27 +172,22 @@ def repeated(length: np.ndarray, symbols: np.ndarray) -> list[np.ndarray]:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
-    """Rows (doc_id, text, rest, n, seeds, starts, counts)."""
+    """Rows (doc_id, text, rest, seeds)."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] if whole else []
     few = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                       F.struct(F.lit(0).alias("-"), *others).alias("rest"))
 
-    def lists(offsets, values):
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-
     def run(batches):
         for b in batches:
             for i, j, raw, off in slices(b.column(1)):
                 w = Words(raw, off)
-                doc, seed, start, count = runs(w, w.hashes())
-                cut = np.searchsorted(doc, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(i, j - i) for c in b.columns), pa.array(w.count.astype(np.int32)),
-                     lists(cut, seed.view(np.int64)), lists(cut, start.astype(np.int32)), lists(cut, count.astype(np.int32))],
-                    names=[*b.schema.names, "n", "seeds", "starts", "counts"])
+                doc, seed, _, _ = runs(w, w.hashes())
+                cut = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
+                seeds = pa.ListArray.from_arrays(pa.array(cut), pa.array(seed.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), seeds],
+                                                 names=[*b.schema.names, "seeds"])
 
-    added = T.StructType.fromDDL("n int, seeds array<long>, starts array<int>, counts array<int>")
-    return few.mapInArrow(run, T.StructType([*few.schema, *added]))
+    return few.mapInArrow(run, T.StructType([*few.schema, T.StructField("seeds", T.ArrayType(T.LongType()))]))
 
 
 def hit_runs(hits: DataFrame) -> DataFrame:
@@ -211,12 +206,12 @@ def hit_runs(hits: DataFrame) -> DataFrame:
                 at = part.column(3)
                 row = np.repeat(np.arange(j - i), at.value_lengths().to_numpy())
                 place, times = at.flatten().field("i").to_numpy(), at.flatten().field("c").to_numpy()
-                cols = [part.column(k) for k in (4, 5, 6)]
-                seed, start, count = (c.flatten().to_numpy()[c.offsets.to_numpy()[:-1][row] - c.offsets.to_numpy()[0] + place]
-                                      for c in cols)
+                doc, seed, start, count = runs(w, h)
+                pick = np.searchsorted(doc, np.arange(j - i))[row] + place
+                seed, start, count = seed[pick], start[pick], count[pick]
                 often = times >= FREQUENT
                 rep = np.where(often, count, 1)
-                row, seed = np.repeat(row, rep), np.repeat(seed, rep).view(np.uint64)
+                row, seed = np.repeat(row, rep), np.repeat(seed, rep)
                 start = np.repeat(start, rep) + np.arange(len(row)) - np.repeat(np.cumsum(rep) - rep, rep)
                 one = np.repeat(often, rep)
                 count = np.where(one, 1, np.repeat(count, rep))
@@ -229,7 +224,7 @@ def hit_runs(hits: DataFrame) -> DataFrame:
                     names=["uid", "doc_id", "key", "content", "start", "count"])
 
     kind = hits.schema["doc_id"].dataType.simpleString()
-    return hits.select("uid", "doc_id", "text", "at", "seeds", "starts", "counts").mapInArrow(
+    return hits.select("uid", "doc_id", "text", "at").mapInArrow(
         run, f"uid long, doc_id {kind}, key long, content long, start int, count int")
 
 
@@ -294,7 +289,7 @@ def find(docs: DataFrame, id_col: str, text_col: str, whole: bool):
     seed = rows.select("uid", F.posexplode("seeds").alias("i", "seed"))
     often = seed.groupBy("seed").agg(F.count("*").cast("int").alias("c")).where("c > 1")
     at = seed.join(often, "seed").groupBy("uid").agg(F.collect_list(F.struct("i", "c")).alias("at"))
-    hits = written(spark, rows.select("uid", "doc_id", "text", "seeds", "starts", "counts").join(at, "uid"), "hits")
+    hits = written(spark, rows.select("uid", "doc_id", "text").join(at, "uid"), "hits")
     run = written(spark, hit_runs(hits), "runs")
     place = F.struct("doc_id", "uid", "start")
     first = run.groupBy("key", "content").agg(F.min(place).alias("f"), F.max("count").alias("count"), F.count("*").alias("c"))
@@ -309,7 +304,9 @@ def find(docs: DataFrame, id_col: str, text_col: str, whole: bool):
     shards = max(1, -(-size // SHARD_WORDS), spark.sparkContext.defaultParallelism if size > 100_000 else 1)
     found = search_shards(segments.repartition(int(shards), "key"))
     spans = later.unionAll(found).groupBy("uid").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-    return rows, written(spark, spans, "spans")
+    spans = written(spark, spans, "spans")
+    discard(hits, run, first, segments)
+    return rows, spans
 
 
 def kept_text(text: bytes, starts: np.ndarray, counts: np.ndarray) -> tuple[int, int, bytes]:
