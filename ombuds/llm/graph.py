@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
+
+#: Edges of a written file, about.
+EDGES = 500_000
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -25,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(spark, e, "edges")
     last = _fingerprint(e)
+    parts = max(1, -(-last[0] // EDGES))
     while last[0]:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -35,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = low.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
             least.select("a", F.col("m").alias("b"))).distinct()
-        e = written(spark, small, "edges")
+        old, e = e, written(spark, small.coalesce(parts), "edges")
+        discard(old)
         now = _fingerprint(e)
         if now == last:
             break

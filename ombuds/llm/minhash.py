@@ -7,13 +7,14 @@ process whose rate is its weight; each arrival goes to a random register, the ea
 arrival keeps it, and a shingle stops as soon as it is later than every register.
 
 32 bands of 5 registers make buckets (a pair at 0.8 misses all of them once in 300,000).
-Texts of the same words are one node, so groups of copies never meet as pairs. In a bucket:
-1. every node is compared with the bucket's least node (a star), and components are formed;
-2. buckets that still hold several components compare nodes of different components by
-   signature, block against block; per node and other component the likeliest partner is
-   verified, components are formed again, and then whatever is left over.
-Pairs inside one component are skipped, since they cannot change it. Links are verified on
-whole texts. A signature agreement below 0.6 (6 standard deviations under 0.8) is no pair.
+Texts of the same words are one node, so groups of copies never meet as pairs. Buckets that
+share nodes make a cluster, which is cut into blocks of about ``BLOCK`` nodes. In a block, and
+then between blocks, pairs are taken by the agreement of their signatures, the likeliest first;
+pairs whose classes are joined already are skipped, since they cannot change them, and the
+others are verified on the whole texts. Only links that join classes leave a block. A cluster
+of one class over many blocks is joined by the blocks' medoids first, so that only nodes
+outside it still meet all blocks. A signature agreement below 0.66 (over four standard
+deviations under 0.8; once in 100,000 pairs at 0.8) is no pair.
 
 Defined results: null texts and texts without words are each a class of their own; texts of one
 to four words have one shingle, all their words; repeated rows fall into one class; a null id is
@@ -28,17 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import written
+from ..session import discard, written
 from .graph import components
-from .words import Words, grams, inside, mix, slices, span_hashes, stream
+from .words import Words, grams, inside, mix, slices, span_hashes, stream, utf8
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
-LEAST_AGREEMENT = 0.6
-#: Nodes of a bucket that meet in one task as a block.
-BLOCK = 512
+LEAST_AGREEMENT = 0.66
+#: Nodes of a cluster that meet in one task as a block, about.
+BLOCK = 256
 
 
 def shingles(w: Words, h: np.ndarray):
@@ -143,58 +144,122 @@ def bag(raw: np.ndarray, off: np.ndarray) -> list:
     return [(g[i:j], weight[i:j]) for i, j in zip(cut, cut[1:])]
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) are at least that similar."""
-    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-            .select("a", "b", "ta", "tb"))
-
-    def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                left = [x for _, _, raw, off in slices(part.column(2)) for x in bag(raw, off)]
-                right = [x for _, _, raw, off in slices(part.column(3)) for x in bag(raw, off)]
-                ok = pa.array([similarity(x, y) >= threshold for x, y in zip(left, right)], pa.bool_())
-                yield part.select(["a", "b"]).filter(ok)
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def unlike(groups: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs of nodes of one bucket and different components whose signatures agree enough.
-
-    ``groups``: (key, node, root, sig). Every bucket is cut into blocks of about ``BLOCK``
-    nodes; each node goes to all block pairs of its block. With ``best_only`` a node names,
-    per other component of the block pair, only the partner with the highest agreement.
-    """
-    size = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-    g = groups.join(size, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")))
-    g = g.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    g = g.select("key", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"),
-                 (F.col("i") <= F.col("o")).alias("left"), (F.col("i") >= F.col("o")).alias("right"), "node", "root", "sig")
-
-    def run(t: pa.Table) -> pa.Table:
-        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+class Sets:
+    """Union-find over the roots of some nodes."""
+
+    def __init__(self, roots):
+        self.up = {r: r for r in roots}
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        a, b = sorted((self.root(x), self.root(y)))
+        self.up[b] = a
+
+
+def connect(sets: Sets, root: np.ndarray, sig: np.ndarray, texts: pa.Array, left: np.ndarray, right: np.ndarray,
+            threshold: float) -> list[tuple[int, int]]:
+    """Join the roots of left and right nodes that are similar enough; the links that did so.
+
+    Likely pairs come first; a pair whose roots are joined already is not compared."""
+    at_a, at_b, agreement = [], [], []
+    for i in left.tolist():
+        agree = (sig[right] == sig[i]).mean(1)
+        near = (agree >= LEAST_AGREEMENT) & (root[right] != root[i])
+        if left is right:
+            near &= right > i
+        at_b.append(right[near])
+        at_a.append(np.full(int(near.sum()), i))
+        agreement.append(agree[near])
+    if not at_a:
+        return []
+    a, b, agree = np.concatenate(at_a), np.concatenate(at_b), np.concatenate(agreement)
+    order = np.lexsort((b, a, -agree))
+    known: dict[int, tuple] = {}
+
+    def of(i: int) -> tuple:
+        if i not in known:
+            raw, off = utf8(texts.slice(i, 1))
+            known[i] = bag(raw, off)[0]
+        return known[i]
+
+    links = []
+    for i, j in zip(a[order].tolist(), b[order].tolist()):
+        x, y = sets.root(root[i]), sets.root(root[j])
+        if x != y and similarity(of(i), of(j)) >= threshold:
+            sets.join(x, y)
+            links.append((x, y))
+    return links
+
+
+def signature_rows(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+
+def settle(candidates: DataFrame, threshold: float) -> DataFrame:
+    """(node, root) of candidates (cluster, nb, block, node, text, sig): roots are least nodes of classes."""
+    spark = candidates.sparkSession
+
+    def within(t: pa.Table) -> pa.Table:
+        """All pairs of a block; its largest class names a medoid."""
+        node, sig = t.column("node").to_numpy(), signature_rows(t)
+        sets, every = Sets(node.tolist()), np.arange(len(node))
+        connect(sets, node, sig, t.column("text").combine_chunks(), every, every, threshold)
+        root = np.array([sets.root(x) for x in node.tolist()])
+        names, count = np.unique(root, return_counts=True)
+        mine = np.flatnonzero(root == names[count.argmax()])
+        consensus = np.array([(sig[mine] == sig[i]).mean() for i in mine])
+        medoid = np.zeros(len(node), bool)
+        medoid[mine[consensus.argmax()]] = True
+        return pa.table({"cluster": t.column("cluster"), "nb": t.column("nb"), "block": t.column("block"),
+                         "node": node, "root": root, "medoid": medoid})
+
+    first = written(spark, candidates.groupBy("cluster", "block").applyInArrow(
+        within, "cluster long, nb long, block long, node long, root long, medoid boolean"), "blocks")
+    large = first.where("nb > 1")
+    if not large.limit(1).count():  # every cluster was one block
+        return first.select("node", "root")
+    body = candidates.where("nb > 1").select("node", "text", "sig")
+
+    def between(t: pa.Table) -> pa.Table:
+        """Links between classes, of left nodes with right ones."""
+        root = t.column("root").to_numpy()
         left = np.flatnonzero(t.column("left").to_numpy(zero_copy_only=False))
-        right = np.flatnonzero(t.column("right").to_numpy(zero_copy_only=False))
-        out_a, out_b = [], []
-        for i in left.tolist():
-            other = right[root[right] != root[i]]
-            agree = (sig[other] == sig[i]).mean(1)
-            near = agree >= LEAST_AGREEMENT
-            other, agree = other[near], agree[near]
-            if best_only and len(other) > 1:
-                order = np.lexsort((node[other], -agree, root[other]))
-                other = other[order]
-                other = other[np.concatenate([[True], root[other][1:] != root[other][:-1]])]
-            out_a += [node[i]] * len(other)
-            out_b += node[other].tolist()
-        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return g.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+        right = np.flatnonzero(~t.column("left").to_numpy(zero_copy_only=False))
+        links = connect(Sets(root.tolist()), root, signature_rows(t), t.column("text").combine_chunks(), left, right,
+                        threshold)
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    def relabelled(links: DataFrame) -> DataFrame:
+        top = written(spark, components(links), "tops").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        return large.join(top, "root", "left").select("cluster", "nb", "block", "node", "root",
+                                                      F.coalesce("top", "root").alias("top"), "medoid")
+
+    # the blocks' medoids first: they join what is one class over many blocks
+    m = large.where("medoid").select("cluster", F.pmod(F.xxhash64("node"), F.ceil(F.col("nb") / BLOCK)).alias("part"),
+                                     "node", "root")
+    m = m.join(body, "node").withColumn("left", F.explode(F.array(F.lit(True), F.lit(False))))
+    links = written(spark, m.groupBy("cluster", "part").applyInArrow(between, "a long, b long"), "links")
+    now = written(spark, relabelled(links), "large")
+    main = (now.groupBy("cluster", "top").agg(F.count("*").alias("n")).groupBy("cluster")
+            .agg(F.max_by("top", F.struct("n", "top")).alias("main")))
+    # then every node outside its cluster's largest class with all nodes, block by block
+    outside = now.join(main, "cluster").where("top <> main")
+    chunks = outside.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("nc"))
+    left = (outside.join(chunks, "cluster")
+            .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("nc")))
+            .select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("block"), "chunk",
+                    "node", F.col("top").alias("root"), F.lit(True).alias("left")))
+    right = now.join(chunks, "cluster").select(
+        "cluster", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nc") - 1)).alias("chunk"),
+        "node", F.col("top").alias("root"), F.lit(False).alias("left"))
+    more = left.unionAll(right).join(body, "node").groupBy("cluster", "block", "chunk").applyInArrow(between, "a long, b long")
+    done = relabelled(links.unionAll(written(spark, more, "links")))
+    return first.where("nb = 1").select("node", "root").unionAll(done.select("node", F.col("top").alias("root")))
 
 
 def find(docs: DataFrame, id_col: str, text_col: str, threshold: float, whole: bool):
@@ -210,21 +275,16 @@ def find(docs: DataFrame, id_col: str, text_col: str, threshold: float, whole: b
     nodes = member.where("uid = node").select("node")
     band = (rows.select(F.col("uid").alias("node"), "bands").join(nodes, "node", "left_semi")
             .select("node", F.explode("bands").alias("key")))
-    shared = band.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    in_bucket = written(spark, band.join(shared.select("key", "low"), "key"), "buckets")
-    texts = written(spark, rows.select(F.col("uid").alias("node"), "text", "sig").join(
-        in_bucket.select("node").distinct(), "node", "left_semi"), "candidates")
-    star = in_bucket.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(spark, verify(star, texts, threshold), "links")
-    for best_only in (True, False):
-        root = written(spark, components(links), "roots")
-        g = in_bucket.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_ = g.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-        g = g.join(open_, "key").join(texts.select("node", "sig"), "node")
-        pairs = unlike(g.select("key", "node", "root", "sig"), best_only).join(links, ["a", "b"], "left_anti")
-        links = written(spark, links.unionAll(verify(pairs, texts, threshold)), "links")
-    root = written(spark, components(links), "roots")
-    found = member.join(root, "node", "left").select("uid", "node", F.coalesce("root", "node").alias("root"))
+    low = band.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    star = band.join(low.select("key", "low"), "key").where("node <> low")
+    cluster = written(spark, components(star.select(F.col("low").alias("a"), F.col("node").alias("b"))), "clusters")
+    size = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    of = cluster.join(size, "root").select("node", F.col("root").alias("cluster"), "nb",
+                                           F.pmod(F.xxhash64("node"), F.col("nb")).alias("block"))
+    candidates = written(spark, rows.select(F.col("uid").alias("node"), "text", "sig").join(of, "node"), "candidates")
+    root = written(spark, settle(candidates, threshold), "roots")
+    discard(candidates, cluster)
+    found = member.join(root, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
     return rows, rows.select("uid", "doc_id").join(found, "uid", "left").select(
         "uid", "doc_id", F.coalesce("root", "uid").alias("root"))
 
