@@ -9,7 +9,7 @@ _WS = r"[\x20\x09-\x0D]+"
 
 
 def _words(text: str) -> str:
-    return f"list_filter(regexp_split_to_array({text}, '{_WS}'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array({text}, '{_WS}'), lambda x: x <> '')"
 
 
 def _count(text: str, pattern: str) -> str:
@@ -37,7 +37,7 @@ l AS (SELECT r, k, line, len({_words("line")}) AS lw FROM (
 m AS (SELECT r, count(*) - count(DISTINCT line) AS dup,
         coalesce(sum({_ink("line")}) FILTER (NOT (
           {_count("line", "[#*$%&|<>]")} * 10 > {_ink("line")}
-          OR {_count("line", "[!?]{{2,}}")} >= 3
+          OR {_count("line", "[!?]{2,}")} >= 3
           OR (lw < {SHORT_LINE} AND NOT regexp_matches(line, '{_CLOSED}'))
           OR {_count("line", "[|»›•·]")} >= 3
           OR (({_BOILER}) AND lw <= {BOILERPLATE_WORDS}))), 0)::BIGINT AS clean_chars
