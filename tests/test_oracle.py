@@ -1,5 +1,7 @@
 """Every registered query against its DuckDB twin (sf0.001 here; the driver uses sf0.01)."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -21,9 +23,13 @@ def test_matches_duckdb(spark, con, name):
     assert not problems, problems
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+#: Queries without a twin; those of the training-data operators have tests of their own.
+ROWS_ONLY = sorted(n for n in set(QUERIES) - set(SQL) if not re.match(r"op\d+_|pipeline$", n))
+
+
+@pytest.mark.parametrize("name", ROWS_ONLY)
 def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
