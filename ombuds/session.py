@@ -10,6 +10,7 @@ import gc
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -105,3 +106,21 @@ def discard(*tables: DataFrame) -> None:
         for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: they need it wherever they run,
+    also where it is not installed and the working folder is another."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ombuds_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="ombuds-package-"), "ombuds_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._ombuds_shipped = True
