@@ -36,7 +36,7 @@ from .words import Words, grams, inside, slices, span_hashes
 
 WINDOW, GRAM = 20, 5
 #: Occurrences from which the runs of a seed are dealt to shards by window.
-FREQUENT = 256
+FREQUENT = 4096
 #: Words of a shard, about.
 SHARD_WORDS = 1_000_000
 
