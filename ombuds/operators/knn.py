@@ -87,8 +87,10 @@ def topk_in_set(queries: DataFrame, reference, k: int = S.KNN_K, query_id: str =
 
 def _local_topk(k: int):
     def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(r) == 0:
-            return pd.DataFrame({c: [] for c in TOPK_FIELDS})
+        if len(q) == 0 or len(r) == 0:  # typed: an empty column of no type cannot become text
+            return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "rank": np.zeros(0, np.int32),
+                                 "ref_id": r["ref_id"].iloc[:0], "ref_label": r["ref_label"].iloc[:0].astype(object),
+                                 "similarity": np.zeros(0)})
         r = r.sort_values("ref_id", kind="stable").reset_index(drop=True)
         at, sim = tile_topk(unit_rows(q["vec"].to_numpy()), unit_rows(r["vec"].to_numpy()), k)
         row = np.repeat(np.arange(len(q)), at.shape[1])
