@@ -168,7 +168,7 @@ class Network:
         x = np.where(real[:, :, None], x, tab["pad"]).swapaxes(0, 1)
         return x[:, :, :3 * HIDDEN], x[::-1, :, 3 * HIDDEN:], real.T
 
-    def logits(self, t: Tokens, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    def logits(self, t: Tokens, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(logit of every window, its text)."""
         at, doc = t.windows()
         tab = self.tables()
@@ -191,7 +191,7 @@ class Network:
     def scores(self, col) -> np.ndarray:
         """Score of each text of an Arrow column."""
         parts = [sigmoid(self.a * self.texts(raw, off).astype(float) + self.b)
-                 for _, _, raw, off in slices(col, 1 << 20)]
+                 for _, _, raw, off in slices(col, 1 << 19)]
         got = np.concatenate(parts) if parts else np.zeros(0)
         return got if self.a else np.full(len(got), self.base)
 

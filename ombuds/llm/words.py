@@ -1,6 +1,6 @@
 """Whole-batch word and hash primitives on Arrow string columns (numpy, no per-word Python).
 
-A word is ``[^\\x20\\x09-\\x0D]+``, unchanged. Texts are handled in slices of a few MB,
+A word is ``[^\\x20\\x09-\\x0D]+``, unchanged. Texts are handled in slices of about 1 MB,
 so memory follows the slice (or one very long text), not the batch or the partition.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _P = 0x5851F42D4C957F2D | 1  # odd, so it has an inverse modulo 2**64
