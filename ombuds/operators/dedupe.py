@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-
-def _place(df: DataFrame, order: list[str]) -> Column:
-    """One comparable value of the ordering columns: a decimal where they are one or two whole
-    numbers from 0 (so the minimum stays in a hash aggregation), else a struct."""
-    kinds = [df.schema[c].dataType for c in order]
-    numeric = [isinstance(k, T.IntegralType) or isinstance(k, T.DecimalType) and k.scale == 0 and k.precision <= 33
-               for k in kinds]
-    if len(order) == 1 and numeric[0]:
-        return F.col(order[0])
-    if len(order) == 2 and all(numeric) and isinstance(kinds[0], T.IntegerType):
-        high = F.col(order[0]).cast("decimal(4,0)") * F.lit("1" + "0" * 33).cast("decimal(34,0)")
-        return (high + F.col(order[1]).cast("decimal(33,0)")).cast("decimal(38,0)")
-    return F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row per ``key`` -- the row that sorts first by ``order``.
-
-    Only (key, order) is aggregated, partially first, so a key holding a third of all rows is
-    one row per map task. Keys that occur more than once, with their least order, are joined
-    back (AQE broadcasts them if they are few and splits a hot key otherwise); rows of all
-    other keys pass. ``order`` must be unique within a key. Null keys form one group and keep
-    one row, like the reference."""
-    place = _place(df, order)
-    repeated = (df.groupBy(F.col(key).alias("_k")).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
-                  .where(F.col("_n") > 1))
-    j = df.join(repeated, F.col(key).eqNullSafe(F.col("_k")), "left")
-    return j.where(F.col("_n").isNull() | (place == F.col("_first"))).select(*df.columns)
+    """Exactly one row per ``key`` -- the row that sorts first by ``order``.
+
+    A null order sorts behind all others; rows of equal (or no) order go by their place in the
+    scan, so no key is lost and none is kept twice. The rank filter becomes a group limit in each
+    task before the shuffle (asserted in a test), so a key holding a third of all rows is one row
+    per map task. Null keys form one group and keep one row, like the reference."""
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    first = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order], "_place")
+    return placed.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") == 1).select(*df.columns)
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

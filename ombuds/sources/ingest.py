@@ -40,7 +40,8 @@ def ingest(sources: list[DataFrame], names: list[str] | None = None, key: str =
     """Concatenate, then keep the first row per key in (source order, row order).
 
     The row order is ``row_id``, a number: files are read with their rows' places, and a
-    source without it takes the order of its scan."""
+    source without it takes the order of its scan. Ids that are no numbers sort last; equal
+    ones go by file, then by place in the scan."""
     if not order:
         sources = [s if "row_id" in s.columns else s.withColumn("row_id", F.monotonically_increasing_id())
                    for s in sources]
@@ -50,7 +51,8 @@ def ingest(sources: list[DataFrame], names: list[str] | None = None, key: str =
     allrows = concat_sources(sources, names, parse_dates)
     if key not in allrows.columns:
         return allrows
-    return keep_first(allrows, key, order or ["source_ord", "row_id"])
+    file = ["_file"] if "_file" in allrows.columns else []
+    return keep_first(allrows, key, order or ["source_ord", "row_id", *file])
 
 
 def ingest_stats(sources: list[DataFrame], names: list[str] | None = None,

@@ -85,6 +85,24 @@ def test_keep_first_plan_and_hot_keys(spark):
     assert "SortAggregate" not in plan(out)
 
 
+def test_keep_first_keeps_one_row_of_each_key(spark):
+    rows = [("a", 0, None, "x"), ("a", 0, None, "x"), ("b", 0, None, "late"), ("b", 0, 5, "first"),
+            ("c", 0, 1, "one"), ("c", 0, 1, "two"), (None, None, None, "n"), (None, None, None, "n"), ("d", 0, 1, "d")]
+    df = spark.createDataFrame(rows, "k string, s int, row_id int, v string").repartition(3)
+    out = keep_first(df, "k", ["s", "row_id"])
+    assert "WindowGroupLimit" in plan(out)
+    got = [(r.k, r.v) for r in out.collect()]
+    assert len(got) == 5 and {k for k, _ in got} == {"a", "b", "c", "d", None} and ("b", "first") in got
+    text = spark.createDataFrame([("A-17", "k1", "x"), ("A-18", "k1", "y"), ("A-19", "k2", "z")],
+                                 "row_id string, NU_REGISTRO string, DS_ASSUNTO string")
+    assert sorted(r.NU_REGISTRO for r in ingest.ingest([text]).collect()) == ["k1", "k2"]
+    d = folder()
+    for name, value in (("a", "one"), ("b", "two")):
+        write(f"{d}/{name}.csv", f"row_id;NU_REGISTRO;DS_ASSUNTO\n1;dup;{value}\n2;{name};x\n")
+    out = {r.NU_REGISTRO: r.DS_ASSUNTO for r in ingest.ingest(C.read_sniffed(spark, [d])).collect()}
+    assert out == {"dup": "one", "a": "x", "b": "x"}
+
+
 def test_dates(spark):
     texts = ["1/2/2024", "2024-03-01T10:00:00Z", "2024-03-01 10:00:00.123", "2024-03-01T10:00:00+02:00", "31/12/2023 23:59",
              "2024-03-01", "n/a", None]
