@@ -14,15 +14,22 @@ Queries travel in chunks of the same pivot, annuli as packed matrices; a kernel
 chunk by an annulus and keeps k rows of each query. Nothing is broadcast but pivots and the
 annuli's bounds per pivot chunk.
 
-Defined results: vectors that are null, or hold null, non-finite or huge (2**23 or more after
-scaling) components, or have
+Vectors whose inner products floats may round (a component of 2**23 or more after scaling, or a
+squared norm of 2**52) are kept apart: as queries they meet all vectors, as candidates all
+queries, in blocks without bounds. There floats only choose what can be among the k best, with
+the rounding allowed for; the scores of those are sums of whole numbers without a limit.
+
+Defined results: vectors that are null, or hold null or non-finite components, or have
 another length than the most frequent one, take no part, nor do rows without an id; repeated
 ids are candidates each; of equal scores the smaller id comes first; an empty table gives no
-rows. Other columns are not read.
+rows. Ranks follow the exact scores; a score beyond a long is shown as the nearest long. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,18 +42,107 @@ PIVOTS = 8
 BLOCK, MOST_BLOCKS = 2048, 20_000
 CHUNK = 1024
 SCALE = 256.0
-#: Integers beyond this are refused, so that inner products are exact in floats.
-LARGEST = float(1 << 23)
+#: Integers and squared norms below these have inner products that are exact in floats.
+LARGEST, LARGEST_NORM2 = float(1 << 23), float(1 << 52)
 #: Allowance for rounding in distances of integers.
 SLACK = 1e-6
 
 
 def whole(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v array<long>) of the rows that take part."""
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST / SCALE))
-    v = v.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & fine)
-    return v.select("id", F.transform("v", lambda x: F.floor(x * SCALE)).alias("v"))
+    """(id, v array<long>, x array<double>) of the rows that take part: ``v`` where floats are exact, else ``x``."""
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"))
+    fine = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    v = v.where(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & fine)
+    norm2 = F.aggregate("x", F.lit(0.0), lambda a, x: a + (F.abs(x) * SCALE + 1) * (F.abs(x) * SCALE + 1))
+    small = F.forall("x", lambda x: F.abs(x) < LARGEST / SCALE) & (norm2 < LARGEST_NORM2)
+    return v.select("id", F.when(small, F.transform("x", lambda x: F.floor(x * SCALE))).alias("v"),
+                    F.when(~small, F.col("x")).alias("x"))
+
+
+def integers(x: np.ndarray) -> list[int]:
+    """floor(x * SCALE) without a limit."""
+    return [int(a) * int(SCALE) if abs(a) > 2.0 ** 60 else math.floor(a * SCALE) for a in x.tolist()]
+
+
+def sort_key(score: int) -> bytes:
+    """Bytes that sort like the number."""
+    n = abs(score)
+    size = (n.bit_length() + 7) // 8
+    raw = size.to_bytes(4, "big") + n.to_bytes(size, "big")
+    return b"\x01" + raw if score >= 0 else b"\x00" + bytes(255 - c for c in raw)
+
+
+def as_long(score: int) -> int:
+    return max(-(1 << 63), min((1 << 63) - 1, score))
+
+
+EXACT = "query_id long, vec_id long, score long, key binary"
+
+
+def exact_rows(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    """A batch of ``EXACT`` from (query id, vector id, score)."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+         pa.array([as_long(r[2]) for r in rows], pa.int64()), pa.array([sort_key(r[2]) for r in rows], pa.binary())],
+        names=["query_id", "vec_id", "score", "key"])
+
+
+def exact_best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query id, vector id, score) of the k best of each query of one block, in whole numbers."""
+    def floats(x):  # the whole numbers over 2**32
+        return np.where(np.abs(x) < 2.0 ** 45, np.floor(np.where(np.abs(x) < 2.0 ** 45, x, 0) * SCALE) / 2.0 ** 32, x / 2.0 ** 24)
+
+    fq, fm = floats(q), floats(m)
+    fq = np.ldexp(fq, -np.frexp(np.abs(fq).max(1))[1][:, None])
+    near = fq @ fm.T
+    width = q.shape[1]
+    error = 1e-15 * width * (width + 4) * np.abs(fm).max(1)
+    own = qids[:, None] == ids[None, :]
+    low, high = np.where(own, -np.inf, near - error), near + error
+    floor = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(qids), -np.inf)
+    can = ~own & (high >= floor[:, None])
+    whole_m: dict[int, list[int]] = {}
+    out = []
+    for i in np.flatnonzero(can.any(1)):
+        a = integers(q[i])
+        got = []
+        for j in np.flatnonzero(can[i]).tolist():
+            if j not in whole_m:
+                whole_m[j] = integers(m[j])
+            got.append((-sum(x * y for x, y in zip(a, whole_m[j])), int(ids[j])))
+        out += [(int(qids[i]), j, -n) for n, j in sorted(got)[:k]]
+    return out
+
+
+def search_large(small: DataFrame, large: DataFrame, is_query, width: int, k: int) -> DataFrame:
+    """``EXACT`` rows of the pairs of (id, x) vectors with a large one among them, some of which are not the k best."""
+    spark = large.sparkSession
+
+    def pack(key, t):
+        x = np.stack(t.column("x").to_numpy()).astype("<f8")
+        return pa.table({"ids": [t.column("id").to_numpy().astype("<i8").tobytes()], "m": [x.tobytes()]})
+
+    def packed(rows, size):
+        rows = written(spark, rows, "large")
+        parts = max(1, -(-rows.count() // size))
+        of = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
+        out = rows.select("id", "x", of.alias("part")).groupBy("part").applyInArrow(pack, "ids binary, m binary")
+        return written(spark, out, "large-blocks")
+
+    def kernel(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                qids, ids = np.frombuffer(row["qids"], "<i8"), np.frombuffer(row["ids"], "<i8")
+                q, m = (np.frombuffer(row[c], "<f8").reshape(-1, width) for c in ("q", "m"))
+                rows = exact_best(qids, q, ids, m, k)
+                if rows:
+                    yield exact_rows(rows)
+
+    of_small, of_large = packed(small, BLOCK), packed(large, BLOCK)
+    asked = is_query(F.col("id"))
+    asking = [packed(rows.where(asked), CHUNK).withColumnsRenamed({"ids": "qids", "m": "q"}) for rows in (small, large)]
+    pairs = asking[1].crossJoin(of_small.unionByName(of_large)).unionByName(asking[0].crossJoin(of_large))
+    return pairs.select("qids", "q", "ids", "m").repartition(spark.sparkContext.defaultParallelism).mapInArrow(kernel, EXACT)
 
 
 class Pivots:
@@ -88,12 +184,32 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     """(query_id, rank, vec_id, score) for the rows where ``is_query(id column)`` holds."""
     spark = vectors.sparkSession
     base = written(spark, whole(vectors, id_col, vec_col), "vectors")
-    shape = base.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    schema = "query_id long, rank int, vec_id long, score long"
+    size = F.size(F.coalesce(F.col("v").cast("array<double>"), "x"))
+    shape = (base.groupBy(size.alias("w")).agg(F.count("*").alias("n"), F.count("v").alias("small"))
+             .orderBy(F.desc("n"), "w").first())
     if shape is None:
-        return spark.createDataFrame([], schema)
-    base = base.where(F.size("v") == shape.w)
-    width = shape.w
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    base = base.where(size == shape.w)
+    small, large = base.where("v is not null").select("id", "v"), base.where("x is not null").select("id", "x")
+    if shape.small == shape.n:
+        out, order = search_small(small, is_query, shape.w, k), F.desc("score")
+    else:
+        def keyed(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield exact_rows(list(zip(*(c.to_pylist() for c in b.columns))))
+
+        raw = small.select("id", F.transform("v", lambda x: x / F.lit(SCALE)).alias("x"))
+        out, order = search_large(raw, large, is_query, shape.w, k), F.desc("key")
+        if shape.small:
+            out = out.unionByName(search_small(small, is_query, shape.w, k).mapInArrow(keyed, EXACT))
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id")))
+    return out.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def search_small(base: DataFrame, is_query, width: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the best pairs of (id, v array<long>) vectors, some of which are not the k best."""
+    spark = base.sparkSession
     norm2 = base.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x).alias("n")).agg(F.max("n"))
     norm2 = float(norm2.first()[0])
     sample = base.orderBy(F.xxhash64("v"), "id").limit(PIVOTS).collect()
@@ -187,7 +303,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
                     qids, q = qids[can], q[can]
                 if not len(q):
                     continue
-                score = q @ m.T  # exact: integers far below 2**53
+                score = q @ m.T  # exact: norms, so all sums of products, are below 2**53
                 score[qids[:, None] == ids[None, :]] = -np.inf
                 best = top_rows(score, min(k, len(ids)))
                 got = np.take_along_axis(score, best, 1)
@@ -201,7 +317,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
         q2 = (q * q).sum(1)
         lifted = np.concatenate([q, np.zeros((len(q), 1))], 1)
         d = np.sqrt(np.maximum(0.0, q2 + p.norm2 - 2 * lifted @ p.at[pivot]))
-        gap = np.maximum(0.0, np.maximum(near - d, d - far) - SLACK)
+        rounding = 2 * np.sqrt(8 * (width + 8) * np.finfo(float).eps * p.norm2)  # of two distances
+        gap = np.maximum(0.0, np.maximum(near - d, d - far) - SLACK - rounding)
         return (q2 + p.norm2 - gap * gap) / 2 + SLACK * (1 + p.norm2)
 
     rings = blocks.select("block", "pivot", "near", "far")
@@ -249,5 +366,4 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     rest = (floored.mapInArrow(lambda it: plan(it, bound_rows.value, False), "chunk long, block long")
             .join(near, ["chunk", "block"], "left_anti"))
     more = floored.join(rest, "chunk").join(blocks, "block").mapInArrow(kernel, result)
-    out = first.unionByName(more).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return first.unionByName(more)

@@ -199,3 +199,28 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     few = topk.search(df.where("vec_id < 3"), lambda i: i >= 0).collect()
     assert sorted(tuple(r) for r in few) == brute(rows[:3], rows[:3], 5)
     assert topk.search(df.limit(0), lambda i: i > 0).count() == 0
+
+
+def test_topk_of_large_vectors(spark, monkeypatch):
+    import math
+    rng = np.random.default_rng(5)
+    v = rng.normal(0, 0.2, (300, 200))
+    v[7] *= 1e6                       # an outlier that is no query
+    v[30, 3] = 40000.0                # a query
+    v[31] = v[30]
+    v[40] = 30000.0                   # each component is small, their sum of products passes 2**53
+    v[41] = v[40]
+    v[41, 0] += 1 / 256
+    v[60] = rng.normal(0, 1, 200) * 1e25  # scores beyond a long
+    v[61] = rng.normal(0, 1, 200) * 1.5e305
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    whole = [[int(x) * 256 if abs(x) > 2 ** 60 else math.floor(x * 256) for x in u] for u in v.tolist()]
+    want = []
+    for q in range(0, 300, 10):
+        s = sorted((-sum(x * y for x, y in zip(whole[q], u)), i) for i, u in enumerate(whole) if i != q)[:5]
+        want += [(q, n + 1, i, max(-2 ** 63, min(2 ** 63 - 1, -m))) for n, (m, i) in enumerate(s)]
+    got = topk.search(df, lambda i: i % 10 == 0).collect()
+    assert sorted(tuple(r) for r in got) == want
+    alone = topk.search(df.where("vec_id in (30, 31)"), lambda i: i >= 0).collect()
+    assert [tuple(r)[:3] for r in sorted(alone)] == [(30, 1, 31), (31, 1, 30)]
