@@ -224,3 +224,30 @@ def test_topk_of_large_vectors(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == want
     alone = topk.search(df.where("vec_id in (30, 31)"), lambda i: i >= 0).collect()
     assert [tuple(r)[:3] for r in sorted(alone)] == [(30, 1, 31), (31, 1, 30)]
+
+
+def test_language_models_keep_all_grams(spark, monkeypatch):
+    import pyarrow as pa
+    from ombuds.llm.words import utf8
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    texts = {"aa": "".join(rng.choice(letters, 400_000)), "bb": "the cat sat on the mat and the bat had a hat " * 3}
+    models = langid.train(spark.createDataFrame(list(texts.items()), "lang string, text string"))
+    plain = []
+    for t in texts.values():
+        key, _ = langid.text_grams(*utf8(pa.array([t])))
+        plain.append(langid.KneserNey(*np.unique(key, return_counts=True)))
+    assert len(plain[0].keys[-1]) > 250_000  # the most that were kept before
+    asked = ["the cat sat", "qzxj vkwq", "\u00e9\u00df new letters", "ab", "\u00e9", texts["aa"][:5000]]
+    rows = spark.createDataFrame(list(enumerate(asked)), "tag long, text string").repartition(2)
+    want = {}
+    for i, t in enumerate(asked):
+        sym, _ = langid.text_symbols(*utf8(pa.array([t])))
+        key, _ = langid.text_grams(*utf8(pa.array([t])))
+        want[i] = [np.log(m.at(key, 4) if len(key) else m.at(sym, 1)).sum() for m in plain]
+    for size in (langid.RANGE_BYTES, 2000):  # in one key range and in several
+        monkeypatch.setattr(langid, "RANGE_BYTES", size)
+        got = {r.tag: r for r in models.sums(rows).collect()}
+        assert len(got) == len(asked) and all(r.letters for r in got.values())
+        for i in want:
+            assert np.allclose(got[i].total, want[i], rtol=1e-5), (i, got[i].total, want[i])
