@@ -91,4 +91,42 @@ SELECT page_id, p.host, path, rule,
 FROM p LEFT JOIN hit USING (r) LEFT JOIN t ON t.host = p.host
 """
 
-SQL: dict[str, str] = {"op4_line_first": LINE_FIRST, "op8_host_reputation": HOST_REPUTATION}
+EXACT_DEDUP = """
+WITH h AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                           'abcdefghijklmnopqrstuvwxyz')) AS s FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, s AS text_sha256
+FROM h WINDOW w AS (PARTITION BY s)
+"""
+
+SOURCE_DIVERGENCE = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+           FROM documents),
+tok AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM tok SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(term)::HUGEINT AS v, coalesce(sum(n), 0)::HUGEINT AS n
+      FROM (SELECT DISTINCT lang FROM g) LEFT JOIN kept USING (lang) GROUP BY lang),
+s AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+        (1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (s.n + 5 * v.v))::BIGINT AS p,
+        (1 + (1000000000 * (k.n + 5)) // (v.n + 5 * v.v))::BIGINT AS q
+      FROM s JOIN v USING (lang) JOIN kept k USING (lang)
+      LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item,
+           coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y USING (lang, term)
+                     WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+term AS (SELECT lang, source, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value,
+       (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pair
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+       (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM term)
+WHERE rank <= 50
+"""
+
+SQL: dict[str, str] = {"op4_line_first": LINE_FIRST, "op8_host_reputation": HOST_REPUTATION,
+                       "op11_exact_dedup": EXACT_DEDUP, "op13_source_divergence": SOURCE_DIVERGENCE}

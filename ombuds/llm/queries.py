@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..sources.tables import table
-from . import (bpe, langid, minhash, packing, quality_model, quality_rules, substring, topk,
-               toxicity, url_filter)
+from . import (bpe, divergence, exact_dedup, langid, minhash, packing, quality_model, quality_rules, spelling,
+               substring, topk, toxicity, url_filter)
 
 
 def fold(doc_id, n: int):
@@ -99,6 +99,22 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates among all documents: which row stays, and the digest of every text."""
+    return exact_dedup.classes(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the frequent near word that each is a form of."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that set each one off."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_packing, op2_probminhash, op3_fm_index, op4_line_first, op5_quality_classifier, op6_byte_bpe,
-    op7_toxicity, op8_host_reputation, op9_language_id, op10_pivot_topk)}
+    op7_toxicity, op8_host_reputation, op9_language_id, op10_pivot_topk, op11_exact_dedup,
+    op12_spelling_variants, op13_source_divergence)}
