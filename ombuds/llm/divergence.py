@@ -9,7 +9,7 @@ texts are shuffled, one copy a task.
 Each term's smoothed share is ``p = 1 + floor(10^9 (n + 5) / (N + 5 V))``. Sources are compared by
 the sum of ``abs(p - q)`` over all kept terms of the language. Only terms that at least one of two
 sources has are visited: all others contribute the same difference of the two zero-count shares,
-times their number. Terms are dealt into blocks of at most ``CELLS`` terms x sources; a block
+times their number. Terms are dealt into blocks of about ``CELLS`` terms x sources; a block
 gives one partial sum a pair of sources, so no pair is emitted per term. Sums are 64-bit integers.
 
 Defined results: null text, lang and source read as ''; a group without terms still takes part; a
@@ -36,8 +36,9 @@ SMOOTH, SCALE = 5, 1_000_000_000
 TOP_TERMS = 50
 #: Bits of the set of repeated texts (16 MB).
 REPEAT_BITS = 1 << 27
-#: Terms x sources of a block, about (int64).
-CELLS = 1_000_000
+#: Least and most terms x sources of a block, about (int64); between them four times the pairs of
+#: sources, so that the partial sums are fewer than the counts.
+CELLS, MOST_CELLS = 1 << 15, 1 << 22
 #: Counts that a task holds before it hands them on.
 HELD = 400_000
 
@@ -182,9 +183,10 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
                 .fillna(0, ["kept", "lang_total"]))
     totals = c.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
     stats = groups.join(totals, ["lang", "source"], "left").fillna(0, ["total", "terms"]).join(per_lang, "lang")
+    cells = F.least(F.lit(MOST_CELLS), F.greatest(F.lit(CELLS), 4 * F.col("sources") * F.col("sources")))
     stats = written(spark, stats.select(
         "lang", "source", "total", "terms", "kept", "lang_total",
-        F.greatest(F.lit(1), F.ceil(F.col("kept") * F.col("sources") / CELLS)).cast("int").alias("blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("kept") * F.col("sources") / cells)).cast("int").alias("blocks"),
         F.when(F.col("kept") > 0, share("0", "total", "kept")).alias("zero")).coalesce(4), "stats")
 
     shares = c.join(stats, ["lang", "source"]).select(

@@ -238,7 +238,8 @@ def test_audit_equals_brute_force(spark, monkeypatch):
     want = audit_of(rows)
     assert {r[2] for r in want} == {"pair", "term"} and any(r[0] == "xx" and r[4] == 0 for r in want)
     assert sorted(tuple(r) for r in divergence.audit(df).collect()) == want
-    monkeypatch.setattr(divergence, "CELLS", 40)  # many blocks
+    monkeypatch.setattr(divergence, "CELLS", 8)
+    monkeypatch.setattr(divergence, "MOST_CELLS", 40)  # many blocks
     assert sorted(tuple(r) for r in divergence.audit(df).collect()) == want
     assert divergence.audit(df.limit(0)).count() == 0
 
