@@ -4,12 +4,15 @@ Inputs of each word are its own vector (a learned vocabulary, found by bisection
 hashes) plus vectors of its first and last three characters, which also speak for unknown
 words. Words are runs of letters, digits and non-ASCII bytes, ASCII lower case. Every text is
 covered by overlapping windows of ``WINDOW`` words, one each ``STRIDE``; the network scores
-all of them, and the highest gives the text's score through a logistic calibration.
+all of them, and the highest gives the text's score through a monotone calibration.
 
-Training: texts of a bounded sample of labelled rows (``SAMPLE`` a class, by hash order) come
-to the driver. Which windows of a toxic text are toxic is not labelled: first those with a
-word of high log odds, later those that the network itself scores highest, are positive; all
-windows of clean texts are negative.
+Training: texts of a bounded sample of labelled rows (``SAMPLE`` a class, by hash order) become
+windows of word hashes on the executors, at most ``TEXT_WINDOWS`` a text (by hash order; all
+of them in scoring). One task fits the network on all of these, and ``FOLDS`` further tasks fit
+it without one part each, whose scores of that part calibrate it. Every clean window is
+drawn; which windows of a toxic text are toxic is not labelled: first those with a word of high
+log odds, later those that the network itself scores highest, are positive. Texts are put in
+the order of a hash of their content, so the order of the rows has no influence.
 
 Defined results: a null or empty text is scored as one window of padding; rows without a
 label or whose label is null teach nothing; without both classes every score is the share of
@@ -18,18 +21,29 @@ label 1 (0 if there is none). Repeated rows are judged each. Other columns are n
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quality_model import isotonic
 from .words import _BYTE, Words, mix, slices
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 EMBED, HIDDEN = 16, 8
-#: Labelled texts of each class that are collected for training, at most.
-SAMPLE = 2000
+#: Labelled texts of each class that are used for training, and windows of each of them, at most.
+SAMPLE, TEXT_WINDOWS = 2000, 128
+#: Parts of the sample whose scores come from a network that has not seen them.
+FOLDS = 5
+#: Training steps, at least; and windows of a step: positive, clean, clean with a high score.
+STEPS, POSITIVE, CLEAN, HARD = 300, 48, 112, 32
+#: Part of its way from the start that an input vector loses in each step.
+FORGET = 0.15
+#: Share of a training window's words that are hidden, so that no single word is learnt by heart.
+HIDDEN_WORDS = 0.15
 VOCABULARY = 4096
 ENDS = 512
 SEED = 7
@@ -115,8 +129,8 @@ def gru_back(d_out: np.ndarray, u: np.ndarray, keep: list) -> tuple[np.ndarray,
 class Network:
     """Weights, the vocabulary and the calibration; picklable and a few hundred kB."""
 
-    def __init__(self, words: np.ndarray, odds: np.ndarray):
-        rng = np.random.default_rng(SEED)
+    def __init__(self, words: np.ndarray, odds: np.ndarray, seed: int = SEED):
+        rng = np.random.default_rng(seed)
         self.words = words  # sorted hashes; row 0 of the word vectors is for unknown words
 
         def normal(*shape, by=0.1):
@@ -129,7 +143,19 @@ class Network:
                   "ub": normal(HIDDEN, 3 * HIDDEN, by=0.3), "q": normal(2 * HIDDEN),
                   "w": normal(2 * HIDDEN, by=0.3), "c": np.array([-2.0], np.float32)}
         self.p["word"][1:, 0] += odds.astype(np.float32) / 3  # the first component starts from the log odds
-        self.a, self.b, self.base = 1.0, 0.0, 0.0
+        self.start = {k: self.p[k].copy() for k in ("word", "head", "tail")}
+        self.x, self.y = np.zeros(1), np.zeros(1)  # calibration: logits and their shares of label 1
+
+    def constant(self, share: float) -> "Network":
+        """This network, but every text has the same score."""
+        self.x, self.y = np.zeros(0), np.full(1, share)
+        return self
+
+    def calibrated(self, logit: np.ndarray) -> np.ndarray:
+        """Scores; a little of the logit itself keeps the order within a step."""
+        if not len(self.x):
+            return np.full(len(logit), self.y[0])
+        return 0.98 * np.interp(logit, self.x, self.y) + 0.02 * sigmoid(logit / 4)
 
     def ids(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.words, t.hash), max(0, len(self.words) - 1))
@@ -190,10 +216,8 @@ class Network:
 
     def scores(self, col) -> np.ndarray:
         """Score of each text of an Arrow column."""
-        parts = [sigmoid(self.a * self.texts(raw, off).astype(float) + self.b)
-                 for _, _, raw, off in slices(col, 1 << 19)]
-        got = np.concatenate(parts) if parts else np.zeros(0)
-        return got if self.a else np.full(len(got), self.base)
+        parts = [self.texts(raw, off).astype(float) for _, _, raw, off in slices(col, 1 << 19)]
+        return self.calibrated(np.concatenate(parts) if parts else np.zeros(0))
 
     def step(self, adam: dict, word, head, tail, label, weight, rate: float) -> None:
         """One Adam step on windows; word, head, tail: [batch, time], word -1 for padding."""
@@ -233,29 +257,83 @@ class Network:
             v += 0.001 * (grad * grad - v)
             scale = rate * np.sqrt(1 - 0.999 ** adam["t"]) / (1 - 0.9 ** adam["t"])
             p[name] -= scale * m / (np.sqrt(v) + 1e-7)
+            if name in self.start:  # what few windows say of a vector is soon forgotten
+                p[name] -= FORGET * (p[name] - self.start[name])
+
+
+def examples(batches):
+    """Batches of (key, text, label) to (key, label, words, ends): windows of word hashes and of
+    end characters, as bytes; padding has ends of ``ENDS``."""
+    for b in batches:
+        key, label = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        rows = []
+        for i, _, raw, off in slices(b.column(1), 1 << 19):
+            t = Tokens(raw, off)
+            at, doc = t.windows()
+            nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            with np.errstate(over="ignore"):
+                order = np.lexsort((mix(key[i + doc].astype(np.uint64) + nth.astype(np.uint64)), doc))
+            keep = np.sort(order[nth < TEXT_WINDOWS])
+            at, doc = at[keep], doc[keep]
+            real = at >= 0
+            words, head, tail = (np.append(x, x.dtype.type(0))[at] for x in (t.hash, t.head, t.tail))
+            words = np.where(real, words, 0).astype("<u8")
+            ends = np.where(real, np.stack([head, tail]), ENDS).astype("<u2")
+            first = np.searchsorted(doc, np.arange(len(off)))
+            for k, (a, z) in enumerate(zip(first, first[1:])):
+                rows.append((key[i + k], label[i + k], words[a:z].tobytes(), ends[:, a:z].tobytes()))
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+            cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["key", "label", "words", "ends"])
+
+
+class Windows:
+    """Windows of labelled texts: word hashes, head and tail [window, WINDOW], their text."""
+
+    def __init__(self, words: list[bytes], ends: list[bytes], label):
+        size = np.array([len(w) // (8 * WINDOW) for w in words], np.int64)
+        self.toxic = np.asarray(label, np.int64)
+        self.doc = np.repeat(np.arange(len(size)), size)
+        self.words = np.frombuffer(b"".join(words), "<u8").reshape(-1, WINDOW)
+        both = [np.frombuffer(e, "<u2").reshape(2, -1, WINDOW) for e in ends]
+        both = np.concatenate(both, 1) if both else np.zeros((2, 0, WINDOW), "<u2")
+        self.real = both[0] < ENDS
+        self.head, self.tail = (np.where(self.real, x, 0).astype(np.int32) for x in both)
+
+    def of(self, texts: np.ndarray) -> "Windows":
+        """The windows of some texts, which are numbered anew."""
+        number = np.full(len(self.toxic), -1)
+        number[texts] = np.arange(len(texts))
+        rows = np.flatnonzero(number[self.doc] >= 0)
+        out = object.__new__(Windows)
+        out.toxic, out.doc = self.toxic[texts], number[self.doc[rows]]
+        out.words, out.real, out.head, out.tail = (x[rows] for x in (self.words, self.real, self.head, self.tail))
+        return out
 
-
-def fit(texts, toxic, share: float, rounds: int = 3, batch: int = 384) -> Network:
-    """Train on an Arrow column of texts and their 0/1 labels; ``share``: of label 1 in all rows.
-
-    Each fourth text is kept for the calibration: on texts it has seen the network is too sure."""
-    toxic = np.asarray(toxic)
-    later = np.arange(len(toxic)) % 4 == 3
-    if not (0 < toxic[later].sum() < later.sum()):
-        later[:] = False
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    kept, kept_toxic = texts.filter(pa.array(later)), toxic[later]
-    texts, toxic = texts.filter(pa.array(~later)), toxic[~later]
-    parts = [(i, Tokens(raw, off)) for i, _, raw, off in slices(texts, 1 << 20)]
-    count: dict[int, list] = {}
-    for i, t in parts:
-        pair = np.unique(np.stack([t.doc.astype(np.uint64), t.hash], 1), axis=0)
-        for y, h in zip(toxic[i + pair[:, 0].astype(np.int64)].tolist(), pair[:, 1].tolist()):
-            count.setdefault(h, [0, 0])[y] += 1
-    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    h = np.fromiter(count, np.uint64, len(count))
-    c = np.array(list(count.values()), float).reshape(-1, 2)
+    def ids(self, net: "Network") -> np.ndarray:
+        """Rows of the word vectors; -1 for padding."""
+        at = np.minimum(np.searchsorted(net.words, self.words), max(0, len(net.words) - 1))
+        known = net.words[at] == self.words if len(net.words) else np.zeros(self.words.shape, bool)
+        return np.where(self.real, np.where(known, at + 1, 0), -1).astype(np.int32)
+
+    def logits(self, net: "Network", ids: np.ndarray) -> np.ndarray:
+        parts = [net.forward(*net.inputs(ids[i:i + 4096], self.head[i:i + 4096], self.tail[i:i + 4096]))
+                 for i in range(0, len(ids), 4096)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.float32)
+
+    def best(self, net: "Network") -> np.ndarray:
+        """Highest logit of each text."""
+        v = self.logits(net, self.ids(net))
+        return np.maximum.reduceat(v, np.searchsorted(self.doc, np.arange(len(self.toxic)))) if len(v) else v
+
+
+def vocabulary(w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted word hashes, their clipped log odds, which are hot: surely more often in toxic texts)."""
+    pair = np.unique(np.stack([w.words[w.real], np.broadcast_to(w.doc[:, None], w.words.shape)[w.real].astype(np.uint64)], 1), axis=0)
+    h, at = np.unique(pair[:, 0], return_inverse=True)
+    y = w.toxic[pair[:, 1].astype(np.int64)]
+    c = np.stack([np.bincount(at[y == k], minlength=len(h)) for k in (0, 1)], 1).astype(float)
+    n1, n0 = int(w.toxic.sum()), int((1 - w.toxic).sum())
     odds = np.log((c[:, 1] + 0.5) / (n1 + 1)) - np.log((c[:, 0] + 0.5) / (n0 + 1))
     sure = np.abs(odds) * np.sqrt(c.sum(1))
     often = c.sum(1) >= 3
@@ -263,70 +341,70 @@ def fit(texts, toxic, share: float, rounds: int = 3, batch: int = 384) -> Networ
     for key in (sure, c.sum(1)):
         rank = np.lexsort((h, -np.where(often, key, -1)))[:VOCABULARY // 2]
         pick[rank[often[rank]]] = True
-    order = np.argsort(h[pick])
-    words, odds, c = h[pick][order], np.clip(odds[pick][order], -4, 6), c[pick][order]
-    hot = (odds > np.log(10)) & (c[:, 1] >= 4)
-    net = Network(words, np.where(hot | (odds < 0), odds, 0))
-    if not n1 or not n0:
-        net.a, net.base = 0.0, share
-        return net
-
-    cols: list = [[], [], [], []]
-    for i, t in parts:
-        at, doc = t.windows()
-        ids = [np.append(x, 0) for x in net.ids(t)]
-        for col, a in zip(cols, (np.where(at >= 0, ids[0][at], -1), ids[1][at], ids[2][at], doc + i)):
-            col.append(a)
-    word, head, tail, doc = (np.concatenate(x) for x in cols)
-    flag = np.append(hot, [False, False])[word - 1].any(1)  # unknown: -1, padding: -2
-    bad = toxic[doc] == 1
-    rng = np.random.default_rng(SEED)
-    adam: dict = {}
-    score = np.where(flag, 1.0, 0.0) + rng.random(len(doc)) * 1e-3
-    for turn in range(rounds):
-        if turn:
-            score = np.concatenate([net.forward(*net.inputs(word[i:i + 4096], head[i:i + 4096], tail[i:i + 4096]))
-                                    for i in range(0, len(word), 4096)])
-            positive = bad & (score > 0) & flag | bad & (score > 1.5)
-        else:
-            positive = bad & flag
-        if not positive.any():
-            positive = bad
-        clean = np.flatnonzero(~bad)
-        hard = clean[np.argsort(-score[clean], kind="stable")[:4000]]
-        some = rng.permutation(clean)[:12_000]
-        pos = np.flatnonzero(positive)
-        pos = rng.permutation(pos)[:8000]
-        rows = np.concatenate([pos, some, hard])
-        y = np.concatenate([np.ones(len(pos)), np.zeros(len(some) + len(hard))])
-        weight = np.where(y == 1, (len(some) + len(hard)) / max(1, len(pos)) / 3, 1.0)
-        weight = np.minimum(weight, 20.0)
-        for epoch in range(2 if len(rows) > 4000 else 8):
-            mixed = rng.permutation(len(rows))
-            for i in range(0, len(rows), batch):
-                k = mixed[i:i + batch]
-                r = rows[k]
-                net.step(adam, word[r], head[r], tail[r], y[k], weight[k], 0.01 if turn < rounds - 1 else 0.004)
-    if later.any():
-        texts, toxic = kept, kept_toxic
-    best = np.concatenate([net.texts(raw, off) for _, _, raw, off in slices(texts, 1 << 20)])
-    net.a, net.b = calibrate(best, toxic, share)
+    # likelihood ratio of a word's two shares against one; among k words chance alone reaches 2 log k
+    share = np.array([n0, n1]) / (n0 + n1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * np.where(c > 0, c * np.log(c / (c.sum(1)[:, None] * share)), 0).sum(1)
+    ratio = np.where(pick & (odds > 0), ratio, 0)
+    hot = (ratio > 0) & (ratio >= min(2 * np.log(max(2, pick.sum())), 0.75 * ratio.max(initial=0)))
+    return h[pick], np.clip(odds[pick], -4, 6), hot[pick]
+
+
+def fit(w: Windows, steps: int = STEPS, seed: int = SEED) -> Network:
+    """Train on the windows of labelled texts of both classes; not calibrated."""
+    words, odds, hot = vocabulary(w)
+    net = Network(words, np.where(hot | (odds < 0), odds, 0), seed)
+    ids = w.ids(net)
+    flag = np.append(hot, [False, False])[ids - 1].any(1)  # unknown: -1, padding: -2
+    bad = w.toxic[w.doc] == 1
+    clean = np.flatnonzero(~bad)
+    positive, hard = np.flatnonzero(bad & flag), clean
+    if not len(positive):
+        positive = np.flatnonzero(bad)
+    rng = np.random.default_rng(seed)
+    steps = max(steps, -(-len(clean) // CLEAN))  # so that each clean window is drawn
+    order, adam = rng.permutation(clean), {}
+    for step in range(steps):
+        if step in (steps // 4, steps // 2, 3 * steps // 4):
+            score = w.logits(net, ids)
+            own = np.flatnonzero(bad & (score > 0) & flag | bad & (score > 1.5))
+            positive = own if len(own) else positive
+            hard = clean[np.argsort(-score[clean], kind="stable")[:max(HARD, len(clean) // 20)]]
+        at = step * CLEAN % len(order) + np.arange(min(CLEAN, len(order)))
+        rows = np.concatenate([rng.choice(positive, POSITIVE), order[at % len(order)], rng.choice(hard, HARD)])
+        label = np.arange(len(rows)) < POSITIVE
+        rate = 0.01 * min(1.0, 0.1 + 1.8 * (1 - step / steps))
+        word = np.where(rng.random((len(rows), WINDOW)) < HIDDEN_WORDS, -1, ids[rows])
+        net.step(adam, word, w.head[rows], w.tail[rows], label.astype(float), np.where(label, 1.5, 1.0), rate)
     return net
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """Logistic regression of the label on the highest logit, at the classes' true shares."""
-    x = np.clip(x.astype(float), -15, 15)
+def fit_part(key, rows):
+    """One task of the training: the network fitted without part ``fold`` of the texts (on all of
+    them where there is no such part), and its highest logit and the label of each left-out text."""
+    fold = key[0].as_py()
+    rows = rows.sort_by([("label", "ascending"), ("key", "ascending")])
+    w = Windows(rows.column("words").to_pylist(), rows.column("ends").to_pylist(), rows.column("label").to_numpy())
+    ones = int(w.toxic.sum())
+    nth = np.arange(len(w.toxic)) - np.where(w.toxic == 1, len(w.toxic) - ones, 0)
+    out = nth % FOLDS == fold if min(ones, len(w.toxic) - ones) >= FOLDS else np.zeros(len(nth), bool)
+    if fold < FOLDS and not out.any():
+        return pa.table({"fold": pa.array([], pa.int32()), "net": pa.array([], pa.binary()),
+                         "logit": pa.array([], pa.list_(pa.float64())), "label": pa.array([], pa.list_(pa.int32()))})
+    net = fit(w.of(np.flatnonzero(~out)))
+    told = w.of(np.flatnonzero(out)) if out.any() else w
+    return pa.table({"fold": pa.array([fold], pa.int32()), "net": pa.array([pickle.dumps(net)], pa.binary()),
+                     "logit": pa.array([told.best(net).astype(float).tolist()], pa.list_(pa.float64())),
+                     "label": pa.array([told.toxic.tolist()], pa.list_(pa.int32()))})
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic shares of label 1 by the highest logit, at the classes' true shares. Unlike a
+    logistic curve they are not bent by labels that no text can explain."""
     w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    ab = np.array([1.0, 0.0])
-    design = np.stack([x, np.ones_like(x)], 1)
-    for _ in range(50):
-        p = sigmoid(design @ ab)
-        grad = design.T @ (w * (p - y)) + 1e-3 * (ab - [1, 0])
-        hess = (design * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ design + 1e-3 * np.eye(2)
-        move = np.linalg.solve(hess, grad)
-        ab -= move * min(1.0, 2.0 / max(1e-9, np.abs(move).max()))
-    return float(max(ab[0], 0.05)), float(ab[1])
+    at, inverse = np.unique(x, return_inverse=True)
+    weight = np.bincount(inverse, w)
+    return at, isotonic(at, np.bincount(inverse, w * y) / weight, weight)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:
@@ -338,11 +416,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .groupBy(F.col(id_col).alias("id")).agg(F.max("label").cast("int").alias("label")))
     count = known.agg(F.count("*"), F.sum("label")).first()
     share = float((count[1] or 0) / count[0]) if count[0] else 0.0
+    if not count[1] or count[1] == count[0]:
+        return Network(np.zeros(0, np.uint64), np.zeros(0)).constant(share)
     ids = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for y in (0, 1)]
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
             .where("text is not null").join(F.broadcast(ids[0].unionAll(ids[1])), "id")
-            .select("text", "label").distinct().orderBy("label", F.xxhash64("text")).toArrow())
-    return fit(rows.column("text"), rows.column("label").to_numpy().astype(np.int64), share)
+            .select(F.xxhash64("text").alias("key"), "text", "label").distinct())
+    windows = rows.mapInArrow(examples, "key long, label int, words binary, ends binary")
+    parts = windows.select("*", F.explode(F.array(*map(F.lit, range(FOLDS + 1)))).alias("fold"))
+    fitted = parts.groupBy("fold").applyInArrow(
+        fit_part, "fold int, net binary, logit array<double>, label array<int>").collect()
+    final = [r for r in fitted if r.fold == FOLDS]
+    if not final:  # the labelled documents are not there
+        return Network(np.zeros(0, np.uint64), np.zeros(0)).constant(share)
+    net = pickle.loads(final[0].net)
+    told = [r for r in fitted if r.fold < FOLDS] or final
+    x, y = (np.array([v for r in told for v in r[name]]) for name in ("logit", "label"))
+    if not 0 < y.sum() < len(y):
+        return net.constant(share)
+    net.x, net.y = calibrate(x, y, share)
+    return net
 
 
 def score(text: Column, net: Network) -> Column:

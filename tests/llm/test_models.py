@@ -34,7 +34,8 @@ def test_toxicity_on_held_out_rows(spark, truth):
     assert len(rows) == 1000
     held = [r for r in rows if r.held_out and truth[r.doc_id].toxic is not None]
     good = sum(r.predicted == truth[r.doc_id].toxic for r in held) / len(held)
-    assert good >= 0.9
+    assert good >= 0.95
+    assert sum(r.predicted for r in held if truth[r.doc_id].toxic) >= 0.6 * sum(truth[r.doc_id].toxic for r in held)
     words = ("idiot", "moron", "stupid", "trash", "scum", "clown", "loser", "pathetic", "worthless", "disgusting")
     clean = [r for r in rows if not any(w in truth[r.doc_id].text.lower() for w in words)]
     assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
@@ -72,6 +73,57 @@ def test_network_gradients():
         assert abs((sides[0] - sides[1]) / 2e-3 - got) < 0.05 * abs(got) + 1e-4, name
 
 
+def test_scores_equal_plain_loops():
+    """Every window of every text, word by word."""
+    import pyarrow as pa
+    from ombuds.llm.words import utf8
+    rng = np.random.default_rng(3)
+    texts = [" ".join("w%d" % i for i in rng.integers(0, 40, n)) for n in (1, 31, 32, 33, 90)] + [""]
+    raw, off = utf8(pa.array(texts))
+    t = toxicity.Tokens(raw, off)
+    net = toxicity.Network(np.unique(t.hash)[::2], rng.normal(0, 1, len(np.unique(t.hash)[::2])))
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    word, head, tail = net.ids(t)
+
+    def cell(x, h, u, b, w):
+        z = x @ w + b
+        a, n = h @ u, len(h)
+        g = 1 / (1 + np.exp(-(z[:2 * n] + a[:2 * n])))
+        new = np.tanh(z[2 * n:] + g[n:] * a[2 * n:])
+        return (1 - g[:n]) * new + g[:n] * h
+
+    want = []
+    for d in range(len(texts)):
+        rows = list(range(t.first[d], t.first[d + 1]))
+        best = []
+        for at in range(0, max(1, len(rows) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            xs = [p["word"][word[i]] + p["head"][head[i]] + p["tail"][tail[i]] for i in rows[at:at + toxicity.WINDOW]]
+            h = np.zeros(toxicity.HIDDEN)
+            forth = [h := cell(x, h, p["uf"], p["bf"], p["wf"]) for x in xs]
+            h = np.zeros(toxicity.HIDDEN)
+            back = [h := cell(x, h, p["ub"], p["bb"], p["wb"]) for x in xs[::-1]][::-1]
+            both = [np.concatenate(x) for x in zip(forth, back)]
+            if both:
+                e = np.exp([b @ p["q"] for b in both])
+                best.append(sum(a * b for a, b in zip(e / e.sum(), both)) @ p["w"] + p["c"][0])
+        want.append(max(best, default=p["c"][0]))
+    assert np.allclose(net.texts(raw, off)[:-1], want[:-1], atol=1e-4)
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    import pyarrow as pa
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    rows = docs.join(queries.labelled(spark, "/root/testdata/sf0.001", "toxic").where("label is not null"), "doc_id").select(
+        F.xxhash64("text").alias("key"), "text", "label").toArrow().combine_chunks()
+    found = []
+    for seed in (None, 1, 2):
+        order = np.arange(len(rows)) if seed is None else np.random.default_rng(seed).permutation(len(rows))
+        parts = pa.Table.from_batches(toxicity.examples(rows.take(order).to_batches()))
+        out = toxicity.fit_part((pa.scalar(0),), parts).to_pylist()[0]
+        found.append((out["logit"], out["label"]))
+    assert found[0] == found[1] == found[2]
+
+
 def test_quality_on_held_out_rows(spark, truth):
     rows = queries.op5_quality_classifier(spark, SF).collect()
     assert len(rows) == 1000 and all(0 <= r.score <= 1 for r in rows)
