@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 UPLOAD_SCHEMA = T.StructType([
     T.StructField("filename", T.StringType()), T.StructField("num_records", T.LongType()),
@@ -32,6 +32,32 @@ def log_query(spark: SparkSession, path: str, query_text: str, query_type: str,
     spark.createDataFrame(row, QUERY_SCHEMA).write.mode("append").parquet(path)
 
 
+def write_logged(df: DataFrame, path: str, log_path: str, filename: str, user: str = "system",
+                 mode: str = "append", at: dt.datetime | None = None) -> int:
+    """Write ``df`` as Parquet and log the upload (K6). The number of rows is observed by the write
+    itself: there is no second scan. Returns it."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(path)
+    log_upload(df.sparkSession, log_path, filename, seen.get["n"], user, at=at)
+    return seen.get["n"]
+
+
+def _append(rows: DataFrame, path: str, schema: T.StructType) -> None:
+    names = set(rows.columns)
+    rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in names
+                  else F.lit(None).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").parquet(path)
+
+
+def append_uploads(uploads: DataFrame, path: str) -> None:
+    """K6 for many uploads at once: columns of ``UPLOAD_SCHEMA``, missing ones null."""
+    _append(uploads, path, UPLOAD_SCHEMA)
+
+
+def append_queries(queries: DataFrame, path: str) -> None:
+    """K7 for many queries at once: columns of ``QUERY_SCHEMA``, missing ones null."""
+    _append(queries, path, QUERY_SCHEMA)
+
+
 def _window(audit: DataFrame, hours: int, as_of) -> DataFrame:
     ref = as_of if as_of is not None else audit.select(F.max("executed_at")).scalar()
     since = ref - F.expr(f"INTERVAL {int(hours)} HOURS") if not isinstance(ref, dt.datetime) \

@@ -88,14 +88,15 @@ def topk_in_set(queries: DataFrame, reference, k: int = S.KNN_K, query_id: str =
 def _local_topk(k: int):
     def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(r) == 0:  # typed: an empty column of no type cannot become text
-            return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "rank": np.zeros(0, np.int32),
+            return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "key": q["key"].iloc[:0], "rank": np.zeros(0, np.int32),
                                  "ref_id": r["ref_id"].iloc[:0], "ref_label": r["ref_label"].iloc[:0].astype(object),
                                  "similarity": np.zeros(0)})
+        q = q.drop_duplicates(["query_id", "key"])
         r = r.sort_values("ref_id", kind="stable").reset_index(drop=True)
         at, sim = tile_topk(unit_rows(q["vec"].to_numpy()), unit_rows(r["vec"].to_numpy()), k)
         row = np.repeat(np.arange(len(q)), at.shape[1])
         return pd.DataFrame({
-            "query_id": q["query_id"].to_numpy()[row],
+            "query_id": q["query_id"].to_numpy()[row], "key": q["key"].to_numpy()[row],
             "rank": np.tile(np.arange(1, at.shape[1] + 1, dtype=np.int32), len(q)),
             "ref_id": r["ref_id"].to_numpy()[at.ravel()],
             "ref_label": r["ref_label"].to_numpy()[at.ravel()],
@@ -111,11 +112,14 @@ def similarity_topk(queries: DataFrame, refs: DataFrame, k: int = S.KNN_K,
     """For every query row, its ``k`` most cosine-similar reference rows.
 
     Output ``(query_id, rank, ref_id, ref_label, similarity)``; ties on similarity
-    go to the smaller ``ref_id``; a zero vector has similarity 0 with everything."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
+    go to the smaller ``ref_id``; a zero vector has similarity 0 with everything. Rows that
+    repeat an id with another vector are queries of their own, each with ``k`` rows; rows that
+    repeat both are one query. (``vote`` then pools the rows of an id.)"""
+    q = queries.select(F.col(query_id).alias("query_id"), F.xxhash64(query_vec).alias("key"), F.col(query_vec).alias("vec"))
     r = refs.select(F.col(ref_id).alias("ref_id"), F.col(ref_vec).alias("vec"),
                     F.col(ref_label).alias("ref_label"))
     out_schema = _out_schema(q.schema["query_id"].dataType, r.schema["ref_id"].dataType, r.schema["ref_label"].dataType)
+    out_schema = T.StructType([out_schema[0], T.StructField("key", T.LongType()), *out_schema[1:]])
     cores = q.sparkSession.sparkContext.defaultParallelism
     nq_blocks = max(cores, math.ceil(q.count() / query_block))
     nr_blocks = max(1, math.ceil(r.count() / ref_block))
@@ -124,7 +128,7 @@ def similarity_topk(queries: DataFrame, refs: DataFrame, k: int = S.KNN_K,
     rx = (r.withColumn("rb", F.pmod(F.xxhash64("ref_id"), F.lit(nr_blocks)).cast("int"))
            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq_blocks - 1)))))
     local = (qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb")).applyInPandas(_local_topk(k), out_schema))
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("ref_id"))
+    w = Window.partitionBy("query_id", "key").orderBy(F.col("similarity").desc(), F.col("ref_id"))
     return (local.drop("rank").withColumn("rank", F.row_number().over(w))
                  .where(F.col("rank") <= k).select(*TOPK_FIELDS))
 

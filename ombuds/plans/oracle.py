@@ -519,7 +519,7 @@ SQL["distinct_categories"] = with_complaints(
 
 
 # ---- encoders, reference sets, labelling -------------------------------------------------
-MD5_DIMS, REFERENCE_ROWS, LABEL = 64, 300, 0.5
+MD5_DIMS, REFERENCE_ROWS, LABEL = 384, 5000, 0.5
 
 
 def _needs(c: str, sub: bool) -> str:
@@ -650,14 +650,27 @@ SELECT row_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 6) A
 
 SQL.update({
     "upload_log": """
-SELECT 'customer' AS filename, count(*) AS num_records, 'loader' AS "user", TIMESTAMP '2024-01-01 01:00:00' AS uploaded_at
-FROM customer UNION ALL
-SELECT 'documents', count(*), 'loader', TIMESTAMP '2024-01-01 02:00:00' FROM documents""",
+SELECT 'orders_' || strftime(d, '%Y%m%d') || '_' || o_orderstatus AS filename, num_records, 'loader' AS "user",
+       CAST(d + 1 AS TIMESTAMP) AS uploaded_at
+FROM (SELECT CAST(o_orderdate AS DATE) AS d, o_orderstatus, count(*) AS num_records FROM orders GROUP BY ALL)""",
     "query_log": """
-SELECT query_type, count(*) AS n, avg(c) AS avg_response_time_ms FROM (
-  SELECT 'scan' AS query_type, (SELECT count(*) FROM orders)::DOUBLE AS c
-  UNION ALL SELECT 'scan', (SELECT count(*) FROM customer) UNION ALL SELECT 'search', (SELECT count(*) FROM documents))
-GROUP BY 1""",
+SELECT event_type AS query_type, count(*) AS n, round(avg(c), 6) AS avg_response_time_ms
+FROM (SELECT event_type, CAST(ts AS DATE) AS d, count(*)::DOUBLE AS c FROM events GROUP BY ALL) GROUP BY 1""",
+    "csv_mixed_headers": with_complaints("""
+SELECT NU_REGISTRO, DS_ASSUNTO, CASE WHEN row_id % 3 <> 2 THEN DS_FILIAL END AS DS_FILIAL FROM complaints"""),
+    "csv_bad_rows": """
+WITH k AS (SELECT *, o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0 AS bad FROM orders)
+SELECT CASE WHEN NOT bad THEN CAST(o_orderkey AS VARCHAR) END AS id,
+       CASE WHEN NOT bad THEN CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0 THEN 'nota; com "aspas"' ELSE 'nota' END END AS nota,
+       CASE WHEN NOT bad AND o_orderkey % 7 <> 0 THEN o_orderstatus END AS situacao,
+       CASE WHEN bad THEN o_orderkey || ';nota;' || o_orderstatus || ';sobra' END AS raw_line,
+       CASE WHEN bad THEN '4 fields, 3 expected' END AS reason FROM k""",
+    "knn_pruned": SQL["knn_topk"],
+    "stream_monthly_counts": """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus, count(*) AS n
+FROM orders WHERE o_orderdate IS NOT NULL GROUP BY ALL""",
+    "stream_dedupe_watermark": """
+SELECT event_id, event_type, CASE WHEN day(ts) <= 5 THEN 2 ELSE 1 END::BIGINT AS n FROM events""",
     "export_json": with_complaints("""
 SELECT NU_REGISTRO, DS_ASSUNTO, strftime(DT_REGISTRO_ATENDIMENTO, '%Y-%m-%dT%H:%M:%S') AS DT_REGISTRO_ATENDIMENTO
 FROM complaints"""),

@@ -17,8 +17,8 @@ from ..functions import temporal as T
 from ..functions import text as X
 from ..operators import audit, dedupe, sampling
 from ..streaming import ingest as sstream
-from ..operators import (autolabel, compare, evaluate, features, forest, knn, kpi, quality, ranking, reference,
-                         temporal)
+from ..operators import (autolabel, compare, evaluate, features, forest, knn, knn_index, kpi, quality, ranking,
+                         reference, temporal)
 from ..session import shared_dir, written
 from ..sinks import report
 from ..sources.tables import table
@@ -348,8 +348,8 @@ def q_tfidf_terms(spark, sf):
 
 
 # ---- encoders, reference sets, labelling ----------------------------------------------------
-# The md5 encoder's buckets can be computed by the twin's engine as well.
-MD5_DIMS = 64
+# The md5 encoder's buckets can be computed by the twin's engine as well. Dimensions and the number
+# of references are the operators' own.
 LABEL_THRESHOLD = 0.5
 
 
@@ -357,10 +357,7 @@ def _reference(spark, sf, sub=False, name="reference"):
     t = fx.complaint_texts(spark, sf)
     path = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
     return reference.build_reference_set(t, S.SUBCATEGORY if sub else S.CATEGORY, path,
-                                         features.Md5Encoder(MD5_DIMS), sub=sub, max_rows=REFERENCE_ROWS)
-
-
-REFERENCE_ROWS = 300
+                                         features.Md5Encoder(), sub=sub)
 
 
 @register("tfidf_vectors")
@@ -377,7 +374,7 @@ def q_hashed_embeddings(spark, sf):
     """M1 with the md5 encoder over whole texts, in long form."""
     t = fx.complaint_texts(spark, sf)
     t = t.select(S.KEY, X.composite_text(t.columns, max_chars=None).alias("_text"))
-    v = features.Md5Encoder(MD5_DIMS).fit(t, "_text").encode(t, "_text")
+    v = features.Md5Encoder().fit(t, "_text").encode(t, "_text")
     return v.select(S.KEY, F.posexplode("vec").alias("bucket", "weight")).where("weight <> 0") \
         .withColumn("weight", F.round("weight", 6))
 
@@ -399,8 +396,8 @@ def q_reference_metadata(spark, sf):
 
 @register("autolabel_texts")
 def q_autolabel_texts(spark, sf):
-    out = autolabel.autolabel(fx.complaint_texts(spark, sf), encoder=features.Md5Encoder(MD5_DIMS),
-                              threshold=LABEL_THRESHOLD, max_rows=REFERENCE_ROWS)
+    out = autolabel.autolabel(fx.complaint_texts(spark, sf), encoder=features.Md5Encoder(),
+                              threshold=LABEL_THRESHOLD)
     return out.select(S.KEY, S.CATEGORY, F.round("category_confidence", 6).alias("category_confidence"),
                       "category_method", "category_needs_review", S.SUBCATEGORY,
                       F.round("subcategory_confidence", 6).alias("subcategory_confidence"),
@@ -516,21 +513,26 @@ def q_upload_history(spark, sf):
 
 @register("upload_log")
 def q_upload_log(spark, sf):
-    """K6 then T5: one log row per table with its size, appended and read back."""
+    """K6: a log row for each day and status of the orders, appended in two uploads and read back."""
+    o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"), "o_orderstatus")
+    rows = o.groupBy("d", "o_orderstatus").agg(F.count("*").alias("num_records")).select(
+        F.concat(F.lit("orders_"), F.date_format("d", "yyyyMMdd"), F.lit("_"), "o_orderstatus").alias("filename"),
+        "num_records", F.lit("loader").alias("user"), F.date_add("d", 1).cast("timestamp_ntz").alias("uploaded_at"))
     path = shared_dir(spark, f"uploads-{uuid.uuid4().hex}")
-    for hour, name in enumerate(("orders", "customer", "documents")):
-        audit.log_upload(spark, path, name, table(spark, sf, name).count(), user="loader",
-                         at=dt.datetime(2024, 1, 1, hour))
-    return audit.upload_history(spark.read.parquet(path), 2)
+    for part in (F.col("uploaded_at") < F.lit("1996-01-01"), F.col("uploaded_at") >= F.lit("1996-01-01")):
+        audit.append_uploads(rows.where(part), path)
+    return spark.read.schema(audit.UPLOAD_SCHEMA).parquet(path).select("filename", "num_records", "user", "uploaded_at")
 
 
 @register("query_log")
 def q_query_log(spark, sf):
-    """K7 then A26: log rows whose response time is the size of a table, appended and read back."""
+    """K7 then A26: a log row for each day and type of the events, appended and read back."""
+    rows = table(spark, sf, "events").groupBy(F.to_date("ts").alias("d"), F.col("event_type").alias("query_type")).agg(
+        F.count("*").cast("double").alias("response_time_ms"), F.max("ts").alias("executed_at"))
     path = shared_dir(spark, f"queries-{uuid.uuid4().hex}")
-    for hour, (name, kind) in enumerate((("orders", "scan"), ("customer", "scan"), ("documents", "search"))):
-        audit.log_query(spark, path, name, kind, table(spark, sf, name).count(), at=dt.datetime(2024, 1, 1, hour))
-    return audit.query_type_stats(spark.read.parquet(path), hours=24)
+    audit.append_queries(rows.withColumn("query_text", F.date_format("d", "yyyy-MM-dd")), path)
+    return audit.query_type_stats(spark.read.schema(audit.QUERY_SCHEMA).parquet(path), hours=24 * 366) \
+        .withColumn("avg_response_time_ms", F.round("avg_response_time_ms", 6))
 
 
 # ---- sinks ------------------------------------------------------------------------------------
@@ -605,3 +607,75 @@ def q_csv_ingest(spark, sf):
 @register("distinct_categories")
 def q_distinct_categories(spark, sf):
     return dedupe.distinct_values(fx.complaints(spark, sf), S.CATEGORY)
+
+
+@register("csv_mixed_headers")
+def q_csv_mixed_headers(spark, sf):
+    """Files of one folder with two column orders, other column names, another separator and
+    a missing column; each header is mapped alone."""
+    from ..sources import csv as C
+    from ..sources.columns import map_columns
+    c = fx.complaints(spark, sf).select("row_id", S.KEY, S.CATEGORY, S.BRANCH)
+    base = shared_dir(spark, f"csv_headers_{uuid.uuid4().hex}")
+    part = [c.where(F.col("row_id") % 3 == i).drop("row_id") for i in range(3)]
+    C.write_csv(part[0], base, ";", "ISO-8859-1", mode="append")
+    C.write_csv(part[1].select(F.col(S.BRANCH).alias("unidade"), F.col(S.CATEGORY).alias("categoria"),
+                               F.col(S.KEY).alias("id")), base, ";", "ISO-8859-1", mode="append")
+    C.write_csv(part[2].select(S.CATEGORY, S.KEY), base, ",", "UTF-8", mode="append")
+    return C.read_sniffed(spark, [base], rename=map_columns)[0].select(S.KEY, S.CATEGORY, S.BRANCH)
+
+
+@register("csv_bad_rows")
+def q_csv_bad_rows(spark, sf):
+    """Lines of a fixed dialect, short ones kept, long ones in quarantine with the reason,
+    separators in quotes kept; good rows and quarantine in one result."""
+    from ..sources import csv as C
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    line = (F.when(k % 7 == 0, F.concat_ws(";", k, F.lit("nota")))
+            .when(k % 11 == 0, F.concat_ws(";", k, F.lit("nota"), status, F.lit("sobra")))
+            .when(k % 5 == 0, F.concat(k, F.lit(';"nota; com ""aspas""";'), status))
+            .otherwise(F.concat_ws(";", k, F.lit("nota"), status)))
+    base = shared_dir(spark, f"csv_bad_{uuid.uuid4().hex}")
+    table(spark, sf, "orders").select(line.alias("value")).write.text(f"{base}/in")
+    good, bad = C.ingest_fixed(spark, f"{base}/in", ["id", "nota", "situacao"], f"{base}/out", encoding="UTF-8", header=False)
+    return good.select("id", "nota", "situacao").unionByName(bad.select("raw_line", "reason"), allowMissingColumns=True)
+
+
+@register("knn_pruned")
+def q_knn_pruned(spark, sf):
+    """J1 over the metric index: the rows of knn_topk."""
+    v = fx.vectors(spark, sf)
+    top, _ = knn_index.topk(v.where("is_test"), v.where("not is_test"), query_id="vec_id", query_vec="embedding",
+                            ref_id="vec_id", ref_vec="embedding", ref_label="label")
+    return top.withColumn("similarity", F.round("similarity", 6))
+
+
+@register("stream_monthly_counts")
+def q_stream_monthly_counts(spark, sf):
+    """R2 by calendar month over a landing folder whose oldest file arrives last."""
+    o = table(spark, sf, "orders").select("o_orderdate", "o_orderstatus")
+    land = shared_dir(spark, f"landing-{uuid.uuid4().hex}")
+    year = F.year("o_orderdate")
+    for part in (year > 1996, (year > 1994) & (year <= 1996), year <= 1994):
+        o.where(part).write.mode("append").parquet(land)
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(land)
+    return sstream.stream_monthly_counts(spark, stream, "o_orderdate", "o_orderstatus")
+
+
+@register("stream_dedupe_watermark")
+def q_stream_dedupe_watermark(spark, sf):
+    """R1 with bounded state: every event arrives again ten minutes later (dropped), those of the first
+    five days once more after twenty days (new records)."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "ts")
+    land = shared_dir(spark, f"landing-{uuid.uuid4().hex}")
+    day = F.dayofmonth("ts")
+    soon = e.unionAll(e.withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES")).select(*e.columns))
+    late = e.where(day <= 5).withColumn("ts", F.col("ts") + F.expr("INTERVAL 20 DAYS")).select(*e.columns)
+    of = e.select("event_id", day.alias("day"))
+    soon = soon.join(of, "event_id").select(*e.columns, "day")
+    for low, high in ((0, 10), (10, 20), (20, 31)):
+        rows = soon.where((F.col("day") > low) & (F.col("day") <= high)).select(*e.columns)
+        (rows.unionAll(late) if low == 20 else rows).coalesce(1).write.mode("append").parquet(land)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(land)
+    out = sstream.stream_dedupe_watermark(spark, stream, "event_id", "ts")
+    return out.groupBy("event_id", "event_type").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ itself is read by Spark's CSV source in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -34,7 +35,8 @@ def _separator(line: str) -> str:
 
 
 def sniff_files(spark: SparkSession, paths: list[str]) -> list[tuple]:
-    """(input number, file, encoding, separator, multi-line) of every data file below ``paths``.
+    """(input number, file, encoding, separator, multi-line, header line) of every data file below
+    ``paths``.
 
     One distributed scan over all paths; one row per file reaches the driver. A file is UTF-8
     unless some byte is not valid UTF-8 (then latin-1, which accepts every byte). The separator is
@@ -53,7 +55,8 @@ def sniff_files(spark: SparkSession, paths: list[str]) -> list[tuple]:
         f = _plain(r.f)
         mine = [i for i, root in enumerate(roots) if f == root or f.startswith(root + "/")]
         of = max(mine, key=lambda i: len(roots[i])) if mine else 0
-        out.append((of, r.f, "latin1" if r.bad else "utf-8", _separator(r.header or ""), bool(r.open)))
+        out.append((of, r.f, "latin1" if r.bad else "utf-8", _separator(r.header or ""), bool(r.open),
+                    (r.header or "").lstrip("\ufeff").rstrip("\r")))
     return sorted(out)
 
 
@@ -74,20 +77,27 @@ def position(file_numbers: dict[str, int]) -> Column:
             + row.cast("decimal(10,0)")).cast("decimal(33,0)")
 
 
-def read_sniffed(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+def read_sniffed(spark: SparkSession, paths: list[str],
+                 rename: Callable[[DataFrame], DataFrame] | None = None) -> list[DataFrame]:
     """One all-STRING DataFrame per input path (a file or a folder of parts), in input order,
     with the file name (``_file``) and, unless the files have one, the row's place (``row_id``).
 
-    Files of one dialect are read by one scan. A quote in a quoted field is doubled. A file with
-    line breaks in quotes is read by one task, so such files should be of at most a few GB each."""
+    Files of one dialect and one header line are read by one scan, which binds their columns by
+    that header; the scans are united by column name, and a column that some files lack is null in
+    their rows. ``rename`` (such as ``columns.map_columns``) sees each header alone, before the
+    union, so that files of one folder may also name their columns differently. A quote in a quoted
+    field is doubled. A file with line breaks in quotes is read by one task, so such files should
+    be of at most a few GB each."""
     files = sniff_files(spark, paths)
     out = []
     for i in range(len(paths)):
         mine = [f for f in files if f[0] == i]
         numbers = {f[1]: n for n, f in enumerate(mine)}
+        groups: dict[tuple, list[str]] = {}
+        for f in mine:
+            groups.setdefault(f[2:], []).append(f[1])
         part = None
-        for enc, sep, multi in sorted({f[2:] for f in mine}):
-            names = [f[1] for f in mine if f[2:] == (enc, sep, multi)]
+        for (enc, sep, multi, _), names in sorted(groups.items()):
             df = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
                   .option("encoding", JAVA_CHARSETS.get(enc, enc)).option("multiLine", multi)
                   .option("inferSchema", False).csv(names))
@@ -95,6 +105,7 @@ def read_sniffed(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
             if POSITION not in df.columns:
                 cols.append(position(numbers).alias(POSITION))
             df = df.select(*cols, F.col("_metadata.file_path").alias("_file"))
+            df = rename(df) if rename else df
             part = df if part is None else part.unionByName(df, allowMissingColumns=True)
         if part is not None:
             out.append(part)
@@ -113,16 +124,7 @@ def read_fixed(spark: SparkSession, paths: list[str] | str, columns: list[str],
               .schema(schema))
     reader = reader.option("escape", escape or '"').option("quote", '"')
     df = reader.csv(paths)
-    # fields are counted outside quotes: a quoted part may hold separators
-    quoted = '"([^"]|"")*"' if escape in (None, '"') else r'"(\\.|[^"\\])*"'
-    bare = F.regexp_replace(F.col(CORRUPT), quoted, "")
-    n_fields = F.size(F.split(bare, _regex_escape(sep)))
-    # The flag also reads the parsed columns: a scan that requires only the
-    # corrupt-record column is refused by Spark, and pruning would leave just that.
-    parsed = F.length(F.concat_ws("\u0001", *[F.col(c) for c in columns])) >= 0
-    too_many = F.col(CORRUPT).isNotNull() & (n_fields > len(columns)) & parsed
-    # Spark needs the corrupt column materialised before filtering on it alone.
-    df = df.withColumn("_too_many", F.coalesce(too_many, F.lit(False)))
+    df = df.withColumn("_too_many", _too_many(columns, sep, escape))
     good = df.where(~F.col("_too_many")).drop(CORRUPT, "_too_many")
     # parsed columns are kept next to the raw line (Spark refuses plans that read
     # the corrupt-record column alone)
@@ -130,6 +132,48 @@ def read_fixed(spark: SparkSession, paths: list[str] | str, columns: list[str],
     return good, rejected
 
 
+def _n_fields(sep: str, escape: str | None) -> Column:
+    """Fields of the raw line of a corrupt record."""
+    # fields are counted outside quotes: a quoted part may hold separators
+    quoted = '"([^"]|"")*"' if escape in (None, '"') else r'"(\\.|[^"\\])*"'
+    return F.size(F.split(F.regexp_replace(F.col(CORRUPT), quoted, ""), _regex_escape(sep)))
+
+
+def _too_many(columns: list[str], sep: str, escape: str | None) -> Column:
+    # The flag also reads the parsed columns: a scan that requires only the
+    # corrupt-record column is refused by Spark, and pruning would leave just that.
+    parsed = F.length(F.concat_ws("\u0001", *[F.col(c) for c in columns])) >= 0
+    many = F.col(CORRUPT).isNotNull() & (_n_fields(sep, escape) > len(columns)) & parsed
+    return F.coalesce(many, F.lit(False))
+
+
+def ingest_fixed(spark: SparkSession, paths: list[str] | str, columns: list[str], target: str,
+                 sep: str = ";", encoding: str = "ISO-8859-1", escape: str | None = None,
+                 header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S2/S3 with a quarantine: one read of the files writes good rows and rejected ones side by side.
+
+    Below ``target`` the folder ``rejected=false`` holds the rows (short ones padded with nulls),
+    ``rejected=true`` the raw lines with too many fields, their file, the place of the line in
+    it (a number that grows with the line) and the reason. Returns both, read back."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
+                          + [T.StructField(CORRUPT, T.StringType())])
+    df = (spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
+          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+          .option("escape", escape or '"').option("quote", '"').schema(schema).csv(paths))
+    bad, fields = _too_many(columns, sep, escape), _n_fields(sep, escape)
+    block = F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.lit("1" + "0" * 10).cast("decimal(11,0)")
+    place = (block + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(10,0)"))
+    rows = df.select(
+        *columns, F.col("_metadata.file_path").alias("_file"), place.cast("decimal(33,0)").alias("_place"),
+        F.when(bad, F.col(CORRUPT)).alias("raw_line"),
+        F.when(bad, F.concat(fields, F.lit(f" fields, {len(columns)} expected"))).alias("reason"),
+        bad.alias("rejected"))
+    rows.write.mode("overwrite").partitionBy("rejected").parquet(target)
+    back = spark.read.schema(rows.schema).parquet(target)
+    good = back.where("not rejected").select(*columns, "_file", "_place")
+    return good, back.where("rejected").select("_file", "_place", "raw_line", "reason")
+
+
 def _regex_escape(sep: str) -> str:
     return "\\" + sep if sep in ".^$|?*+()[]{}\\" else sep
 

@@ -3,7 +3,8 @@
 R1 -- incremental ingest of a landing folder with keep-first de-duplication by key.
 R2 -- running weekly counts: event-time tumbling windows of 7 days starting on
       Monday (``window(ts, '7 days', '7 days', '4 days')``: the epoch is a
-      Thursday), without a watermark: no row is too late.
+      Thursday), without a watermark: no row is too late. Running monthly counts by a
+      state keyed by calendar month.
 
 Both sinks are ``foreachBatch`` writes into the shared checkpoint folder: each
 micro-batch is written under its own ``batch_id`` partition (overwrite of that
@@ -75,6 +76,58 @@ def stream_dedupe(spark: SparkSession, sources: list[DataFrame], key: str = S.KE
     return spark.read.schema(schema).parquet(out).drop("batch_id")
 
 
+def _running_counts(spark: SparkSession, agg: DataFrame, keys: list[str], name: str, run_id: str | None) -> DataFrame:
+    """Write each batch's changed counts under its own id; the latest count of each key."""
+    _use_rocksdb(spark)
+    base = shared_dir(spark, f"{name}_{run_id or uuid.uuid4().hex}")
+    out = f"{base}/out"
+    schema = T.StructType([*agg.schema, T.StructField("batch_id", T.LongType())])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
+
+    _run(agg, write, f"{base}/ckpt", "update")
+    _folder(spark, out)
+    return spark.read.schema(schema).parquet(out).groupBy(*keys).agg(F.max_by("n", "batch_id").alias("n"))
+
+
+def stream_monthly_counts(spark: SparkSession, events: DataFrame, ts: str, group: str,
+                          run_id: str | None = None) -> DataFrame:
+    """R2, monthly: counts per calendar month and ``group`` from an event stream. Months differ in
+    length, so they are no ``window``: the state is keyed by the month's first day.
+
+    There is no watermark: files arrive in any order and every row counts, however late. Rows
+    without a time are left out. The state is one number per month and group."""
+    month = F.to_date(F.date_trunc("month", F.col(ts).cast("timestamp"))).alias("month")
+    agg = events.where(F.col(ts).isNotNull()).groupBy(month, F.col(group)).agg(F.count(F.lit(1)).alias("n"))
+    return _running_counts(spark, agg, ["month", group], "stream_monthly", run_id)
+
+
+def stream_dedupe_watermark(spark: SparkSession, events: DataFrame, key: str, ts: str, delay: str = "1 day",
+                            run_id: str | None = None) -> DataFrame:
+    """R1 with bounded state: the first row of each key; a repetition within ``delay`` of it is
+    dropped, a later one is a new record.
+
+    ``dropDuplicatesWithinWatermark`` keeps a key in the (RocksDB) state until the watermark, the
+    largest time seen less ``delay``, has passed the key's time by ``delay``, so the state holds the
+    keys of about that span. Rows older than the watermark are dropped by Spark."""
+    _use_rocksdb(spark)
+    base = shared_dir(spark, f"stream_dedupe_watermark_{run_id or uuid.uuid4().hex}")
+    out = f"{base}/out"
+    schema = T.StructType([*events.schema, T.StructField("batch_id", T.LongType())])
+    first = (events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", delay)
+                   .dropDuplicatesWithinWatermark([key]).drop("_t"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
+
+    _run(first, write, f"{base}/ckpt", "append")
+    _folder(spark, out)
+    return spark.read.schema(schema).parquet(out).drop("batch_id")
+
+
 def stream_weekly_counts(spark: SparkSession, events: DataFrame, ts: str, group: str,
                          run_id: str | None = None) -> DataFrame:
     """R2: weekly counts per ``group`` from an event stream; update mode, so each window's
@@ -82,20 +135,8 @@ def stream_weekly_counts(spark: SparkSession, events: DataFrame, ts: str, group:
 
     There is no watermark: files arrive in any order and every row counts, however late. The
     state is one number per week and group."""
-    _use_rocksdb(spark)
-    base = shared_dir(spark, f"stream_weekly_{run_id or uuid.uuid4().hex}")
-    out = f"{base}/out"
     agg = (events.withColumn("_t", F.col(ts).cast("timestamp"))
                  .groupBy(F.window("_t", "7 days", "7 days", "4 days").alias("w"), F.col(group))
                  .agg(F.count(F.lit(1)).alias("n"))
                  .select(F.to_date(F.col("w.start")).alias("week_start"), group, "n"))
-    schema = T.StructType([*agg.schema, T.StructField("batch_id", T.LongType())])
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
-              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
-
-    _run(agg, write, f"{base}/ckpt", "update")
-    _folder(spark, out)
-    latest = F.max_by("n", "batch_id").alias("n")
-    return spark.read.schema(schema).parquet(out).groupBy("week_start", group).agg(latest)
+    return _running_counts(spark, agg, ["week_start", group], "stream_weekly", run_id)
