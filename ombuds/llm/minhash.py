@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from ..session import discard, written
 from .graph import components
+from .marks import flagged, marks
 from .words import Words, grams, inside, mix, slices, span_hashes, stream, utf8
 
 SHINGLE = 5
@@ -38,6 +39,8 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 LEAST_AGREEMENT = 0.66
+#: Bits of the sets that tell which rows to shuffle at all (16 MB).
+MARK_BITS = 1 << 27
 #: Nodes of a cluster that meet in one task as a block, about.
 BLOCK = 256
 
@@ -262,6 +265,11 @@ def settle(candidates: DataFrame, threshold: float) -> DataFrame:
     return first.where("nb = 1").select("node", "root").unionAll(done.select("node", F.col("top").alias("root")))
 
 
+def marked(rows: DataFrame, key) -> DataFrame:
+    """The written set of a key: what is not in it need not be shuffled to meet ``rows``."""
+    return written(rows.sparkSession, marks(rows, key, MARK_BITS).coalesce(4), "marks")
+
+
 def find(docs: DataFrame, id_col: str, text_col: str, threshold: float, whole: bool):
     """(written rows by uid, (uid, doc_id, root) of each): rows of one ``root`` are one class.
 
@@ -269,19 +277,30 @@ def find(docs: DataFrame, id_col: str, text_col: str, threshold: float, whole: b
     """
     spark = docs.sparkSession
     rows = written(spark, profiles(docs, id_col, text_col, whole).withColumn("uid", F.monotonically_increasing_id()), "profiles")
-    named = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("node"))
-    member = written(spark, rows.where("n > 0").select("uid", "k1", "k2").join(named, ["k1", "k2"]).select("uid", "node"),
-                     "members")
-    nodes = member.where("uid = node").select("node")
-    band = (rows.select(F.col("uid").alias("node"), "bands").join(nodes, "node", "left_semi")
-            .select("node", F.explode("bands").alias("key")))
+    real = rows.where("n > 0")
+    words = F.xxhash64("k1", "k2")
+    # rows whose words occur once are nodes as they are; only the others meet by their words
+    copied = real.groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.count("*").alias("c")).where("c > 1")
+    copied = written(spark, copied.select("k1", "k2", "node"), "copied")
+    some = flagged(real.select("uid", "k1", "k2", "bands"), words, marked(copied, words), MARK_BITS, "again")
+    twice = some.where("again").select("uid", "k1", "k2").join(copied, ["k1", "k2"], "left")
+    member = written(spark, some.where("not again").select("uid", F.col("uid").alias("node")).unionAll(
+        twice.select("uid", F.coalesce("node", "uid"))), "members")
+    first = some.where("again").select("uid", "bands").join(
+        member.where("uid = node").select("uid"), "uid", "left_semi")
+    band = some.where("not again").select("uid", "bands").unionAll(first).select(
+        F.col("uid").alias("node"), F.explode("bands").alias("key"))
     low = band.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    star = band.join(low.select("key", "low"), "key").where("node <> low")
+    low = written(spark, low.select("key", "low"), "buckets")
+    shared = flagged(band, F.col("key"), marked(low, F.col("key")), MARK_BITS, "again").where("again")
+    star = shared.join(low, "key").where("node <> low")
     cluster = written(spark, components(star.select(F.col("low").alias("a"), F.col("node").alias("b"))), "clusters")
     size = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
     of = cluster.join(size, "root").select("node", F.col("root").alias("cluster"), "nb",
                                            F.pmod(F.xxhash64("node"), F.col("nb")).alias("block"))
-    candidates = written(spark, rows.select(F.col("uid").alias("node"), "text", "sig").join(of, "node"), "candidates")
+    texts = flagged(rows.select(F.col("uid").alias("node"), "text", "sig"), F.xxhash64("node"),
+                    marked(of, F.xxhash64("node")), MARK_BITS, "in").where("`in`")
+    candidates = written(spark, texts.join(of, "node").drop("in"), "candidates")
     root = written(spark, settle(candidates, threshold), "roots")
     discard(candidates, cluster)
     found = member.join(root, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
