@@ -32,11 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import discard, written
+from .marks import among, collected, flagged, marks
 from .words import Words, grams, inside, slices, span_hashes
 
 WINDOW, GRAM = 20, 5
 #: Occurrences from which the runs of a seed are dealt to shards by window.
 FREQUENT = 4096
+#: Bits of the sets of seeds and of texts to be looked at (16 MB).
+SEED_BITS = 1 << 27
 #: Words of a shard, about.
 SHARD_WORDS = 1_000_000
 
@@ -190,30 +193,29 @@ def scan(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
     return few.mapInArrow(run, T.StructType([*few.schema, T.StructField("seeds", T.ArrayType(T.LongType()))]))
 
 
-def hit_runs(hits: DataFrame) -> DataFrame:
-    """(uid, doc_id, key, content, start, count) of runs whose seed is repeated.
+def hit_runs(rows: DataFrame, repeated_seeds, frequent_seeds) -> DataFrame:
+    """(uid, doc_id, key, content, start, count) of runs whose seed is in the first set.
 
     ``content`` and ``key`` are hashes: of the run's words, and the shard's key (the seed, or
-    for a frequent seed the words of the single window that the run is cut into).
+    for a seed in the second set the words of the single window that the run is cut into). The
+    sets are broadcast ``marks``: a run that only seems repeated is one more run, nothing else.
     """
 
     def run(batches):
+        often, most = repeated_seeds.value, frequent_seeds.value
         for b in batches:
             for i, j, raw, off in slices(b.column(2)):
                 w = Words(raw, off)
                 h = w.hashes()
                 part = b.slice(i, j - i)
-                at = part.column(3)
-                row = np.repeat(np.arange(j - i), at.value_lengths().to_numpy())
-                place, times = at.flatten().field("i").to_numpy(), at.flatten().field("c").to_numpy()
                 doc, seed, start, count = runs(w, h)
-                pick = np.searchsorted(doc, np.arange(j - i))[row] + place
-                seed, start, count = seed[pick], start[pick], count[pick]
-                often = times >= FREQUENT
-                rep = np.where(often, count, 1)
+                pick = np.flatnonzero(among(often, seed))
+                row, seed, start, count = doc[pick], seed[pick], start[pick], count[pick]
+                cut = among(most, seed)
+                rep = np.where(cut, count, 1)
                 row, seed = np.repeat(row, rep), np.repeat(seed, rep)
                 start = np.repeat(start, rep) + np.arange(len(row)) - np.repeat(np.cumsum(rep) - rep, rep)
-                one = np.repeat(often, rep)
+                one = np.repeat(cut, rep)
                 count = np.where(one, 1, np.repeat(count, rep))
                 begin = w.first[row] + start
                 content = span_hashes(h, begin, begin + count + WINDOW - 1)
@@ -223,8 +225,8 @@ def hit_runs(hits: DataFrame) -> DataFrame:
                      pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
                     names=["uid", "doc_id", "key", "content", "start", "count"])
 
-    kind = hits.schema["doc_id"].dataType.simpleString()
-    return hits.select("uid", "doc_id", "text", "at").mapInArrow(
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("uid", "doc_id", "text").mapInArrow(
         run, f"uid long, doc_id {kind}, key long, content long, start int, count int")
 
 
@@ -286,11 +288,12 @@ def find(docs: DataFrame, id_col: str, text_col: str, whole: bool):
     """(written rows by uid, (uid, spans array<struct<start, count>>) of rows with repeated windows)."""
     spark = docs.sparkSession
     rows = written(spark, scan(docs, id_col, text_col, whole).withColumn("uid", F.monotonically_increasing_id()), "scanned")
-    seed = rows.select("uid", F.posexplode("seeds").alias("i", "seed"))
-    often = seed.groupBy("seed").agg(F.count("*").cast("int").alias("c")).where("c > 1")
-    at = seed.join(often, "seed").groupBy("uid").agg(F.collect_list(F.struct("i", "c")).alias("at"))
-    hits = written(spark, rows.select("uid", "doc_id", "text").join(at, "uid"), "hits")
-    run = written(spark, hit_runs(hits), "runs")
+    seed = rows.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("c")).where("c > 1")
+    seed = written(spark, seed, "seeds")
+    sets = [spark.sparkContext.broadcast(collected(marks(x, F.col("seed"), SEED_BITS), SEED_BITS))
+            for x in (seed, seed.where(F.col("c") >= FREQUENT))]
+    run = written(spark, hit_runs(rows, *sets), "runs")
+    discard(seed)
     place = F.struct("doc_id", "uid", "start")
     first = run.groupBy("key", "content").agg(F.min(place).alias("f"), F.max("count").alias("count"), F.count("*").alias("c"))
     first = written(spark, first, "firsts")
@@ -299,13 +302,19 @@ def find(docs: DataFrame, id_col: str, text_col: str, whole: bool):
     several = first.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     open_ = first.join(several, "key").select("key", F.col("f.uid").alias("uid"), F.col("f.start").alias("start"), "count")
     open_ = open_.groupBy("uid").agg(F.collect_list(F.struct("key", "start", "count")).alias("at"))
-    segments = written(spark, with_words(hits.select("uid", "doc_id", "text").join(open_, "uid")), "segments")
+    open_ = written(spark, open_, "open")
+    uid = F.xxhash64("uid")
+    asked = written(spark, marks(open_, uid, SEED_BITS).coalesce(4), "asked")
+    texts = flagged(rows.select("uid", "doc_id", "text"), uid, asked, SEED_BITS, "asked").where("asked").drop("asked")
+    segments = written(spark, with_words(texts.join(open_, "uid")), "segments")
     size = segments.agg(F.sum(F.size("words"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_WORDS), spark.sparkContext.defaultParallelism if size > 100_000 else 1)
     found = search_shards(segments.repartition(int(shards), "key"))
     spans = later.unionAll(found).groupBy("uid").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     spans = written(spark, spans, "spans")
-    discard(hits, run, first, segments)
+    discard(run, first, open_, segments)
+    for x in sets:
+        x.unpersist()
     return rows, spans
 
 
