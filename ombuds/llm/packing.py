@@ -41,9 +41,14 @@ SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id lo
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def added_tokens(path: str) -> re.Pattern:
+    """Finds the tokenizer's added tokens, which it takes out of a text before anything else."""
+    names = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
+    return re.compile("|".join(map(re.escape, names)) if names else "(?!)")
 
 
 #: Words that are split here: printable ASCII and the Latin-1 letters, which are composed already
@@ -52,6 +57,8 @@ _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: The tokenizer's split pattern over these characters, after lowering.
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]"
                     "|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Marks that are a part of their own after letters.
+_MARKS = frozenset(b".,;:!?")
 #: The byte-level alphabet: each UTF-8 byte as a printable character.
 _BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: chr(b) for b in _BYTES} | {
@@ -68,28 +75,35 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         self.path = path
-
-    def learn(self, words) -> None:
-        new = set(words).difference(self)
+        self.merges = tokenizer(path).model.tokenize
+
+    def part(self, text: str) -> bytes:
+        """Ids of one part of a plain word."""
+        got = self.get(text)
+        if got is None:
+            letters = text if text.isascii() else text.encode().decode("latin-1").translate(_ALPHABET)
+            found = [t.id for t in self.merges(letters)]
+            got = self[text] = struct.pack(f"<{len(found)}I", *found)
+        return got
+
+    def learn(self, new) -> None:
+        """Remember distinct words that are not remembered yet."""
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-            new = set(words)
         other = []
-        merges = tokenizer(self.path).model.tokenize
+        added = added_tokens(self.path)
         for w in new:
+            if w.isalpha():  # ASCII letters alone, as most words: one part
+                self[w] = self.part(w.decode().lower())
+                continue
+            if w[-1] in _MARKS and w[:-1].isalpha():  # and a mark after them
+                self[w] = self.part(w[:-1].decode().lower()) + self.part(chr(w[-1]))
+                continue
             text = w.decode()
-            if not _PLAIN.fullmatch(text):
+            if not _PLAIN.fullmatch(text) or added.search(text):
                 other.append(w)
                 continue
-            ids = []
-            for part in _PARTS.findall(text.lower()):
-                got = self.get(part)
-                if got is None:
-                    letters = part if part.isascii() else part.encode().decode("latin-1").translate(_ALPHABET)
-                    found = [t.id for t in merges(letters)]
-                    got = self[part] = struct.pack(f"<{len(found)}I", *found)
-                ids.append(got)
-            self[w] = b"".join(ids)
+            self[w] = b"".join([self.part(part) for part in _PARTS.findall(text.lower())])
         for i in range(0, len(other), 20_000):
             part = other[i:i + 20_000]
             got = tokenizer(self.path).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
@@ -107,9 +121,10 @@ def encode_docs(texts: list[bytes], path: str, group: int = 256):
     memory = word_ids(path)
     for i in range(0, len(texts), group):
         split = [t.split() for t in texts[i:i + group]]
-        memory.learn([w for ws in split for w in ws])
-        for ws in split:
-            yield b"".join([memory[w] for w in ws])
+        known = [list(map(memory.get, ws)) for ws in split]
+        memory.learn({w for ws, ids in zip(split, known) if None in ids for w, x in zip(ws, ids) if x is None})
+        for ws, ids in zip(split, known):
+            yield b"".join([memory[w] if x is None else x for w, x in zip(ws, ids)] if None in ids else ids)
 
 
 class SumOfSquares:

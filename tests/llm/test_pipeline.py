@@ -60,7 +60,6 @@ def test_passages_removed(stages):
 
 def test_packed(stages):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = {}
     for r in stages["packing"].orderBy("start").collect():
         assert zlib.crc32(bytes(r.ids)) == r.ids_crc32

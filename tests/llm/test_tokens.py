@@ -50,7 +50,6 @@ def test_bpe_runs_of_white_space_beyond_the_library():
 def test_packing_places_every_id_once_without_padding(spark, docs):
     rows = packing.pack(docs.repartition(3), WORD).collect()
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -97,7 +96,6 @@ def test_level_is_the_least_sum_of_squares():
 def test_word_ids_equal_the_tokenizer():
     rng = np.random.default_rng(9)
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     chars = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x250), 0x301, 0x3A3, 0x4E2D, 0x1F600, 0x1C, 0xFB01]]
     words = ["".join(rng.choice(chars, int(rng.integers(1, 9)))) for _ in range(6000)]
     words += ["don't", "we'LL", "İstanbul", "ﬁne", "STRASSE", "x'sy", "'s", "a1b22", "<|endoftext|>", "é", "é"]
