@@ -39,8 +39,8 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 LEAST_AGREEMENT = 0.66
-#: Bits of the sets that tell which rows to shuffle at all (16 MB).
-MARK_BITS = 1 << 27
+#: Bits of the sets that tell which rows to shuffle at all (4 MB).
+MARK_BITS = 1 << 25
 #: Nodes of a cluster that meet in one task as a block, about.
 BLOCK = 256
 

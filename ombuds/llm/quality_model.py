@@ -15,7 +15,6 @@ judged each. Other columns than those named are not read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -210,9 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(text: Column, model: Model) -> Column:
     """Column of the score of each whole text."""
 
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(model.score(column_stats(pa.array(s, pa.large_string()))))
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(column_stats(texts)))
 
     return run(text.cast("string"))
 

@@ -24,7 +24,6 @@ from __future__ import annotations
 import pickle
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -317,8 +316,8 @@ class Windows:
         return np.where(self.real, np.where(known, at + 1, 0), -1).astype(np.int32)
 
     def logits(self, net: "Network", ids: np.ndarray) -> np.ndarray:
-        parts = [net.forward(*net.inputs(ids[i:i + 4096], self.head[i:i + 4096], self.tail[i:i + 4096]))
-                 for i in range(0, len(ids), 4096)]
+        parts = [net.forward(*net.inputs(ids[i:i + 1024], self.head[i:i + 1024], self.tail[i:i + 1024]))
+                 for i in range(0, len(ids), 1024)]
         return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
     def best(self, net: "Network") -> np.ndarray:
@@ -329,9 +328,11 @@ class Windows:
 
 def vocabulary(w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted word hashes, their clipped log odds, which are hot: surely more often in toxic texts)."""
-    pair = np.unique(np.stack([w.words[w.real], np.broadcast_to(w.doc[:, None], w.words.shape)[w.real].astype(np.uint64)], 1), axis=0)
-    h, at = np.unique(pair[:, 0], return_inverse=True)
-    y = w.toxic[pair[:, 1].astype(np.int64)]
+    cut = np.searchsorted(w.doc, np.arange(len(w.toxic) + 1))
+    own = [np.unique(w.words[i:j][w.real[i:j]]) for i, j in zip(cut, cut[1:])]  # text by text, as memory goes
+    size = [len(x) for x in own]
+    h, at = np.unique(np.concatenate(own), return_inverse=True)
+    y = np.repeat(w.toxic, size)
     c = np.stack([np.bincount(at[y == k], minlength=len(h)) for k in (0, 1)], 1).astype(float)
     n1, n0 = int(w.toxic.sum()), int((1 - w.toxic).sum())
     odds = np.log((c[:, 1] + 0.5) / (n1 + 1)) - np.log((c[:, 0] + 0.5) / (n0 + 1))
@@ -385,14 +386,16 @@ def fit_part(key, rows):
     fold = key[0].as_py()
     rows = rows.sort_by([("label", "ascending"), ("key", "ascending")])
     w = Windows(rows.column("words").to_pylist(), rows.column("ends").to_pylist(), rows.column("label").to_numpy())
+    del rows
     ones = int(w.toxic.sum())
     nth = np.arange(len(w.toxic)) - np.where(w.toxic == 1, len(w.toxic) - ones, 0)
     out = nth % FOLDS == fold if min(ones, len(w.toxic) - ones) >= FOLDS else np.zeros(len(nth), bool)
     if fold < FOLDS and not out.any():
         return pa.table({"fold": pa.array([], pa.int32()), "net": pa.array([], pa.binary()),
                          "logit": pa.array([], pa.list_(pa.float64())), "label": pa.array([], pa.list_(pa.int32()))})
-    net = fit(w.of(np.flatnonzero(~out)))
-    told = w.of(np.flatnonzero(out)) if out.any() else w
+    told, seen = (w.of(np.flatnonzero(out)), w.of(np.flatnonzero(~out))) if out.any() else (w, w)
+    del w
+    net = fit(seen)
     return pa.table({"fold": pa.array([fold], pa.int32()), "net": pa.array([pickle.dumps(net)], pa.binary()),
                      "logit": pa.array([told.best(net).astype(float).tolist()], pa.list_(pa.float64())),
                      "label": pa.array([told.toxic.tolist()], pa.list_(pa.int32()))})
@@ -441,8 +444,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(text: Column, net: Network) -> Column:
     """Column of the score of each whole text."""
 
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(net.scores(pa.array(s, pa.large_string())))
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(net.scores(texts))
 
     return run(text.cast("string"))
