@@ -20,9 +20,10 @@ queries, in blocks without bounds. There floats only choose what can be among th
 the rounding allowed for; the scores of those are sums of whole numbers without a limit.
 
 Defined results: vectors that are null, or hold null or non-finite components, or have
-another length than the most frequent one, take no part, nor do rows without an id; repeated
-ids are candidates each; of equal scores the smaller id comes first; an empty table gives no
-rows. Ranks follow the exact scores; a score beyond a long is shown as the nearest long. Other
+another length than the most frequent one, take no part, nor do rows without an id. Rows are
+told apart by a number of their own: of rows that repeat an id each is a candidate, also of the
+others, and each that is a query has ranks of its own. Of equal scores the smaller id comes
+first; an empty table gives no rows. Ranks follow the exact scores; a score beyond a long is shown as the nearest long. Other
 columns are not read.
 """
 
@@ -76,19 +77,20 @@ def as_long(score: int) -> int:
     return max(-(1 << 63), min((1 << 63) - 1, score))
 
 
-EXACT = "query_id long, vec_id long, score long, key binary"
+EXACT = "query_row long, query_id long, vec_id long, score long, key binary"
 
 
-def exact_rows(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    """A batch of ``EXACT`` from (query id, vector id, score)."""
+def exact_rows(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    """A batch of ``EXACT`` from (query row, query id, vector id, score)."""
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-         pa.array([as_long(r[2]) for r in rows], pa.int64()), pa.array([sort_key(r[2]) for r in rows], pa.binary())],
-        names=["query_id", "vec_id", "score", "key"])
+        [*(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)),
+         pa.array([as_long(r[3]) for r in rows], pa.int64()), pa.array([sort_key(r[3]) for r in rows], pa.binary())],
+        names=["query_row", "query_id", "vec_id", "score", "key"])
 
 
-def exact_best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score) of the k best of each query of one block, in whole numbers."""
+def exact_best(qrows: np.ndarray, qids: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, m: np.ndarray,
+               k: int) -> list[tuple[int, int, int, int]]:
+    """(query row, query id, vector id, score) of the k best of each query of one block, in whole numbers."""
     def floats(x):  # the whole numbers over 2**32
         return np.where(np.abs(x) < 2.0 ** 45, np.floor(np.where(np.abs(x) < 2.0 ** 45, x, 0) * SCALE) / 2.0 ** 32, x / 2.0 ** 24)
 
@@ -97,7 +99,7 @@ def exact_best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray,
     near = fq @ fm.T
     width = q.shape[1]
     error = 1e-15 * width * (width + 4) * np.abs(fm).max(1)
-    own = qids[:, None] == ids[None, :]
+    own = qrows[:, None] == rows[None, :]
     low, high = np.where(own, -np.inf, near - error), near + error
     floor = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(qids), -np.inf)
     can = ~own & (high >= floor[:, None])
@@ -110,39 +112,44 @@ def exact_best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray,
             if j not in whole_m:
                 whole_m[j] = integers(m[j])
             got.append((-sum(x * y for x, y in zip(a, whole_m[j])), int(ids[j])))
-        out += [(int(qids[i]), j, -n) for n, j in sorted(got)[:k]]
+        out += [(int(qrows[i]), int(qids[i]), j, -n) for n, j in sorted(got)[:k]]
     return out
 
 
 def search_large(small: DataFrame, large: DataFrame, is_query, width: int, k: int) -> DataFrame:
-    """``EXACT`` rows of the pairs of (id, x) vectors with a large one among them, some of which are not the k best."""
+    """``EXACT`` rows of the pairs of (row, id, x) vectors with a large one among them, some of which are not the k best."""
     spark = large.sparkSession
 
     def pack(key, t):
         x = np.stack(t.column("x").to_numpy()).astype("<f8")
-        return pa.table({"ids": [t.column("id").to_numpy().astype("<i8").tobytes()], "m": [x.tobytes()]})
+        return pa.table({"rows": [whole_bytes(t, "row")], "ids": [whole_bytes(t, "id")], "m": [x.tobytes()]})
 
     def packed(rows, size):
         rows = written(spark, rows, "large")
         parts = max(1, -(-rows.count() // size))
-        of = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
-        out = rows.select("id", "x", of.alias("part")).groupBy("part").applyInArrow(pack, "ids binary, m binary")
+        of = F.pmod(F.xxhash64("row"), F.lit(parts))
+        out = rows.select("row", "id", "x", of.alias("part")).groupBy("part").applyInArrow(
+            pack, "rows binary, ids binary, m binary")
         return written(spark, out, "large-blocks")
 
     def kernel(batches):
         for b in batches:
             for row in b.to_pylist():
-                qids, ids = np.frombuffer(row["qids"], "<i8"), np.frombuffer(row["ids"], "<i8")
+                qrows, qids, own, ids = (np.frombuffer(row[c], "<i8") for c in ("qrows", "qids", "rows", "ids"))
                 q, m = (np.frombuffer(row[c], "<f8").reshape(-1, width) for c in ("q", "m"))
-                rows = exact_best(qids, q, ids, m, k)
+                rows = exact_best(qrows, qids, q, own, ids, m, k)
                 if rows:
                     yield exact_rows(rows)
 
     of_small, of_large = packed(small, BLOCK), packed(large, BLOCK)
     asked = is_query(F.col("id"))
-    asking = [packed(rows.where(asked), CHUNK).withColumnsRenamed({"ids": "qids", "m": "q"}) for rows in (small, large)]
+    asking = [packed(rows.where(asked), CHUNK).withColumnsRenamed({"rows": "qrows", "ids": "qids", "m": "q"}) for rows in (small, large)]
     pairs = asking[1].crossJoin(of_small.unionByName(of_large)).unionByName(asking[0].crossJoin(of_large))
-    return pairs.select("qids", "q", "ids", "m").repartition(spark.sparkContext.defaultParallelism).mapInArrow(kernel, EXACT)
+    return pairs.select("qrows", "qids", "q", "rows", "ids", "m").repartition(spark.sparkContext.defaultParallelism).mapInArrow(kernel, EXACT)
+
+
+def whole_bytes(t: pa.Table, column: str) -> bytes:
+    return t.column(column).to_numpy().astype("<i8").tobytes()
 
 
 class Pivots:
@@ -183,14 +190,15 @@ def top_rows(score: np.ndarray, k: int) -> np.ndarray:
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``is_query(id column)`` holds."""
     spark = vectors.sparkSession
-    base = written(spark, whole(vectors, id_col, vec_col), "vectors")
+    numbered = whole(vectors, id_col, vec_col).withColumn("row", F.monotonically_increasing_id())
+    base = written(spark, numbered, "vectors")  # the numbers are fixed from here on
     size = F.size(F.coalesce(F.col("v").cast("array<double>"), "x"))
     shape = (base.groupBy(size.alias("w")).agg(F.count("*").alias("n"), F.count("v").alias("small"))
              .orderBy(F.desc("n"), "w").first())
     if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     base = base.where(size == shape.w)
-    small, large = base.where("v is not null").select("id", "v"), base.where("x is not null").select("id", "x")
+    small, large = (base.where(F.col(c).isNotNull()).select("row", "id", c) for c in ("v", "x"))
     if shape.small == shape.n:
         out, order = search_small(small, is_query, shape.w, k), F.desc("score")
     else:
@@ -199,16 +207,17 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
                 if b.num_rows:
                     yield exact_rows(list(zip(*(c.to_pylist() for c in b.columns))))
 
-        raw = small.select("id", F.transform("v", lambda x: x / F.lit(SCALE)).alias("x"))
+        raw = small.select("row", "id", F.transform("v", lambda x: x / F.lit(SCALE)).alias("x"))
         out, order = search_large(raw, large, is_query, shape.w, k), F.desc("key")
         if shape.small:
             out = out.unionByName(search_small(small, is_query, shape.w, k).mapInArrow(keyed, EXACT))
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id")))
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(order, "vec_id")))
     return out.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def search_small(base: DataFrame, is_query, width: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of the best pairs of (id, v array<long>) vectors, some of which are not the k best."""
+    """(query_row, query_id, vec_id, score) of the best pairs of (row, id, v array<long>) vectors, some of which are not
+    the k best."""
     spark = base.sparkSession
     norm2 = base.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x).alias("n")).agg(F.max("n"))
     norm2 = float(norm2.first()[0])
@@ -219,14 +228,15 @@ def search_small(base: DataFrame, is_query, width: int, k: int) -> DataFrame:
         p = pivots.value
         for b in batches:
             if b.num_rows:
-                v = matrix(b.column(1))
+                v = matrix(b.column(2))
                 d = p.distances(p.lift(v))
                 near = d.argmin(1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])],
-                    names=["id", "v", "pivot", "dist"])
+                    [*b.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])],
+                    names=["row", "id", "v", "pivot", "dist"])
 
-    placed = written(spark, base.mapInArrow(assign, "id long, v array<long>, pivot int, dist double"), "placed")
+    vector = "row long, id long, v array<long>, pivot int, dist double"
+    placed = written(spark, base.mapInArrow(assign, vector), "placed")
     # Ranks inside a cell without one task per cell: distances are cut at sampled quantiles,
     # and what falls between two cuts is dealt evenly when equal distances overfill it.
     counts = placed.groupBy("pivot").count().collect()
@@ -250,67 +260,68 @@ def search_small(base: DataFrame, is_query, width: int, k: int) -> DataFrame:
         cut = shared.value
         for b in batches:
             if b.num_rows:
-                pv, d = np.asarray(b.column(2)), np.asarray(b.column(3))
+                pv, d = np.asarray(b.column("pivot")), np.asarray(b.column("dist"))
                 ring = np.zeros(len(pv), np.int64)
                 for p in np.unique(pv):
                     ring[pv == p] = np.searchsorted(cut[p], d[pv == p], "right")
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ring)], names=[*b.schema.names, "ring"])
 
-    ringed = placed.mapInArrow(block_of, "id long, v array<long>, pivot int, dist double, ring long")
+    ringed = placed.mapInArrow(block_of, vector + ", ring long")
     sizes = ringed.groupBy("pivot", "ring").agg(F.count("*").alias("n"))
     ringed = ringed.join(sizes, ["pivot", "ring"]).withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)))
+        "part", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / block)))
 
     def pack(key, t):
-        t = t.sort_by("id")
+        t = t.sort_by([("id", "ascending"), ("row", "ascending")])
         v = matrix(t.column("v").combine_chunks())
         d = t.column("dist").to_numpy()
         return pa.table({"pivot": pa.array([key[0].as_py()], pa.int32()), "ring": [key[1].as_py()], "part": [key[2].as_py()],
                          "near": [float(d.min())], "far": [float(d.max())],
-                         "ids": [t.column("id").to_numpy().astype("<i8").tobytes()], "m": [v.astype("<i4").tobytes()]})
+                         "rows": [whole_bytes(t, "row")], "ids": [whole_bytes(t, "id")], "m": [v.astype("<i4").tobytes()]})
 
-    blocks = (ringed.select("pivot", "ring", "part", "id", "v", "dist").groupBy("pivot", "ring", "part")
-              .applyInArrow(pack, "pivot int, ring long, part long, near double, far double, ids binary, m binary"))
+    blocks = (ringed.select("pivot", "ring", "part", "row", "id", "v", "dist").groupBy("pivot", "ring", "part")
+              .applyInArrow(pack, "pivot int, ring long, part long, near double, far double, rows binary, ids binary, m binary"))
     blocks = written(spark, blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
     chosen = placed.where(is_query(F.col("id")))
     total = chosen.groupBy("pivot").count().withColumnRenamed("count", "n")
-    chunked = chosen.join(total, "pivot").withColumn("c", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / CHUNK)))
+    chunked = chosen.join(total, "pivot").withColumn("c", F.pmod(F.xxhash64("row", F.lit(1)), F.ceil(F.col("n") / CHUNK)))
 
     def pack_queries(key, t):
         v = matrix(t.column("v").combine_chunks())
         return pa.table({"home": pa.array([key[0].as_py()], pa.int32()),
-                         "qids": [t.column("id").to_numpy().astype("<i8").tobytes()], "q": [v.astype("<i4").tobytes()]})
+                         "qrows": [whole_bytes(t, "row")], "qids": [whole_bytes(t, "id")], "q": [v.astype("<i4").tobytes()]})
 
-    chunks = (chunked.select("pivot", "c", "id", "v").groupBy("pivot", "c")
-              .applyInArrow(pack_queries, "home int, qids binary, q binary"))
+    chunks = (chunked.select("pivot", "c", "row", "id", "v").groupBy("pivot", "c")
+              .applyInArrow(pack_queries, "home int, qrows binary, qids binary, q binary"))
     chunks = written(spark, chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
 
     def unpack(row):
         q = np.frombuffer(row["q"], "<i4").astype(float).reshape(-1, width)
-        return np.frombuffer(row["qids"], "<i8"), q
+        return np.frombuffer(row["qrows"], "<i8"), np.frombuffer(row["qids"], "<i8"), q
 
     def kernel(batches):
         """Best k of each query of a chunk in one annulus, if its bound reaches the query's floor."""
         p = pivots.value
         for b in batches:
             for row in b.to_pylist():
-                qids, q = unpack(row)
+                qrows, qids, q = unpack(row)
                 ids, m = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["m"], "<i4").astype(float).reshape(-1, width)
                 floor = np.frombuffer(row["floor"], "<f8") if row["floor"] is not None else None
                 if floor is not None:
                     can = bounds(p, q, row["pivot"], row["near"], row["far"]) >= floor
-                    qids, q = qids[can], q[can]
+                    qrows, qids, q = qrows[can], qids[can], q[can]
                 if not len(q):
                     continue
                 score = q @ m.T  # exact: norms, so all sums of products, are below 2**53
-                score[qids[:, None] == ids[None, :]] = -np.inf
+                score[qrows[:, None] == np.frombuffer(row["rows"], "<i8")[None, :]] = -np.inf
                 best = top_rows(score, min(k, len(ids)))
                 got = np.take_along_axis(score, best, 1)
                 ok = np.isfinite(got)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qids, best.shape[1])[ok.ravel()]), pa.array(ids[best].ravel()[ok.ravel()]),
-                     pa.array(got.ravel()[ok.ravel()].astype(np.int64))], names=["query_id", "vec_id", "score"])
+                    [*(pa.array(np.repeat(x, best.shape[1])[ok.ravel()]) for x in (qrows, qids)),
+                     pa.array(ids[best].ravel()[ok.ravel()]), pa.array(got.ravel()[ok.ravel()].astype(np.int64))],
+                    names=["query_row", "query_id", "vec_id", "score"])
 
     def bounds(p: Pivots, q: np.ndarray, pivot: int, near: float, far: float) -> np.ndarray:
         """Highest inner product that a vector of an annulus can have with each query."""
@@ -327,7 +338,7 @@ def search_small(base: DataFrame, is_query, width: int, k: int) -> DataFrame:
         p = pivots.value
         for b in batches:
             for row in b.to_pylist():
-                qids, q = unpack(row)
+                _, _, q = unpack(row)
                 best = np.stack([bounds(p, q, r.pivot, r.near, r.far) for r in rows], 1)
                 if first:  # the annuli that are nearest to some query of the chunk
                     want = np.unique(best.argmax(1))
@@ -338,23 +349,23 @@ def search_small(base: DataFrame, is_query, width: int, k: int) -> DataFrame:
                     [pa.array([row["chunk"]] * len(want), pa.int64()), pa.array([rows[i].block for i in want], pa.int64())],
                     names=["chunk", "block"])
 
-    result = "query_id long, vec_id long, score long"
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    result = "query_row long, query_id long, vec_id long, score long"
+    by_score = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     bound_rows = spark.sparkContext.broadcast(rings.collect())  # four numbers per annulus of BLOCK vectors
     no_floor = chunks.withColumn("floor", F.lit(None).cast("binary"))
     near = no_floor.mapInArrow(lambda it: plan(it, bound_rows.value, True), "chunk long, block long")
     first = written(spark, no_floor.join(near, "chunk").join(blocks, "block").mapInArrow(kernel, result), "first")
     kth = (first.withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k)
-           .select("query_id", F.col("score").cast("double").alias("floor")))
+           .select("query_row", F.col("score").cast("double").alias("floor")))
 
-    def ids_of(batches):
+    def rows_of(batches):
         for b in batches:
             for row in b.to_pylist():
-                qids = np.frombuffer(row["qids"], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(qids), pa.int64()), pa.array(qids),
-                                                  pa.array(np.arange(len(qids)))], names=["chunk", "query_id", "i"])
+                qrows = np.frombuffer(row["qrows"], "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(qrows), pa.int64()), pa.array(qrows),
+                                                  pa.array(np.arange(len(qrows)))], names=["chunk", "query_row", "i"])
 
-    members = chunks.mapInArrow(ids_of, "chunk long, query_id long, i long").join(kth, "query_id", "left")
+    members = chunks.mapInArrow(rows_of, "chunk long, query_row long, i long").join(kth, "query_row", "left")
 
     def pack_floor(key, t):
         t = t.sort_by("i")

@@ -253,6 +253,23 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert topk.search(df.limit(0), lambda i: i > 0).count() == 0
 
 
+def test_topk_tells_rows_of_one_id_apart(spark):
+    rng = np.random.default_rng(6)
+    ids = [0, 0, 0, 1, 2, 3, 3, None]
+    for scale in (0.2, 1e6):  # vectors with exact floats, and large ones
+        v = np.round(rng.normal(0, scale, (8, 4)), 2)
+        v[6] = v[5]
+        df = spark.createDataFrame(list(zip(ids, v.tolist())), "vec_id long, embedding array<double>").repartition(3)
+        u = [[int(np.floor(x * 256)) for x in w] for w in v.tolist()]
+        want = []
+        for q in range(7):
+            if ids[q] % 3 == 0:
+                s = sorted((-sum(x * y for x, y in zip(u[q], u[j])), ids[j]) for j in range(7) if j != q)[:5]
+                want += [(ids[q], n + 1, i, -m) for n, (m, i) in enumerate(s)]
+        got = topk.search(df, lambda i: i % 3 == 0).collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_topk_of_large_vectors(spark, monkeypatch):
     import math
     rng = np.random.default_rng(5)
@@ -278,6 +295,21 @@ def test_topk_of_large_vectors(spark, monkeypatch):
     assert [tuple(r)[:3] for r in sorted(alone)] == [(30, 1, 31), (31, 1, 30)]
 
 
+def test_letters_beyond_latin_are_told_apart(spark):
+    import pyarrow as pa
+    from ombuds.llm.words import utf8
+    sym, doc = langid.text_symbols(*utf8(pa.array(["\u9020", "a\U00020000 \U00020001b", "\u1020"])))
+    assert sym.tolist() == [32, 0x9020, 32, 97, 0xD840, 0xDC00, 32, 0xD840, 0xDC01, 98, 32, 0x1020]
+    assert doc.tolist() == [0] * 2 + [1] * 8 + [2] * 2
+    rows = [("zh", "\u9020\u4e20 \u9020\u8020\u9020"), ("my", "\u1020\u1001 \u1020\u1002\u1020"),
+            ("ex", "\U00020000\U00020001 \U00020000\U00020020")]
+    models = langid.train(spark.createDataFrame(rows * 3, "lang string, text string"))
+    asked = ["\u9020\u9020\u9020", "\u1020\u1020", "\U00020000", "\u9020", " \u3000 1"]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"),
+                                                models).collect()}
+    assert [got[i].lang_pred for i in range(5)] == ["zh", "my", "ex", "zh", "und"]
+
+
 def test_language_models_keep_all_grams(spark, monkeypatch):
     import pyarrow as pa
     from ombuds.llm.words import utf8
