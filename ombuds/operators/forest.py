@@ -4,26 +4,35 @@
 Train on rows whose label is not 'outros' (null labels excluded -- the reference
 trains on null as a class, a defect), predict the 'outros' rows, write back.
 Spark MLlib trains the forest distributed; depth is capped at 30 (MLlib's limit,
-the reference asks for 50).
+the reference asks for 50). Rows are scored where they lie: the trees, flattened to arrays and
+broadcast, are walked level by level for whole batches.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, IndexToString, Normalizer, StringIndexer
-from pyspark.ml.functions import vector_to_array
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, StringIndexer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import schema as S
 from ..functions import text as X
-from ..session import written
+from ..session import shared_dir, written
 from .features import ngrams, tokens
 from .sampling import stratified_sample_b
 
 FOREST_PARAMS = dict(numTrees=200, maxDepth=30, minInstancesPerNode=2, seed=42, maxMemoryInMB=1024)
 #: Training rows, drawn by W8: the trees live on the driver, so their size must not follow the data.
 MAX_TRAIN_ROWS = 5000
+#: Largest set of flattened trees that is broadcast; 5,000 training rows make at most 1,000,000 nodes in 200 trees.
+MAX_TREES_BYTES = 512 << 20
+#: Rows that are walked at once: a dense block of this many rows by the vocabulary.
+BLOCK = 256
 
 
 def split_for_training(df: DataFrame, label: str = S.SUBCATEGORY) -> tuple[DataFrame, DataFrame]:
@@ -37,19 +46,104 @@ def _grams(df: DataFrame, text) -> DataFrame:
     return df.withColumn("_grams", ngrams(tokens(text), 3))
 
 
+class FlatTrees:
+    """The nodes of all trees as arrays, and each leaf's shares of the classes.
+
+    ``feature`` is -1 at a leaf; ``child`` holds the left and right node. Leaves name only the
+    classes that they hold: those of leaf ``i`` lie at ``start[i]:start[i + 1]``.
+    """
+
+    def __init__(self, nodes: pa.Table, n_classes: int):
+        tree, own = (nodes.column(c).to_numpy() for c in ("tree", "id"))
+        first = np.flatnonzero(np.diff(tree, prepend=-1))
+        if (own != np.arange(len(own)) - np.repeat(first, np.diff(first, append=len(own)))).any():
+            raise ValueError("the nodes of a tree are not numbered from 0")
+        self.roots, self.n_classes = first, n_classes
+        base = np.repeat(first, np.diff(first, append=len(own)))
+        left = nodes.column("left").to_numpy()
+        leaf = left < 0
+        self.child = np.stack([base + left, base + nodes.column("right").to_numpy()], 1).astype(np.int32)
+        self.feature = np.where(leaf, -1, nodes.column("feature").to_numpy()).astype(np.int32)
+        self.threshold = nodes.column("threshold").to_numpy(zero_copy_only=False).astype(float)
+        stats = nodes.column("stats").combine_chunks().flatten().to_numpy().reshape(-1, n_classes)
+        held = (stats > 0) & leaf[:, None]
+        node, self.label = np.nonzero(held)
+        self.share = stats[node, self.label] / stats.sum(1)[node]
+        self.start = np.concatenate([[0], np.cumsum(held.sum(1))])
+
+    @classmethod
+    def of(cls, model: RandomForestClassificationModel, spark) -> FlatTrees:
+        """From the table that MLlib stores; nodes are bounded by the training rows times the trees."""
+        path = shared_dir(spark, f"forest-{uuid.uuid4().hex}")
+        model.write().overwrite().save(path)
+        n = F.col("nodeData")
+        nodes = spark.read.parquet(f"{path}/data").select(
+            F.col("treeID").alias("tree"), n.id.alias("id"), n.leftChild.alias("left"), n.rightChild.alias("right"),
+            n.split.featureIndex.alias("feature"), F.get(n.split.leftCategoriesOrThreshold, F.lit(0)).alias("threshold"),
+            n.impurityStats.alias("stats"))
+        return cls(nodes.orderBy("tree", "id").toArrow(), model.numClasses)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.child, self.feature, self.threshold, self.label, self.share, self.start))
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """[rows, classes]: the mean over the trees of the shares in each row's leaf."""
+        n, trees = len(x), len(self.roots)
+        at = np.tile(self.roots, n)
+        live = np.arange(n * trees)
+        while len(live):
+            node = at[live]
+            feature = self.feature[node]
+            inner = feature >= 0
+            live, node, feature = live[inner], node[inner], feature[inner]
+            right = x[live // trees, feature] > self.threshold[node]
+            at[live] = self.child[node, right.astype(np.int8)]
+        size = self.start[at + 1] - self.start[at]
+        row = np.repeat(np.arange(n * trees) // trees, size)
+        entry = np.arange(size.sum()) + np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        votes = np.bincount(row * self.n_classes + self.label[entry], self.share[entry], n * self.n_classes)
+        votes = votes.reshape(n, self.n_classes)
+        return votes / votes.sum(1, keepdims=True)
+
+
 class Forest:
     """Fitted vocabulary, weights (sklearn's idf, ``ln((1 + n) / (1 + df)) + 1``, L2 rows) and trees."""
 
-    def __init__(self, stages: list, labels: list[str]):
-        self.stages, self.labels = stages, labels
+    def __init__(self, stages: list, trees: RandomForestClassificationModel, labels: list[str]):
+        self.stages, self.trees, self.labels = stages, trees, labels
 
-    def predict(self, df: DataFrame, key: str = S.KEY) -> DataFrame:
-        """M7: ``(key, predicted, confidence)``; confidence is the largest class probability."""
+    def features(self, df: DataFrame, key: str = S.KEY) -> DataFrame:
+        """``(key, _x)``: the weighted sparse vector of each row's text."""
         t = _grams(df, X.forest_text(df.columns)).select(key, "_grams")
         for stage in self.stages:
             t = stage.transform(t)
-        t = IndexToString(inputCol="_pred", outputCol="predicted", labels=self.labels).transform(t)
-        return t.select(key, "predicted", F.array_max(vector_to_array("_prob")).alias("confidence"))
+        return t.select(key, "_x")
+
+    def predict(self, df: DataFrame, key: str = S.KEY) -> DataFrame:
+        """M7: ``(key, predicted, confidence)``; confidence is the largest class probability, of equal
+        ones the first label is predicted. Every row is scored, repeated and null keys too."""
+        spark = df.sparkSession
+        flat = FlatTrees.of(self.trees, spark)
+        if flat.nbytes() > MAX_TREES_BYTES:
+            raise ValueError(f"the trees take {flat.nbytes()} bytes, over {MAX_TREES_BYTES}; train on fewer rows")
+        shared, labels, width = spark.sparkContext.broadcast(flat), np.array(self.labels, object), self.trees.numFeatures
+
+        def score(batches):
+            for b in batches:
+                for i in range(0, b.num_rows, BLOCK):
+                    part = b.slice(i, BLOCK)
+                    x = np.zeros((part.num_rows, width))
+                    at = part.column("indices")
+                    x[np.asarray(pc.list_parent_indices(at)), np.asarray(pc.list_flatten(at))] = np.asarray(
+                        pc.list_flatten(part.column("values")))
+                    p = shared.value.probabilities(x)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(labels[p.argmax(1)], pa.string()), pa.array(p.max(1))],
+                        names=[key, "predicted", "confidence"])
+
+        vectors = self.features(df, key).withColumn("_u", F.unwrap_udt("_x"))
+        out = T.StructType([df.schema[key], T.StructField("predicted", T.StringType()), T.StructField("confidence", T.DoubleType())])
+        return vectors.select(key, F.col("_u.indices").alias("indices"), F.col("_u.values").alias("values")).mapInArrow(score, out)
 
 
 def fit_forest(df: DataFrame, key: str = S.KEY, label: str = S.SUBCATEGORY, max_features: int = 5000,
@@ -69,7 +163,7 @@ def fit_forest(df: DataFrame, key: str = S.KEY, label: str = S.SUBCATEGORY, max_
     rows = written(df.sparkSession, rows, "forest-features")
     trees = RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_pred", probabilityCol="_prob",
                                    rawPredictionCol="_raw", **{**FOREST_PARAMS, **forest}).fit(rows)
-    return Forest([counts, scale, norm, trees], index.labels)
+    return Forest([counts, scale, norm], trees, index.labels)
 
 
 def forest_predict(df: DataFrame, key: str = S.KEY, label: str = S.SUBCATEGORY, model: Forest | None = None,
