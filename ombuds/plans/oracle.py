@@ -182,6 +182,9 @@ WHERE n > mean_n + std_n""", WEEKLY_CTE),
         f"DT_REGISTRO_ATENDIMENTO >= TIMESTAMP '{KPI_FILTER_START}' "
         f"AND DT_REGISTRO_ATENDIMENTO <= TIMESTAMP '{KPI_FILTER_END}' "
         f"AND DS_FILIAL IN ({_branches_in()})"),
+    "kpi_row_partitioned": kpi_sql(
+        f"DT_REGISTRO_ATENDIMENTO >= TIMESTAMP '{KPI_FILTER_START}' "
+        f"AND DT_REGISTRO_ATENDIMENTO <= TIMESTAMP '{KPI_FILTER_END}'"),
     "unclassified_counters": with_complaints(f"""
 SELECT count_if({needs_cat('DS_ASSUNTO')}) AS categories_unclassified,
        count_if({needs_sub('SUB_ASSUNTO')}) AS subcategories_unclassified,

@@ -23,7 +23,7 @@ from ..session import shared_dir, written
 from ..sinks import report
 from ..sources.tables import table
 from ..sources import fixtures as fx
-from ..sources import ingest
+from ..sources import ingest, store
 from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +145,16 @@ def q_kpi_row_filtered(spark, sf):
     return kpi.kpi_row(df)
 
 
+@register("kpi_row_partitioned")
+def q_kpi_row_partitioned(spark, sf):
+    """F1 + A7 on complaints stored by month."""
+    t = fx.complaints(spark, sf)
+    path = shared_dir(spark, f"months-{uuid.uuid4().hex}")
+    store.write_months(t, path)
+    return kpi.kpi_row(store.read_months(spark, path, t.schema, dt.date.fromisoformat(oracle.KPI_FILTER_START),
+                                         dt.date.fromisoformat(oracle.KPI_FILTER_END)))
+
+
 @register("unclassified_counters")
 def q_unclassified_counters(spark, sf):
     return kpi.unclassified_counters(fx.complaints(spark, sf))

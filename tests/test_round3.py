@@ -179,3 +179,64 @@ def test_flat_trees_equal_mllib(spark):
     assert sorted((str(r[S.KEY]), r.predicted, round(r.confidence, 9)) for r in got) == want
     assert len({r.predicted for r in got}) > 1
     assert model.predict(rows.limit(0)).collect() == []
+
+
+# ---- stored tables ----------------------------------------------------------------------------
+def test_reference_versions(spark, tmp_path, monkeypatch):
+    from ombuds import schema as S
+    from ombuds.operators import features, reference
+    from ombuds.sources import fixtures as fx
+    t = fx.complaint_texts(spark, "/root/testdata/sf0.001").limit(150)
+    path, encoder = str(tmp_path / "ref"), features.Md5Encoder(32)
+    with pytest.raises(FileNotFoundError):
+        reference.load_reference_set(spark, path)
+    first = reference.build_reference_set(t, S.CATEGORY, path, encoder, max_rows=20, min_per_label=3)
+    n = first.table.count()
+
+    def lost(*a):
+        raise OSError("lost")
+    with monkeypatch.context() as m:  # a second build ends before it is published
+        m.setattr(reference, "publish", lost)
+        with pytest.raises(OSError):
+            reference.build_reference_set(t, S.CATEGORY, path, encoder, max_rows=60, min_per_label=3)
+    again = reference.load_reference_set(spark, path)
+    assert again.version == first.version and again.table.count() == n == again.meta.total_records
+    third = reference.build_reference_set(t, S.CATEGORY, path, encoder, max_rows=60, min_per_label=3)
+    assert reference.versions(spark, path) == [first.version, third.version]
+    assert reference.load_reference_set(spark, path).table.count() == third.table.count() > n
+    assert again.table.count() == n  # a loaded version stays
+    assert reference.load_reference_set(spark, path, first.version).meta.total_records == n
+    reference.prune(spark, path, keep=1)
+    assert reference.versions(spark, path) == [third.version]
+    with pytest.raises(FileNotFoundError):
+        reference.load_reference_set(spark, path, first.version)
+
+
+def test_months_replace_and_prune(spark, tmp_path):
+    import datetime as dt
+    from ombuds import schema as S
+    from ombuds.operators.kpi import date_filter
+    from ombuds.sources import store
+    path, ts = str(tmp_path / "months"), S.REGISTERED_AT
+    days = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=31 * i) for i in range(90)] + [None, None]
+    rows = [(i, d) for i, d in enumerate(days)] + [(7, days[7])]
+    t = spark.createDataFrame(rows, f"id long, {ts} timestamp").repartition(5)
+    store.write_months(t, path)
+    assert sorted(map(str, store.read_months(spark, path, t.schema).collect())) == sorted(map(str, t.collect()))
+    period = (dt.date(2024, 2, 3), dt.date(2024, 3, 2))
+    part = store.read_months(spark, path, t.schema, *period)
+    want = date_filter(t, *period)
+    assert sorted(r.id for r in part.collect()) == sorted(r.id for r in want.collect()) != []
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert "month" in filters and "202402" in filters and "GreaterThanOrEqual" in plan.split("PushedFilters", 1)[1]
+    later = spark.createDataFrame([(900, dt.datetime(2024, 2, 5))], t.schema)
+    for _ in range(2):  # a repeated batch changes nothing
+        store.write_months(later, path)
+        got = store.read_months(spark, path, t.schema).collect()
+        february = [r.id for r in got if r[ts] and (r[ts].year, r[ts].month) == (2024, 2)]
+        assert february == [900] and len(got) == 1 + sum(1 for _, d in rows if not d or (d.year, d.month) != (2024, 2))
+    store.write_months(t.limit(0), path)
+    assert store.read_months(spark, path, t.schema).count() == len(got)
+    with pytest.raises(ValueError):
+        store.write_months(t.withColumn("month", F.lit(1)), path)
