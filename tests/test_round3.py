@@ -158,29 +158,6 @@ def test_dedupe_within_the_watermark(spark):
     assert again.count() == 5
 
 
-# ---- forest -----------------------------------------------------------------------------------
-def test_flat_trees_equal_mllib(spark):
-    from pyspark.ml.functions import vector_to_array
-    from ombuds import schema as S
-    from ombuds.operators import forest
-    from ombuds.sources import fixtures as fx
-    from ombuds.functions import text as X
-    t = fx.complaint_texts(spark, "/root/testdata/sf0.001")
-    model = forest.fit_forest(t, numTrees=12, maxDepth=8)
-    assert len(model.labels) > 1
-    rows = t.unionByName(t.limit(3))  # repeated keys are scored each
-    rows = rows.unionByName(t.limit(1).withColumn(S.KEY, F.lit(None).cast(dict(t.dtypes)[S.KEY])))
-    blank = [c for c, kind in t.dtypes if kind == "string" and c not in (S.KEY,)]
-    rows = rows.unionByName(t.limit(2).withColumns({c: F.lit(None).cast("string") for c in blank}))
-    own = model.trees.transform(model.features(rows)).select(S.KEY, "_pred", vector_to_array("_prob").alias("p")).collect()
-    got = model.predict(rows).collect()
-    assert len(got) == len(own) == t.count() + 6
-    want = sorted((str(r[S.KEY]), model.labels[int(r._pred)], round(max(r.p), 9)) for r in own)
-    assert sorted((str(r[S.KEY]), r.predicted, round(r.confidence, 9)) for r in got) == want
-    assert len({r.predicted for r in got}) > 1
-    assert model.predict(rows.limit(0)).collect() == []
-
-
 # ---- stored tables ----------------------------------------------------------------------------
 def test_reference_versions(spark, tmp_path, monkeypatch):
     from ombuds import schema as S
