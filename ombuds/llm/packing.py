@@ -4,8 +4,10 @@ Each document arrives once, in scan order, and is placed into the fill level tha
 the sum of squared counts of partially filled windows, tracked in a level array: a piece of
 size s moves a window from level h to h + s and changes the sum by
 ``(1 - 2 N[h]) + (1 + 2 N[h + s])`` (no first term for a new window, no second for a full one).
-A document longer than a window is cut into full windows and one rest. Every task packs what
-it reads and holds the ids of its open windows only. When a task's input ends, its open
+A document longer than a window is cut into full windows and one rest. Where windows are open
+but none has room for a piece, its head fills one of the commonest level and the rest is placed
+anew, so documents of one size above half a window do not leave a window each. Every task packs
+what it reads and holds the ids of its open windows only. When a task's input ends, its open
 windows are merged by cutting: fuller windows are filled up from emptier ones, and the last
 rest is split into lengths that are powers of two, which need no padding. So there is none.
 
@@ -17,6 +19,7 @@ of further columns cannot clash.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import struct
@@ -69,7 +72,8 @@ class WordIds(dict):
     """Ids of words, as little-endian bytes. The tokenizer never joins over white space.
 
     Rare words cost most: the merges of a plain word's parts are run on the model itself,
-    without the normaliser's bookkeeping. Parts (str) are remembered beside words (bytes).
+    without the normaliser's bookkeeping. Parts are remembered beside words; a part that
+    stands alone as a word has the same ids.
     """
 
     def __init__(self, path: str):
@@ -77,37 +81,43 @@ class WordIds(dict):
         self.path = path
         self.merges = tokenizer(path).model.tokenize
 
-    def part(self, text: str) -> bytes:
-        """Ids of one part of a plain word."""
-        got = self.get(text)
+    def part(self, low: bytes) -> bytes:
+        """Ids of one part of a plain word, in lower case."""
+        got = self.get(low)
         if got is None:
-            letters = text if text.isascii() else text.encode().decode("latin-1").translate(_ALPHABET)
+            letters = low.decode() if low.isascii() else low.decode("latin-1").translate(_ALPHABET)
             found = [t.id for t in self.merges(letters)]
-            got = self[text] = struct.pack(f"<{len(found)}I", *found)
+            got = self[low] = struct.pack(f"<{len(found)}I", *found)
         return got
 
-    def learn(self, new) -> None:
-        """Remember distinct words that are not remembered yet."""
+    def meet(self, words: set) -> None:
+        """Remember every one of the words; what was known is forgotten when there are too many."""
+        new = list(itertools.filterfalse(self.__contains__, words))
         if len(self) + len(new) > REMEMBERED:
             self.clear()
+            new = words
+        self.learn(new)
+
+    def learn(self, new) -> None:
+        """Remember distinct words that are not remembered yet."""
         other = []
-        added = added_tokens(self.path)
+        part, added = self.part, added_tokens(self.path)
         for w in new:
             if w.isalpha():  # ASCII letters alone, as most words: one part
-                self[w] = self.part(w.decode().lower())
+                self[w] = part(w.lower())
                 continue
             if w[-1] in _MARKS and w[:-1].isalpha():  # and a mark after them
-                self[w] = self.part(w[:-1].decode().lower()) + self.part(chr(w[-1]))
+                self[w] = part(w[:-1].lower()) + part(w[-1:])
                 continue
             text = w.decode()
             if not _PLAIN.fullmatch(text) or added.search(text):
                 other.append(w)
                 continue
-            self[w] = b"".join([self.part(part) for part in _PARTS.findall(text.lower())])
+            self[w] = b"".join([part(p.encode()) for p in _PARTS.findall(text.lower())])
         for i in range(0, len(other), 20_000):
-            part = other[i:i + 20_000]
-            got = tokenizer(self.path).encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, got):
+            some = other[i:i + 20_000]
+            got = tokenizer(self.path).encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            for w, e in zip(some, got):
                 self[w] = np.array(e.ids, "<u4").tobytes()
 
 
@@ -121,10 +131,9 @@ def encode_docs(texts: list[bytes], path: str, group: int = 256):
     memory = word_ids(path)
     for i in range(0, len(texts), group):
         split = [t.split() for t in texts[i:i + group]]
-        known = [list(map(memory.get, ws)) for ws in split]
-        memory.learn({w for ws, ids in zip(split, known) if None in ids for w, x in zip(ws, ids) if x is None})
-        for ws, ids in zip(split, known):
-            yield b"".join([memory[w] if x is None else x for w, x in zip(ws, ids)] if None in ids else ids)
+        memory.meet(set().union(*split))
+        for ws in split:
+            yield b"".join(map(memory.__getitem__, ws))
 
 
 class SumOfSquares:
@@ -132,35 +141,67 @@ class SumOfSquares:
 
     def __init__(self, window: int = WINDOW):
         self.window = window
-        self.count = np.zeros(window + 1, np.int64)
         self.open: dict[int, list] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.open.clear()
+        self.count = np.zeros(self.window + 1, np.int64)
+        # what the sum changes by when a window leaves a level (0: a new one), and when it enters
+        self.leave = np.full(self.window + 1, np.iinfo(np.int64).max // 2)
+        self.leave[0] = 0
+        self.enter = np.ones(self.window + 1, np.int64)
+        self.enter[self.window] = 0
+
+    def add(self, level: int, change: int) -> None:
+        """Count a window more or less at a level between empty and full."""
+        n = int(self.count[level]) + change
+        self.count[level] = n
+        self.leave[level] = 1 - 2 * n if n else np.iinfo(np.int64).max // 2
+        self.enter[level] = 1 + 2 * n
 
     def level_for(self, size: int) -> int:
         """Level (0: a new window) whose window takes the piece at the least sum of squares."""
         room = self.window - size
-        n = self.count
-        cost = np.empty(room + 1, np.int64)
-        cost[0] = 0
-        cost[1:] = np.where(n[1:room + 1] > 0, 1 - 2 * n[1:room + 1], np.iinfo(np.int64).max // 2)
-        cost[:room] += 1 + 2 * n[size:self.window]
-        best = int(cost.min())
-        return int(np.flatnonzero(cost == best)[-1])  # of equals the fullest
+        cost = self.leave[:room + 1] + self.enter[size:]
+        return room - int(cost[::-1].argmin())  # of equals the fullest
 
     def place(self, piece: tuple, size: int) -> list | None:
         """Place one piece; returns the window's pieces once it is full."""
-        level = self.level_for(size)
+        return self.move(piece, size, self.level_for(size))
+
+    def move(self, piece: tuple, size: int, level: int) -> list | None:
         if level:
             pieces = self.open[level].pop()
-            self.count[level] -= 1
+            self.add(level, -1)
         else:
             pieces = []
         pieces.append(piece)
         if level + size == self.window:
             return pieces
         self.open.setdefault(level + size, []).append(pieces)
-        self.count[level + size] += 1
+        self.add(level + size, 1)
         return None
 
+    def put(self, piece: tuple):
+        """Place a piece; where windows are open but none has room for it all, its head fills one.
+
+        Yields the windows that get full. The window to fill is one of the commonest level, which
+        lessens the sum of squares most (of equals the fullest)."""
+        while piece is not None:
+            size, rest = size_of(piece), None
+            level, room = self.level_for(size), self.window - size
+            if not level and room and not self.count[1:room + 1].any():
+                over = self.count[room + 1:]
+                if over.any():
+                    level = self.window - int(over[::-1].argmax())
+                    size = self.window - level
+                    piece, rest = cut(piece, size)
+            full = self.move(piece, size, level)
+            if full:
+                yield full
+            piece = rest
+
     def drain(self):
         """Merge the open windows by cutting; yields windows that are full or a power of two."""
         left = [(level, w) for level, ws in self.open.items() for w in ws]
@@ -196,8 +237,7 @@ class SumOfSquares:
                 if tail is not None:
                     give.append(tail)
             yield out
-        self.open.clear()
-        self.count[:] = 0
+        self.clear()
 
 
 def size_of(piece: tuple) -> int:
@@ -245,8 +285,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 total = len(ids) // 4
                 for at in range(0, total, window):
                     part = ids[4 * at:4 * (at + window)]
-                    full = packer.place((doc, at, part, total), len(part) // 4)
-                    if full:
+                    for full in packer.put((doc, at, part, total)):
                         close(full)
                 if len(rows) >= 4096:
                     yield table(rows)

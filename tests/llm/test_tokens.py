@@ -93,6 +93,31 @@ def test_level_is_the_least_sum_of_squares():
         p.place((i, 0, b"\0\0\0\0" * size, size), size)
 
 
+def test_windows_of_one_size_do_not_stay_open():
+    """Documents of one size above half a window, and of many sizes: few windows stay open, no id is lost."""
+    rng = np.random.default_rng(3)
+    for sizes in (np.full(5000, 1500), rng.integers(1, 2049, 5000), rng.choice([700, 1100, 1900], 5000)):
+        p, ids = packing.SumOfSquares(2048), 0
+        for i, size in enumerate(sizes.tolist()):
+            for full in p.put((i, 0, b"\0\0\0\0" * size, size)):
+                assert sum(map(packing.size_of, full)) == 2048
+                ids += 2048
+        held = [w for ws in p.open.values() for w in ws]
+        assert len(held) == p.count.sum() < 500
+        assert ids + sum(packing.size_of(x) for w in held for x in w) == sizes.sum()
+
+
+def test_packing_forgets_words_and_goes_on(monkeypatch):
+    texts = [" ".join(f"w{i * 7 + j % 11}x" for j in range(40)).encode() for i in range(300)]
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    t = Tokenizer.from_file(WORD)
+    packing.word_ids.cache_clear()
+    got = list(packing.encode_docs(texts, WORD, 8))
+    packing.word_ids.cache_clear()
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text.decode(), add_special_tokens=False).ids
+
+
 def test_word_ids_equal_the_tokenizer():
     rng = np.random.default_rng(9)
     t = Tokenizer.from_file(WORD)
