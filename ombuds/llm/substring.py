@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..session import discard, written
 from .marks import among, collected, flagged, marks
-from .words import Words, grams, inside, slices, span_hashes
+from .words import Words, grams, inside, mix, slices, span_hashes
 
 WINDOW, GRAM = 20, 5
 #: Occurrences from which the runs of a seed are dealt to shards by window.
@@ -197,8 +197,8 @@ def hit_runs(rows: DataFrame, repeated_seeds, frequent_seeds) -> DataFrame:
     """(uid, doc_id, key, content, start, count) of runs whose seed is in the first set.
 
     ``content`` and ``key`` are hashes: of the run's words, and the shard's key (the seed, or
-    for a seed in the second set the words of the single window that the run is cut into). The
-    sets are broadcast ``marks``: a run that only seems repeated is one more run, nothing else.
+    for a seed in the second set an independent hash of the single window that the run is cut
+    into), so equal runs agree in 128 bits of two hashes. The sets are broadcast ``marks``: a run that only seems repeated is one more run, nothing else.
     """
 
     def run(batches):
@@ -219,7 +219,9 @@ def hit_runs(rows: DataFrame, repeated_seeds, frequent_seeds) -> DataFrame:
                 count = np.where(one, 1, np.repeat(count, rep))
                 begin = w.first[row] + start
                 content = span_hashes(h, begin, begin + count + WINDOW - 1)
-                key = np.where(one, content, seed)
+                at = np.flatnonzero(one)
+                key = seed.copy()
+                key[at] = span_hashes(mix(h), begin[at], begin[at] + WINDOW)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(key.view(np.int64)),
                      pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
