@@ -11,7 +11,7 @@ non-letters is one space, and a letter beyond U+FFFF is two symbols, its UTF-16
 
 The score is the share of the chosen language in the softmax of the negated cross-entropies,
 lowered for texts whose cross-entropy is beyond what the language's own texts show
-(mean and spread, measured on a sample of training texts); ``rejected`` marks those far out.
+(median and spread over all distinct training texts); ``rejected`` marks those far out.
 
 Defined results: a null text or one without a letter gets ``und`` and score 0; rows without
 a language teach nothing; without any training row every text is ``und``. Repeated rows are
@@ -36,8 +36,8 @@ BITS = np.uint64(16)
 SPACE = 32
 #: Memory of one key range of the gram table; larger tables take several passes over the texts.
 RANGE_BYTES = 64 << 20
-#: Training texts on which the spread of the cross-entropy is measured.
-CALIBRATION_ROWS = 2000
+#: Steps a nat in which the training texts' cross-entropies are counted: medians are right to half a step.
+STEPS = 4096
 SHARPNESS = 8.0
 #: Spreads above the mean cross-entropy from which the score falls, and from which a text is rejected.
 FAR, REJECT = 3.0, 8.0
@@ -84,7 +84,10 @@ def suffix_mask(k: int) -> int:
 
 def text_grams(raw: np.ndarray, off: np.ndarray):
     """(gram keys, their text) of all ``ORDER``-grams of the texts of a slice."""
-    sym, doc = text_symbols(raw, off)
+    return symbol_grams(*text_symbols(raw, off))
+
+
+def symbol_grams(sym: np.ndarray, doc: np.ndarray):
     m = len(sym) - ORDER + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -308,6 +311,22 @@ class Models:
             F.array(*[F.sum(F.col("total")[i]) for i in range(len(self.langs))]).alias("total"),
             F.max("grams").alias("grams"), F.max("letters").alias("letters")).drop("rid")
 
+    def calibrate(self, sums: DataFrame) -> None:
+        """Median and spread of the cross-entropy of each language's own texts, from the ``sums`` of all of them under
+        tags (lang, mark); texts of one mark count once. The driver gets the counts per step of 1 / ``STEPS`` nat."""
+        own = F.array_position(F.array(*[F.lit(x) for x in self.langs]), F.col("tag.lang"))
+        h = -F.get("total", (own - 1).cast("int")) / F.greatest("grams", F.lit(1))
+        step = F.floor(h * STEPS).alias("step")
+        texts = sums.where("letters and tag.lang is not null").select(own.alias("own"), "tag.mark", step).distinct()
+        rows = texts.groupBy("own", "step").agg(F.count(F.lit(1)).alias("n")).toArrow()
+        of, step, n = (rows.column(c).to_numpy() for c in ("own", "step", "n"))
+        for k in range(len(self.langs)):
+            mine = of == k + 1
+            if n[mine].sum() >= 5:
+                at = (step[mine] + 0.5) / STEPS
+                self.mean[k] = middle(at, n[mine])
+                self.sd[k] = max(0.05, 1.4826 * middle(np.abs(at - self.mean[k]), n[mine]))
+
     def scorer(self, arrays, spark, first: bool, part: int | None = None):
         """A function over batches (tag, text, ...) that adds up what one key range knows; the first range has the
         texts that are shorter than the order, by the unigram model."""
@@ -318,7 +337,7 @@ class Models:
             n = len(off) - 1
             sym, of = text_symbols(raw, off)
             letters = np.bincount(of[sym != SPACE], minlength=n) > 0
-            key, doc = text_grams(raw, off)
+            key, doc = symbol_grams(sym, of)
             grams = np.bincount(doc, minlength=n)
             total = np.zeros((n, width))
             if len(keys) and len(key):
@@ -353,6 +372,13 @@ class Models:
         return run
 
 
+def middle(value: np.ndarray, n: np.ndarray) -> float:
+    """Median of values that occur ``n`` times each."""
+    order = np.argsort(value)
+    value, upto = value[order], np.cumsum(n[order])
+    return float(value[np.searchsorted(upto, [(upto[-1] + 1) // 2, upto[-1] // 2 + 1])].mean())
+
+
 def judge(h: np.ndarray, letters: np.ndarray, mean: np.ndarray, sd: np.ndarray):
     """(language number or -1, score, rejected) per row of cross-entropies; ties go to the first language."""
     best = h.argmin(1)
@@ -370,10 +396,16 @@ def entropies(total, grams, width: int) -> np.ndarray:
     return -flat / np.maximum(np.asarray(grams), 1)[:, None]
 
 
-def train(rows: DataFrame) -> Models | None:
+def mark(text_col: str):
+    """Tells texts apart, so that copies count once in the calibration."""
+    return F.xxhash64(F.col(text_col).cast("string")).alias("mark")
+
+
+def train(rows: DataFrame, calibrated: bool = True) -> Models | None:
     """Models from rows (lang, text) with a language; None without any.
 
-    The driver gets four numbers per language and order, and the single symbols.
+    The driver gets four numbers per language and order, the single symbols, and the counts of
+    ``Models.calibrate``, for which all texts are scored. Without ``calibrated`` the caller does that.
     """
     rows = rows.where("lang is not null")
     spark = rows.sparkSession
@@ -382,28 +414,39 @@ def train(rows: DataFrame) -> Models | None:
     if not langs:
         return None
     models = Models(counts, langs)
-    # the sample's largest hash first, so that no task gathers texts
-    mark = F.xxhash64("text")
-    last = (rows.where("text is not null").select(mark.alias("h")).distinct().orderBy("h").limit(CALIBRATION_ROWS)
-            .agg(F.max("h")).first()[0])
-    sample = written(spark, rows.where(mark <= F.lit(last)).dropDuplicates(["lang", "text"])
-                     .select(F.col("lang").alias("tag"), "text"), "sample")
-    t = models.sums(sample).where("letters").toArrow()
-    h = entropies(t.column("total"), t.column("grams"), len(langs))
-    own = np.array(t.column("tag").to_pylist(), object)
-    for k, name in enumerate(langs):
-        mine = h[own == name, k]
-        if len(mine) >= 5:
-            models.mean[k], models.sd[k] = np.median(mine), max(0.05, 1.4826 * np.median(np.abs(mine - np.median(mine))))
+    if calibrated:
+        models.calibrate(models.sums(rows.where("text is not null").select(F.struct("lang", mark("text")).alias("tag"), "text")))
     return models
 
 
 def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) per row."""
     few = docs.select(F.col(id_col).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    return judged(models.sums(few), models) if models else undecided(few)
+
+
+def learn_and_identify(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
+                       lang_col: str = "lang") -> DataFrame:
+    """``identify`` of all rows by the models of those that ``learn`` (a boolean Column) holds for: one pass over the
+    texts scores them and calibrates."""
+    lang = F.when(learn, F.col(lang_col).cast("string"))
+    text = F.col(text_col).cast("string").alias("text")
+    models = train(docs.select(lang.alias("lang"), text), calibrated=False)
     if models is None:
-        return few.select(F.col("tag").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
-                          F.lit(False).alias("rejected"))
+        return undecided(docs.select(F.col(id_col).alias("tag"), text))
+    tag = F.struct(F.col(id_col).alias("id"), lang.alias("lang"), mark(text_col)).alias("tag")
+    sums = written(docs.sparkSession, models.sums(docs.select(tag, text)), "sums")
+    models.calibrate(sums)
+    return judged(sums.withColumn("tag", F.col("tag.id")), models)
+
+
+def undecided(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("tag").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
+                       F.lit(False).alias("rejected"))
+
+
+def judged(sums: DataFrame, models: Models) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected) from the ``sums`` of rows tagged by their ids."""
     names, width = np.array([*models.langs, "und"], object), len(models.langs)
     mean, sd = models.mean, models.sd
 
@@ -415,5 +458,5 @@ def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", tex
                     [b.column(0), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(far)],
                     names=["doc_id", "lang_pred", "score", "rejected"])
 
-    kind = few.schema["tag"].dataType.simpleString()
-    return models.sums(few).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    kind = sums.schema["tag"].dataType.simpleString()
+    return sums.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")

@@ -86,11 +86,10 @@ def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of all documents; counts come from the rows outside the held-out fold."""
+    """Language of all documents; counts and calibration come from the rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 3) == 1
-    models = langid.train(docs.where(~held).select("lang", "text"))
-    out = langid.identify(docs, models)
+    out = langid.learn_and_identify(docs, ~held)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
