@@ -41,8 +41,16 @@ def _folder(spark: SparkSession, path: str) -> None:
 
 
 def _run(stream: DataFrame, batch, ckpt: str, mode: str) -> None:
-    (stream.writeStream.outputMode(mode).foreachBatch(batch)
-           .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
+    """One run over what has landed. It ends with its last data: a batch without data would move the bound for
+    late rows, so that the next run on this checkpoint dropped rows which one run over all files keeps."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "false")
+    try:
+        (stream.writeStream.outputMode(mode).foreachBatch(batch)
+               .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def stream_dedupe(spark: SparkSession, sources: list[DataFrame], key: str = S.KEY,
