@@ -179,9 +179,11 @@ def _regex_escape(sep: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";", encoding: str = "UTF-8",
-              mode: str = "overwrite") -> None:
-    """K1/K2: header + separator + encoding. Spark writes no byte-order mark."""
-    (df.write.mode(mode).option("header", True).option("sep", sep)
+              mode: str = "overwrite", max_rows: int = 0) -> None:
+    """K1/K2: header + separator + encoding. Spark writes no byte-order mark.
+
+    Names of files grow with the rows' places; ``max_rows`` (0: no bound) starts a new file."""
+    (df.write.mode(mode).option("header", True).option("sep", sep).option("maxRecordsPerFile", max_rows)
        .option("encoding", encoding).option("quote", '"').option("escape", '"')
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
