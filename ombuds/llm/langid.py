@@ -36,8 +36,8 @@ BITS = np.uint64(16)
 SPACE = 32
 #: Memory of one key range of the gram table; larger tables take several passes over the texts.
 RANGE_BYTES = 64 << 20
-#: Steps a nat in which the training texts' cross-entropies are counted: medians are right to half a step.
-STEPS = 4096
+#: Bits of the steps in which medians are sought: counts per step, then those of the middle step in finer ones.
+STEP_BITS = (12, 26, 40)
 SHARPNESS = 8.0
 #: Spreads above the mean cross-entropy from which the score falls, and from which a text is rejected.
 FAR, REJECT = 3.0, 8.0
@@ -313,19 +313,16 @@ class Models:
 
     def calibrate(self, sums: DataFrame) -> None:
         """Median and spread of the cross-entropy of each language's own texts, from the ``sums`` of all of them under
-        tags (lang, mark); texts of one mark count once. The driver gets the counts per step of 1 / ``STEPS`` nat."""
-        own = F.array_position(F.array(*[F.lit(x) for x in self.langs]), F.col("tag.lang"))
-        h = -F.get("total", (own - 1).cast("int")) / F.greatest("grams", F.lit(1))
-        step = F.floor(h * STEPS).alias("step")
-        texts = sums.where("letters and tag.lang is not null").select(own.alias("own"), "tag.mark", step).distinct()
-        rows = texts.groupBy("own", "step").agg(F.count(F.lit(1)).alias("n")).toArrow()
-        of, step, n = (rows.column(c).to_numpy() for c in ("own", "step", "n"))
-        for k in range(len(self.langs)):
-            mine = of == k + 1
-            if n[mine].sum() >= 5:
-                at = (step[mine] + 0.5) / STEPS
-                self.mean[k] = middle(at, n[mine])
-                self.sd[k] = max(0.05, 1.4826 * middle(np.abs(at - self.mean[k]), n[mine]))
+        tags (lang, mark); texts of one mark count once."""
+        own = F.array_position(F.array(*[F.lit(x) for x in self.langs]), F.col("tag.lang")).cast("int")
+        h = -F.get("total", own - 1) / F.greatest("grams", F.lit(1))
+        texts = sums.where("letters and tag.lang is not null").select((own - 1).alias("own"), "tag.mark", h.alias("v"))
+        texts = written(sums.sparkSession, texts.groupBy("own", "mark").agg(F.min("v").alias("v")), "entropies")
+        mean, n = medians(texts, len(self.langs))
+        off = F.abs(F.col("v") - F.get(F.array(*[F.lit(float(x)) for x in mean]), F.col("own"))).alias("v")
+        spread, _ = medians(texts.select("own", off), len(self.langs))
+        some = n >= 5
+        self.mean[some], self.sd[some] = mean[some], np.maximum(0.05, 1.4826 * spread[some])
 
     def scorer(self, arrays, spark, first: bool, part: int | None = None):
         """A function over batches (tag, text, ...) that adds up what one key range knows; the first range has the
@@ -372,11 +369,28 @@ class Models:
         return run
 
 
-def middle(value: np.ndarray, n: np.ndarray) -> float:
-    """Median of values that occur ``n`` times each."""
-    order = np.argsort(value)
-    value, upto = value[order], np.cumsum(n[order])
-    return float(value[np.searchsorted(upto, [(upto[-1] + 1) // 2, upto[-1] // 2 + 1])].mean())
+def medians(values: DataFrame, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(median, count) of ``v`` in each group ``own``, right to 2**-40; 0 where there is none.
+
+    The driver gets counts per step: of all values in coarse steps, then of those in the one or two
+    steps that hold the middle, in finer ones, 2**14 a step at most."""
+    out, total, below = np.zeros(groups), np.zeros(groups, np.int64), np.zeros(groups, np.int64)
+    rows = values
+    for bits in STEP_BITS:
+        step = F.floor(F.col("v") * 2.0 ** bits)
+        t = rows.groupBy("own", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy("own", "step").toArrow()
+        own, at, n = (t.column(c).to_numpy() for c in ("own", "step", "n"))
+        inside = F.lit(False)
+        for g in np.unique(own):
+            upto = np.cumsum(n[own == g])
+            total[g] = total[g] or upto[-1]
+            ends = np.searchsorted(upto, np.array([(total[g] + 1) // 2, total[g] // 2 + 1]) - below[g])
+            below[g] += upto[ends[0]] - n[own == g][ends[0]]
+            middle = at[own == g][ends]
+            out[g] = (middle.mean() + 0.5) / 2.0 ** bits
+            inside = inside | ((F.col("own") == int(g)) & step.isin([int(x) for x in middle]))
+        rows = rows.where(inside)
+    return out, total
 
 
 def judge(h: np.ndarray, letters: np.ndarray, mean: np.ndarray, sd: np.ndarray):
@@ -405,7 +419,7 @@ def train(rows: DataFrame, calibrated: bool = True) -> Models | None:
     """Models from rows (lang, text) with a language; None without any.
 
     The driver gets four numbers per language and order, the single symbols, and the counts of
-    ``Models.calibrate``, for which all texts are scored. Without ``calibrated`` the caller does that.
+    ``medians``, for which all texts are scored. Without ``calibrated`` the caller does that.
     """
     rows = rows.where("lang is not null")
     spark = rows.sparkSession
