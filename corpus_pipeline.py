@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ombuds.llm import minhash, packing, quality_model, substring, toxicity
 from ombuds.llm.queries import labelled
-from ombuds.session import shared_dir
+from ombuds.session import few, shared_dir
 from ombuds.sources.tables import table
 
 #: SQL cannot express the stages; tests compare them with brute-force versions.
@@ -38,11 +38,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return few(minhash.keep_one(docs))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring.cleaned(docs)
+    out = few(substring.cleaned(docs))
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

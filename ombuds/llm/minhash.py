@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import discard, written
+from ..session import discard, few, written
 from .graph import components
 from .marks import flagged, marks
 from .words import Words, grams, inside, mix, slices, span_hashes, stream, utf8
@@ -220,8 +220,8 @@ def settle(candidates: DataFrame, threshold: float) -> DataFrame:
         return pa.table({"cluster": t.column("cluster"), "nb": t.column("nb"), "block": t.column("block"),
                          "node": node, "root": root, "medoid": medoid})
 
-    first = written(spark, candidates.groupBy("cluster", "block").applyInArrow(
-        within, "cluster long, nb long, block long, node long, root long, medoid boolean"), "blocks")
+    first = written(spark, few(candidates.groupBy("cluster", "block").applyInArrow(
+        within, "cluster long, nb long, block long, node long, root long, medoid boolean")), "blocks")
     large = first.where("nb > 1")
     if not large.limit(1).count():  # every cluster was one block
         return first.select("node", "root")
@@ -238,7 +238,7 @@ def settle(candidates: DataFrame, threshold: float) -> DataFrame:
         return pa.table({"a": a, "b": b})
 
     def relabelled(links: DataFrame) -> DataFrame:
-        top = written(spark, components(links), "tops").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        top = written(spark, few(components(links), 1), "tops").select(F.col("node").alias("root"), F.col("root").alias("top"))
         return large.join(top, "root", "left").select("cluster", "nb", "block", "node", "root",
                                                       F.coalesce("top", "root").alias("top"), "medoid")
 
@@ -246,8 +246,8 @@ def settle(candidates: DataFrame, threshold: float) -> DataFrame:
     m = large.where("medoid").select("cluster", F.pmod(F.xxhash64("node"), F.ceil(F.col("nb") / BLOCK)).alias("part"),
                                      "node", "root")
     m = m.join(body, "node").withColumn("left", F.explode(F.array(F.lit(True), F.lit(False))))
-    links = written(spark, m.groupBy("cluster", "part").applyInArrow(between, "a long, b long"), "links")
-    now = written(spark, relabelled(links), "large")
+    links = written(spark, few(m.groupBy("cluster", "part").applyInArrow(between, "a long, b long")), "links")
+    now = written(spark, few(relabelled(links), 1), "large")
     main = (now.groupBy("cluster", "top").agg(F.count("*").alias("n")).groupBy("cluster")
             .agg(F.max_by("top", F.struct("n", "top")).alias("main")))
     # then every node outside its cluster's largest class with all nodes, block by block
@@ -261,7 +261,7 @@ def settle(candidates: DataFrame, threshold: float) -> DataFrame:
         "cluster", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nc") - 1)).alias("chunk"),
         "node", F.col("top").alias("root"), F.lit(False).alias("left"))
     more = left.unionAll(right).join(body, "node").groupBy("cluster", "block", "chunk").applyInArrow(between, "a long, b long")
-    done = relabelled(links.unionAll(written(spark, more, "links")))
+    done = relabelled(links.unionAll(written(spark, few(more), "links")))
     return first.where("nb = 1").select("node", "root").unionAll(done.select("node", F.col("top").alias("root")))
 
 
@@ -276,32 +276,33 @@ def find(docs: DataFrame, id_col: str, text_col: str, threshold: float, whole: b
     ``uid`` numbers the rows; a node is the least uid of the same words, a root the least of a class.
     """
     spark = docs.sparkSession
-    rows = written(spark, profiles(docs, id_col, text_col, whole).withColumn("uid", F.monotonically_increasing_id()), "profiles")
+    rows = profiles(docs, id_col, text_col, whole).withColumn("uid", F.monotonically_increasing_id())
+    rows = written(spark, few(rows), "profiles")
     real = rows.where("n > 0")
     words = F.xxhash64("k1", "k2")
     # rows whose words occur once are nodes as they are; only the others meet by their words
     copied = real.groupBy("k1", "k2").agg(F.min("uid").alias("node"), F.count("*").alias("c")).where("c > 1")
-    copied = written(spark, copied.select("k1", "k2", "node"), "copied")
+    copied = written(spark, few(copied.select("k1", "k2", "node"), 1), "copied")
     some = flagged(real.select("uid", "k1", "k2", "bands"), words, marked(copied, words), MARK_BITS, "again")
     twice = some.where("again").select("uid", "k1", "k2").join(copied, ["k1", "k2"], "left")
-    member = written(spark, some.where("not again").select("uid", F.col("uid").alias("node")).unionAll(
-        twice.select("uid", F.coalesce("node", "uid"))), "members")
+    member = written(spark, few(some.where("not again").select("uid", F.col("uid").alias("node")).unionAll(
+        twice.select("uid", F.coalesce("node", "uid")))), "members")
     first = some.where("again").select("uid", "bands").join(
         member.where("uid = node").select("uid"), "uid", "left_semi")
     band = some.where("not again").select("uid", "bands").unionAll(first).select(
         F.col("uid").alias("node"), F.explode("bands").alias("key"))
     low = band.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    low = written(spark, low.select("key", "low"), "buckets")
+    low = written(spark, few(low.select("key", "low"), 1), "buckets")
     shared = flagged(band, F.col("key"), marked(low, F.col("key")), MARK_BITS, "again").where("again")
     star = shared.join(low, "key").where("node <> low")
-    cluster = written(spark, components(star.select(F.col("low").alias("a"), F.col("node").alias("b"))), "clusters")
+    cluster = written(spark, few(components(star.select(F.col("low").alias("a"), F.col("node").alias("b"))), 1), "clusters")
     size = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
     of = cluster.join(size, "root").select("node", F.col("root").alias("cluster"), "nb",
                                            F.pmod(F.xxhash64("node"), F.col("nb")).alias("block"))
     texts = flagged(rows.select(F.col("uid").alias("node"), "text", "sig"), F.xxhash64("node"),
                     marked(of, F.xxhash64("node")), MARK_BITS, "in").where("`in`")
-    candidates = written(spark, texts.join(of, "node").drop("in"), "candidates")
-    root = written(spark, settle(candidates, threshold), "roots")
+    candidates = written(spark, few(texts.join(of, "node").drop("in")), "candidates")
+    root = written(spark, few(settle(candidates, threshold), 1), "roots")
     discard(candidates, cluster)
     found = member.join(root, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
     return rows, rows.select("uid", "doc_id").join(found, "uid", "left").select(
@@ -312,7 +313,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, class_size) per row; ``class_id`` is the least id of the class."""
     _, found = find(docs, id_col, text_col, threshold, False)
-    found = written(docs.sparkSession, found, "classes")
+    found = written(docs.sparkSession, few(found), "classes")
     least = found.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return found.join(least, "root").select("doc_id", "class_id", "class_size")
 

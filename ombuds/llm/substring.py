@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import discard, written
+from ..session import discard, few, written
 from .marks import among, collected, flagged, marks
 from .words import Words, grams, inside, mix, slices, span_hashes
 
@@ -289,31 +289,32 @@ def order(t: pa.Table) -> pa.Array:
 def find(docs: DataFrame, id_col: str, text_col: str, whole: bool):
     """(written rows by uid, (uid, spans array<struct<start, count>>) of rows with repeated windows)."""
     spark = docs.sparkSession
-    rows = written(spark, scan(docs, id_col, text_col, whole).withColumn("uid", F.monotonically_increasing_id()), "scanned")
+    rows = scan(docs, id_col, text_col, whole).withColumn("uid", F.monotonically_increasing_id())
+    rows = written(spark, few(rows), "scanned")
     seed = rows.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("c")).where("c > 1")
-    seed = written(spark, seed, "seeds")
+    seed = written(spark, few(seed), "seeds")
     sets = [spark.sparkContext.broadcast(collected(marks(x, F.col("seed"), SEED_BITS), SEED_BITS))
             for x in (seed, seed.where(F.col("c") >= FREQUENT))]
-    run = written(spark, hit_runs(rows, *sets), "runs")
+    run = written(spark, few(hit_runs(rows, *sets)), "runs")
     discard(seed)
     place = F.struct("doc_id", "uid", "start")
     first = run.groupBy("key", "content").agg(F.min(place).alias("f"), F.max("count").alias("count"), F.count("*").alias("c"))
-    first = written(spark, first, "firsts")
+    first = written(spark, few(first), "firsts")
     later = run.join(first.where("c > 1").select("key", "content", "f"), ["key", "content"]).where(
         (F.col("uid") != F.col("f.uid")) | (F.col("start") != F.col("f.start"))).select("uid", "start", "count")
     several = first.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     open_ = first.join(several, "key").select("key", F.col("f.uid").alias("uid"), F.col("f.start").alias("start"), "count")
     open_ = open_.groupBy("uid").agg(F.collect_list(F.struct("key", "start", "count")).alias("at"))
-    open_ = written(spark, open_, "open")
+    open_ = written(spark, few(open_), "open")
     uid = F.xxhash64("uid")
     asked = written(spark, marks(open_, uid, SEED_BITS).coalesce(4), "asked")
     texts = flagged(rows.select("uid", "doc_id", "text"), uid, asked, SEED_BITS, "asked").where("asked").drop("asked")
-    segments = written(spark, with_words(texts.join(open_, "uid")), "segments")
+    segments = written(spark, few(with_words(texts.join(open_, "uid"))), "segments")
     size = segments.agg(F.sum(F.size("words"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_WORDS), spark.sparkContext.defaultParallelism if size > 100_000 else 1)
     found = search_shards(segments.repartition(int(shards), "key"))
     spans = later.unionAll(found).groupBy("uid").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-    spans = written(spark, spans, "spans")
+    spans = written(spark, few(spans), "spans")
     discard(run, first, open_, segments)
     for x in sets:
         x.unpersist()
