@@ -62,10 +62,9 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents and the bytes they decode to, as digests."""
     how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, *how).select("doc_id", "ids")
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                      F.sha2(bpe.little_endian("ids"), 256).alias("ids_sha256"),
-                      F.sha2(bpe.decode(F.col("ids"), *how), 256).alias("decoded_sha256"))
+    ids = bpe.encode(docs, *how, raw="raw", decoded="decoded", drop_text=True)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("raw", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,18 @@
 import base64
+import hashlib
+import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ombuds.llm import bpe, packing
+from ombuds.llm import bpe, packing, queries
 
 BPE = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 WORD = P.path("word_bpe_49k.json")
@@ -47,6 +51,54 @@ def test_bpe_runs_of_white_space_beyond_the_library():
         assert bpe.encode_text(enc, "ab" + run * 50_000 + "c") == short
 
 
+def test_registered_bpe_has_one_python_worker_a_task(spark, docs, tmp_path):
+    """Each Python step of the plan would hold a worker, and its ranks and batches, beside the others."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.op6_byte_bpe(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow|ArrowEvalPython|BatchEvalPython|MapInPandas", plan)) == 1
+    enc = library()
+    rows = df.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(TEXTS)))
+    for r in rows:
+        text = TEXTS[r.doc_id] or ""
+        ids = enc.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest(), r.doc_id
+
+
+def test_bpe_memory_does_not_grow_with_the_input_batch():
+    """Results leave in small batches, in order: the peak is that of a slice, not of the 10,000 rows."""
+    texts = [None, ""] + [f"row {i} " + "lorem ipsum dolor " * 100 for i in range(9_997)] + ["x y " * 500_000]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    enc, most, at = library(), 0, 0
+    enc.encode_ordinary("warm")
+    del texts
+    tracemalloc.start()
+    for part in bpe.encoded([batch], enc, ["id"], "text", "ids", "raw", "decoded"):
+        assert part.column("id").to_pylist() == list(range(at, at + part.num_rows))
+        at += part.num_rows
+        for k in {0, part.num_rows - 1}:
+            text = batch.column("text")[at - part.num_rows + k].as_py() or ""
+            raw, decoded = part.column("raw")[k].as_py(), part.column("decoded")[k].as_py()
+            assert part.column("ids")[k].as_py() == np.frombuffer(raw, "<u4").tolist() and decoded == text.encode()
+        if at < 9_000:
+            most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert at == batch.num_rows and most < 24e6, most
+
+
+def test_bpe_extra_columns_replace_their_names(docs):
+    got = bpe.encode(docs, *BPE, raw="N_TOKENS", decoded="back", drop_text=True)
+    assert got.columns == ["doc_id", "ids", "N_TOKENS", "back"]
+    assert all(bytes(r.back) == (TEXTS[r.doc_id] or "").encode() and len(r.N_TOKENS) == 4 * len(r.ids) for r in got.collect())
+
+
+def test_bpe_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.encode(empty, *BPE, raw="raw", decoded="decoded").count() == 0
+
+
 def test_packing_places_every_id_once_without_padding(spark, docs):
     rows = packing.pack(docs.repartition(3), WORD).collect()
     t = Tokenizer.from_file(WORD)
